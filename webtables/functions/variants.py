@@ -1,68 +1,87 @@
-"""Reading JSON documents through the variant type."""
+"""SQL texts that read JSON documents through the variant type.
+
+These expressions nest deeply and sit inside lambdas; as SQL text each output column is parsed in one step.
+"""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, functions as F
+# Kinds of a JSON value, told from the first character of its text; a number has the empty kind.
+OBJECT, ARRAY, STRING, BOOLEAN, NULL, NUMBER = "o", "a", "s", "b", "z", ""
+
+
+def literal(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def document(value: str | Column) -> Column:
-    return F.try_parse_json(F.col(value) if isinstance(value, str) else value)
+def name(column: str) -> str:
+    """Quoted column name."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def document(text: str) -> str:
+    return f"try_parse_json({text})"
 
 
 def json_path(path: str) -> str:
     """``a.b[0].c`` as a variant path; names with unusual characters are quoted."""
     out = "$"
     for part in filter(None, path.split(".")):
-        name, *indexes = part.replace("]", "").split("[")
-        if name:
-            out += f".{name}" if name.replace("_", "a").isalnum() else "['" + name.replace("'", "\\'") + "']"
+        word, *indexes = part.replace("]", "").split("[")
+        if word:
+            plain = word.replace("_", "a").isalnum() and word.isascii()
+            out += f".{word}" if plain else "['" + word.replace("'", "\\'") + "']"
         out += "".join(f"[{int(i)}]" for i in indexes)
     return out
 
 
-def at(doc: Column, path: str, kind: str = "variant") -> Column:
+def at(doc: str, path: str, kind: str = "variant") -> str:
     """Value at a dotted, indexed path; null when the path is missing or of another type."""
-    return F.try_variant_get(doc, json_path(path), kind)
+    return f"try_variant_get({doc}, {literal(json_path(path))}, '{kind}')"
+
 
+def members(doc: str, path: str = "") -> str:
+    """List at a path as an array, null when the value is missing or no list."""
+    return at(doc, path, "array<variant>")
 
-def as_text(value: Column) -> Column:
-    """Scalar variant as text, null for missing, null, object and array values."""
-    return F.try_variant_get(value, "$", "string")
 
+def words(value: str) -> str:
+    """Scalar as text, object and array as JSON text."""
+    return f"coalesce({at(value, '', 'string')}, to_json({value}))"
 
-def type_name(value: Column) -> Column:
-    """JSON type word of a variant: object, array, string, number, boolean or null."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "VOID", "null")
-        .when(name.isNotNull(), "number")
-    )
 
+def kind(value: str) -> str:
+    return f"translate(substr(to_json({value}), 1, 1), '{{[\"tfn0123456789-', 'oasbbz')"
 
-def is_filled(value: Column) -> Column:
+
+def filled(value: str) -> str:
     """False for missing, null, empty text, empty list and empty object."""
-    return F.coalesce(~F.to_json(value).isin("null", '""', "[]", "{}"), F.lit(False))
+    return f"coalesce(to_json({value}) NOT IN ('null', '\"\"', '[]', '{{}}'), false)"
+
+
+def filled_object(value: str) -> str:
+    return f"coalesce(to_json({value}) LIKE '{{\"%', false)"
+
+
+def when_filled(value: str) -> str:
+    return f"if({filled(value)}, {value}, NULL)"
 
 
-def compact(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+def filled_text(doc: str, path: str) -> str:
+    """Text at a path, null when it is empty."""
+    return f"nullif({at(doc, path, 'string')}, '')"
 
 
-def equals(value: Column, expected: object) -> Column:
-    """Equality with a Python value; numbers compare by value, text by text."""
-    if isinstance(expected, str):
-        hit = (F.schema_of_variant(value) == "STRING") & (as_text(value) == expected)
-    elif isinstance(expected, (bool, int, float)):
-        number = F.try_variant_get(value, "$", "double")
-        hit = type_name(value).isin("number", "boolean") & (number == float(expected))
+def equals(value: str, expected: object) -> str:
+    """Equality with a Python value; numbers compare by value (true is 1), everything else by its JSON text."""
+    if isinstance(expected, (bool, int, float)):
+        number = f"coalesce({at(value, '', 'double')}, CAST({at(value, '', 'boolean')} AS DOUBLE))"
+        hit = f"{kind(value)} IN ('', 'b') AND {number} = CAST({float(expected)!r} AS DOUBLE)"
     elif expected is None:
-        return value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False))
+        return f"coalesce(to_json({value}) = 'null', true)"
     else:
-        hit = F.to_json(value) == F.to_json(F.parse_json(F.lit(compact(expected))))
-    return F.coalesce(hit, F.lit(False))
+        text = literal(json.dumps(expected, ensure_ascii=False, separators=(",", ":")))
+        hit = f"to_json({value}) = to_json(parse_json({text}))"
+    return f"coalesce({hit}, false)"

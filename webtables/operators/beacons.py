@@ -103,68 +103,61 @@ def redact_json(df: DataFrame, column: str) -> DataFrame:
 
 # ---------------------------------------------------------------- edge payloads
 
+VARIANT_FIELDS = ("events", "eVars", "props", "data", "commerce", "productListItems", "merchandisingEVars")
+TEXT_FIELDS = ("pageName", "eventType", "channel", "products", "currentTime", "currentDate", "renkeiid")
+FIELDS = (*TEXT_FIELDS, *VARIANT_FIELDS)
 
-def _first_bucket(analytics: Column) -> Column:
-    """First event bucket that is a non-empty object."""
-    values = [V.at(analytics, name) for name in EVENT_BUCKETS]
-    return F.coalesce(*[F.when((V.type_name(v) == "object") & V.is_filled(v), v) for v in values])
-
-
-def _last_bucket(analytics: Column) -> Column:
-    values = [V.at(analytics, name) for name in reversed(EVENT_BUCKETS)]
-    return F.coalesce(*[F.when((V.type_name(v) == "object") & V.is_filled(v), v) for v in values])
+_ANALYTICS = "xdm._experience.analytics"
 
 
-def _filled_or_null(value: Column) -> Column:
-    return F.when(V.is_filled(value), value)
+def _bucket(event: str, names: Sequence[str]) -> str:
+    """First of the named event buckets that is a non-empty object."""
+    values = [V.at(event, f"{_ANALYTICS}.{name}") for name in names]
+    return "coalesce(" + ", ".join(f"if({V.filled_object(v)}, {v}, NULL)" for v in values) + ")"
 
 
-def _merchandising(items: Column) -> Column:
+def _merchandising(event: str) -> str:
     """eVars of each product item, null when no item has any."""
-    def evars(item: Column) -> Column:
-        found = V.at(item, "_experience.analytics.customDimensions.eVars")
-        return F.when((V.type_name(found) == "object"), found).otherwise(F.parse_json(F.lit("{}")))
+    items = V.members(event, "xdm.productListItems")
+    found = V.at("item", "_experience.analytics.customDimensions.eVars")
+    listed = f"transform({items}, item -> if({V.kind(found)} = 'o', {found}, parse_json('{{}}')))"
+    has_any = f"exists({items}, item -> {V.filled_object(found)})"
+    return f"if({has_any}, to_variant_object(named_struct('item', {listed})), NULL)"
+
 
-    listed = F.transform(F.try_variant_get(items, "$", "array<variant>"), evars)
-    return F.when(F.exists(listed, V.is_filled), F.to_variant_object(F.struct(listed.alias("item"))))
+def _field_texts(event: str, identity: str, buckets: Sequence[str] = EVENT_BUCKETS) -> dict[str, str]:
+    """SQL of every analytics field of an event variant."""
+    own, nested = V.at(event, "data"), V.at(event, "xdm.data")
 
+    def data_text(key: str) -> str:
+        return f"if({V.filled(own)}, {V.filled_text(event, 'data.' + key)}, {V.filled_text(event, 'xdm.data.' + key)})"
 
-def _analytics_fields(event: Column, identity: str, bucket) -> dict[str, Column]:
-    xdm = V.at(event, "xdm")
-    analytics = V.at(xdm, "_experience.analytics")
-    own_data, xdm_data = V.at(event, "data"), V.at(xdm, "data")
-    data = F.coalesce(_filled_or_null(own_data), _filled_or_null(xdm_data))
-    items = _filled_or_null(V.at(xdm, "productListItems"))
+    dimensions = f"{_ANALYTICS}.customDimensions"
     return {
-        "pageName": F.coalesce(V.at(xdm, "web.webPageDetails.name", "string"), F.lit("")),
-        "eventType": F.coalesce(V.at(xdm, "eventType", "string"), F.lit("")),
-        "channel": F.nullif(V.at(analytics, "channel", "string"), F.lit("")),
-        "products": F.nullif(V.at(analytics, "productString", "string"), F.lit("")),
-        "events": bucket(analytics),
-        "eVars": _filled_or_null(V.at(analytics, "customDimensions.eVars")),
-        "props": _filled_or_null(V.at(analytics, "customDimensions.props")),
-        "data": data,
-        "currentTime": F.nullif(V.at(data, "currentTime", "string"), F.lit("")),
-        "currentDate": F.nullif(V.at(data, "currentDate", "string"), F.lit("")),
-        "commerce": _filled_or_null(V.at(xdm, "commerce")),
-        "productListItems": items,
-        "merchandisingEVars": _merchandising(items),
-        "renkeiid": F.nullif(V.at(xdm, f"identityMap.{identity}[0].id", "string"), F.lit("")),
+        "pageName": f"coalesce({V.at(event, 'xdm.web.webPageDetails.name', 'string')}, '')",
+        "eventType": f"coalesce({V.at(event, 'xdm.eventType', 'string')}, '')",
+        "channel": V.filled_text(event, f"{_ANALYTICS}.channel"),
+        "products": V.filled_text(event, f"{_ANALYTICS}.productString"),
+        "currentTime": data_text("currentTime"),
+        "currentDate": data_text("currentDate"),
+        "renkeiid": V.filled_text(event, f"xdm.identityMap.{identity}[0].id"),
+        "events": _bucket(event, buckets),
+        "eVars": V.when_filled(V.at(event, f"{dimensions}.eVars")),
+        "props": V.when_filled(V.at(event, f"{dimensions}.props")),
+        "data": f"coalesce({V.when_filled(own)}, {V.when_filled(nested)})",
+        "commerce": V.when_filled(V.at(event, "xdm.commerce")),
+        "productListItems": V.when_filled(V.at(event, "xdm.productListItems")),
+        "merchandisingEVars": _merchandising(event),
     }
 
 
-VARIANT_FIELDS = ("events", "eVars", "props", "data", "commerce", "productListItems", "merchandisingEVars")
-TEXT_FIELDS = ("pageName", "eventType", "channel", "products", "currentTime", "currentDate", "renkeiid")
-FIELDS = (*TEXT_FIELDS, *VARIANT_FIELDS)
-
+def _events_of(payload: str) -> str:
+    return V.members(V.document(V.name(payload)), "events")
 
-def _events_of(payload: Column) -> Column:
-    return F.try_variant_get(V.document(payload), "$.events", "array<variant>")
 
-
-def _extract(event: Column, fields: Sequence[str], identity: str) -> Column:
-    found = _analytics_fields(event, identity, _first_bucket)
-    return F.struct(*[found[name].alias(name) for name in fields])
+def _extract(event: str, fields: Sequence[str], identity: str) -> str:
+    texts = _field_texts(event, identity)
+    return "named_struct(" + ", ".join(f"'{name}', {texts[name]}" for name in fields) + ")"
 
 
 def extract_edge_events(
@@ -176,8 +169,8 @@ def extract_edge_events(
     repeating it; name the ``fields`` a job needs and the others are never extracted.
     """
     keep = [c for c in df.columns if c != payload]
-    found = F.transform(_events_of(F.col(payload)), lambda e: _extract(e, fields, identity))
-    return df.select(*keep, F.posexplode(found).alias("pos", "__a")).select(*keep, "pos", "__a.*")
+    found = F.expr(f"posexplode(transform({_events_of(payload)}, e -> {_extract('e', fields, identity)}))")
+    return df.select(*keep, found.alias("pos", "__a")).select(*keep, "pos", "__a.*")
 
 
 def extract_first_event(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -186,13 +179,11 @@ def extract_first_event(df: DataFrame, payload: str = "payload") -> DataFrame:
     Here the last non-empty event bucket counts. The event is picked inside the row, so nothing shuffles.
     """
     keep = [c for c in df.columns if c != payload]
-    wanted = F.filter(
-        _events_of(F.col(payload)),
-        lambda e: V.is_filled(V.at(e, "xdm._experience.analytics")) | V.is_filled(V.at(e, "xdm.commerce")),
-    )
-    rows = df.select(*keep, F.explode(F.slice(wanted, 1, 1)).alias("event"))
-    fields = _analytics_fields(F.col("event"), IDENTITY_NAMESPACE, _last_bucket)
-    return rows.select(*keep, *[value.alias(name) for name, value in fields.items() if name != "renkeiid"])
+    carries = f"{V.filled(V.at('e', _ANALYTICS))} OR {V.filled(V.at('e', 'xdm.commerce'))}"
+    first = F.expr(f"explode(slice(filter({_events_of(payload)}, e -> {carries}), 1, 1))")
+    texts = _field_texts("event", IDENTITY_NAMESPACE, tuple(reversed(EVENT_BUCKETS)))
+    fields = [f"{text} AS {name}" for name, text in texts.items() if name != "renkeiid"]
+    return df.select(*keep, first.alias("event")).selectExpr(*map(V.name, keep), *fields)
 
 
 def as_json_text(df: DataFrame) -> DataFrame:
@@ -201,13 +192,12 @@ def as_json_text(df: DataFrame) -> DataFrame:
     return df.withColumns(values) if values else df
 
 
-def analytics_value(path: str, struct: Column | None = None) -> Column:
-    """Value at a dotted path of the extracted fields (columns, or the fields of a struct) as a variant."""
+def analytics_value(path: str, prefix: str = "") -> str:
+    """Value at a dotted path of the extracted fields (columns, or struct fields after ``prefix``) as a variant."""
     name = path.split(".")[0].split("[")[0]
     if name not in FIELDS:
-        return F.lit(None).cast("variant")
-    field = F.col(name) if struct is None else struct[name]
-    value = field if name in VARIANT_FIELDS else field.cast("variant")
+        return "CAST(NULL AS VARIANT)"
+    value = prefix + name if name in VARIANT_FIELDS else f"CAST({prefix}{name} AS VARIANT)"
     rest = path[len(name):]
     return V.at(value, rest) if rest else value
 
@@ -215,30 +205,28 @@ def analytics_value(path: str, struct: Column | None = None) -> Column:
 # ---------------------------------------------------------------- requirements
 
 
-def requirement(actual: Column, op: str = "exists", value: object = None) -> Column:
-    """Whether a variant satisfies one check; an unknown operator never holds."""
+def requirement(actual: str, op: str = "exists", value: object = None) -> str:
+    """SQL of one check of a variant; an unknown operator never holds."""
     if op == "exists":
-        return V.is_filled(actual)
+        return V.filled(actual)
     if op == "empty":
-        return ~V.is_filled(actual)
+        return f"NOT {V.filled(actual)}"
     if op == "equals":
         return V.equals(actual, value)
-    words = F.coalesce(V.as_text(actual), F.to_json(actual))
+    present = f"NOT is_variant_null({actual})"
     if op in ("contains", "includes"):
-        members = F.try_variant_get(actual, "$", "array<variant>")
-        in_list = F.exists(members, lambda m: V.equals(m, value))
-        in_text = words.contains(str(value)) & ~F.is_variant_null(actual)
-        return F.coalesce(F.when(members.isNotNull(), in_list).otherwise(in_text), F.lit(False))
+        in_list = f"exists({V.members(actual)}, m -> {V.equals('m', value)})"
+        in_text = f"contains({V.words(actual)}, {V.literal(str(value))}) AND {present}"
+        return f"coalesce(if({V.kind(actual)} = 'a', {in_list}, {in_text}), false)"
     if op == "matches":
-        hit = words.rlike(R.unicode_pattern(str(value))) & ~F.is_variant_null(actual)
-        return F.coalesce(hit, F.lit(False))
-    return F.lit(False)
+        return f"coalesce({V.words(actual)} RLIKE {V.literal(R.unicode_pattern(str(value)))} AND {present}, false)"
+    return "false"
 
 
-Lookup = Callable[[str], Column]
+Lookup = Callable[[str], str]
 
 
-def _checks(lookup: Lookup, requirements: Sequence[Mapping]) -> list[tuple[str, Column]]:
+def _checks(lookup: Lookup, requirements: Sequence[Mapping]) -> list[tuple[str, str]]:
     found = []
     for r in requirements:
         key, op = str(r.get("key", "")), str(r.get("op", "exists"))
@@ -246,66 +234,53 @@ def _checks(lookup: Lookup, requirements: Sequence[Mapping]) -> list[tuple[str,
     return found
 
 
-def satisfies(lookup: Lookup, requirements: Sequence[Mapping]) -> Column:
-    """Whether all checks hold for the values that ``lookup`` finds under their keys."""
-    out = F.lit(True)
-    for _, hit in _checks(lookup, requirements):
-        out = out & hit
-    return out
+def satisfies(lookup: Lookup, requirements: Sequence[Mapping]) -> str:
+    """SQL that tells whether all checks hold for the values that ``lookup`` finds under their keys."""
+    return " AND ".join(f"({hit})" for _, hit in _checks(lookup, requirements)) or "true"
 
 
-def failed_checks(lookup: Lookup, requirements: Sequence[Mapping]) -> Column:
-    """Array of ``key op`` texts of the checks that do not hold."""
-    texts = [F.when(~hit, F.lit(label)) for label, hit in _checks(lookup, requirements)]
-    return F.array_compact(F.array(*texts)) if texts else F.array().cast("array<string>")
+def failed_checks(lookup: Lookup, requirements: Sequence[Mapping]) -> str:
+    """SQL array of ``key op`` texts of the checks that do not hold."""
+    texts = [f"if({hit}, NULL, {V.literal(label)})" for label, hit in _checks(lookup, requirements)]
+    return f"array_compact(array({', '.join(texts)}))" if texts else "CAST(array() AS ARRAY<STRING>)"
 
 
 def requirement_check(df: DataFrame, column: str, requirements: Sequence[Mapping]) -> DataFrame:
     """Add ``satisfied`` and ``failed`` for a JSON text column."""
-    out = df.withColumn("__doc", V.document(column))
-    failed = failed_checks(lambda key: V.at(F.col("__doc"), key), requirements)
-    out = out.withColumn("failed", failed)
+    failed = failed_checks(lambda key: V.at("__doc", key), requirements)
+    out = df.withColumn("__doc", F.expr(V.document(V.name(column)))).withColumn("failed", F.expr(failed))
     return out.withColumn("satisfied", F.size("failed") == 0).drop("__doc")
 
 
 # ---------------------------------------------------------------- contracts
 
-# Names of the JSON types a contract may ask for, and how a found type is reported.
-_REPORTED = {"string": "str", "array": "list", "object": "dict", "boolean": "bool", "null": "NoneType"}
-
+# The JSON types a contract may ask for, and the names under which found types are reported.
+_CONTRACT_TYPES = {"string": ("s",), "array": ("a",), "object": ("o",), "number": ("", "b"), "boolean": ("b",)}
+_REPORTED = "map('s', 'str', 'a', 'list', 'o', 'dict', 'b', 'bool', 'z', 'NoneType')"
 
-def _contract_type(value: Column, expected: str) -> tuple[Column, Column]:
-    found = V.type_name(value)
-    number = F.when(F.schema_of_variant(value) == "BIGINT", "int").otherwise("float")
-    shown = number
-    for word, reported in _REPORTED.items():
-        shown = F.when(found == word, reported).otherwise(shown)
-    accepted = found.isin("number", "boolean") if expected == "number" else found == expected
-    return accepted, F.concat(F.lit(f"type mismatch: expected {expected}, got "), shown)
 
-
-def _contract_reason(doc: Column, rule: Mapping) -> tuple[Column, Column]:
+def _contract_reason(doc: str, rule: Mapping) -> str:
+    """SQL of the first failing reason of a rule, ``ok`` when all its checks hold."""
     value = V.at(doc, str(rule.get("path", "")))
-    exists = value.isNotNull()
-    reason = F.when(~exists, "missing path")
+    cases = [f"WHEN {value} IS NULL THEN 'missing path'"]
     expected = rule.get("type")
-    if expected:
-        if expected not in ("string", "array", "object", "number", "boolean"):
-            reason = reason.when(F.lit(True), f"unsupported contract type: {expected}")
-        else:
-            accepted, mismatch = _contract_type(value, str(expected))
-            reason = reason.when(~accepted, mismatch)
+    if expected and expected not in _CONTRACT_TYPES:
+        cases.append(f"WHEN true THEN {V.literal(f'unsupported contract type: {expected}')}")
+    elif expected:
+        accepted = ", ".join(f"'{k}'" for k in _CONTRACT_TYPES[expected])
+        number = f"if(to_json({value}) RLIKE '[.eE]', 'float', 'int')"
+        found = f"coalesce({_REPORTED}[{V.kind(value)}], {number})"
+        text = V.literal(f"type mismatch: expected {expected}, got ")
+        cases.append(f"WHEN {V.kind(value)} NOT IN ({accepted}) THEN concat({text}, {found})")
     if rule.get("nonEmpty") is True:
-        is_text = V.type_name(value) == "string"
-        reason = reason.when(is_text & text.is_blank(V.as_text(value)), "empty string")
+        blank = f"{V.kind(value)} = 's' AND {V.at(value, '', 'string')} RLIKE '(?U)^\\\\s*$'"
+        cases.append(f"WHEN {blank} THEN 'empty string'")
     if rule.get("minItems") is not None:
         least = int(rule["minItems"])
-        length = F.size(F.try_variant_get(value, "$", "array<variant>"))
-        reason = reason.when(V.type_name(value) != "array", "minItems set but value is not an array")
-        reason = reason.when(
-            length < least, F.concat(F.lit("array length "), length.cast("string"), F.lit(f" < minItems {least}"))
-        )
-    return exists, reason.otherwise("ok")
+        length = f"size({V.members(value)})"
+        cases.append(f"WHEN {V.kind(value)} <> 'a' THEN 'minItems set but value is not an array'")
+        cases.append(f"WHEN {length} < {least} THEN concat('array length ', {length}, ' < minItems {least}')")
+    return "CASE " + " ".join(cases) + " ELSE 'ok' END"
 
 
 def contract_check(df: DataFrame, column: str, rules: Sequence[Mapping]) -> DataFrame:
@@ -313,26 +288,26 @@ def contract_check(df: DataFrame, column: str, rules: Sequence[Mapping]) -> Data
 
     A missing or unreadable document fails with one row of its own.
     """
-    out = df.withColumn("__doc", V.document(column))
-    checks = []
-    for rule in rules:
-        exists, reason = _contract_reason(F.col("__doc"), rule)
-        checks.append(
-            F.struct(
-                F.lit(str(rule.get("path", ""))).alias("path"),
-                exists.alias("exists"),
-                (reason == "ok").alias("ok"),
-                reason.alias("reason"),
-                F.lit(str(rule.get("usedBy", ""))).alias("used_by"),
-            )
-        )
-    undefined = F.struct(
-        F.lit("data").alias("path"), F.lit(False).alias("exists"), F.lit(False).alias("ok"),
-        F.lit("data is undefined").alias("reason"), F.lit("all contract checks").alias("used_by"),
-    )
-    listed = F.when(F.col("__doc").isNull(), F.array(undefined)).otherwise(F.array(*checks))
+    def row(path: str, reason: str, used_by: str) -> str:
+        return f"named_struct('path', {V.literal(path)}, 'reason', {reason}, 'used_by', {V.literal(used_by)})"
+
+    checks = [
+        row(str(r.get("path", "")), _contract_reason("__doc", r), str(r.get("usedBy", ""))) for r in rules
+    ]
+    undefined = row("data", "'data is undefined'", "all contract checks")
+    listed = f"if(__doc IS NULL, array({undefined}), array({', '.join(checks)}))"
     keep = [c for c in df.columns if c != column]
-    return out.select(*keep, F.explode(listed).alias("__c")).select(*keep, "__c.*")
+    out = df.withColumn("__doc", F.expr(V.document(V.name(column))))
+    out = out.select(*keep, F.expr(f"explode({listed})").alias("__c"))
+    reason = F.col("__c.reason")
+    return out.select(
+        *keep,
+        "__c.path",
+        (~reason.isin("missing path", "data is undefined")).alias("exists"),
+        (reason == "ok").alias("ok"),
+        reason.alias("reason"),
+        "__c.used_by",
+    )
 
 
 def contract_summary(checks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -349,14 +324,11 @@ def _candidates(events: DataFrame, page_pattern: str, event_type: str) -> DataFr
     return events.filter(F.col("eventType") == event_type) if event_type else events
 
 
-def richness(paths: Sequence[str] = SCORE_PATHS) -> Column:
-    """2 for every filled page-level field, 3 for every filled score path."""
-    score = F.lit(0)
-    for name in SCORE_FIELDS:
-        score = score + F.when(F.col(name) != "", 2).otherwise(0)
-    for path in paths:
-        score = score + F.when(V.is_filled(analytics_value(path)), 3).otherwise(0)
-    return score.cast("bigint")
+def richness(paths: Sequence[str] = SCORE_PATHS) -> str:
+    """SQL score: 2 for every filled page-level field, 3 for every filled score path."""
+    terms = [f"if(coalesce({name}, '') <> '', 2, 0)" for name in SCORE_FIELDS]
+    terms += [f"if({V.filled(analytics_value(path))}, 3, 0)" for path in paths]
+    return f"CAST({' + '.join(terms)} AS BIGINT)"
 
 
 def best_beacon(
@@ -374,7 +346,7 @@ def best_beacon(
     ``max_by`` keeps one candidate per session and task before the shuffle, whatever a session holds.
     """
     rows = _candidates(events, page_pattern, event_type).filter(satisfies(analytics_value, requirements))
-    kept = as_json_text(rows.withColumn("score", richness(score_paths)))
+    kept = as_json_text(rows.withColumn("score", F.expr(richness(score_paths))))
     fields = [c for c in kept.columns if c != session]
     best = kept.groupBy(session).agg(F.max_by(F.struct(*fields), F.struct("score", *order)).alias("__best"))
     return best.select(session, "__best.*")
@@ -394,7 +366,7 @@ def rejected_beacons(
 
     The rank filter limits each session inside every task before the shuffle.
     """
-    rows = _candidates(events, page_pattern, event_type).withColumn("failed", failed_checks(analytics_value, requirements))
+    rows = _candidates(events, page_pattern, event_type).withColumn("failed", F.expr(failed_checks(analytics_value, requirements)))
     rows = as_json_text(rows.filter(F.size("failed") > 0))
     latest = Window.partitionBy(session).orderBy(*[F.desc(c) for c in order])
     ranked = rows.withColumn("reject_rank", F.row_number().over(latest).cast("bigint"))
@@ -428,19 +400,19 @@ def match_request(
     The search runs over the event array of the row itself, so no row leaves its task. ``fields`` must hold
     the fields that the requirements read.
     """
-    def admitted(event: Column) -> Column:
-        name = F.coalesce(V.at(event, "xdm.web.webPageDetails.name", "string"), F.lit(""))
-        kind = F.coalesce(V.at(event, "xdm.eventType", "string"), F.lit(""))
-        hit = R.search(name, page_pattern) if page_pattern else F.lit(True)
-        return hit & (kind == event_type) if event_type else hit
-
-    keep = [c for c in df.columns if c != payload]
-    events = F.filter(_events_of(F.col(payload)), admitted)
-    found = F.transform(events, lambda e: _extract(e, fields, identity))
+    texts = _field_texts("e", identity)
+    admitted = ["true"]
+    if page_pattern:
+        admitted.append(f"{texts['pageName']} RLIKE {V.literal(R.unicode_pattern(page_pattern))}")
+    if event_type:
+        admitted.append(f"{texts['eventType']} = {V.literal(event_type)}")
+    events = f"filter({_events_of(payload)}, e -> {' AND '.join(admitted)})"
+    found = f"transform({events}, e -> {_extract('e', fields, identity)})"
     if requirements:
-        found = F.filter(found, lambda a: satisfies(lambda key: analytics_value(key, a), requirements))
+        found = f"filter({found}, a -> {satisfies(lambda key: analytics_value(key, 'a.'), requirements)})"
+    keep = [c for c in df.columns if c != payload]
     rows = df.filter(R.contains_any(F.col(url), hosts))
-    first = rows.select(*keep, F.explode(F.slice(found, 1, 1)).alias("__first"))
+    first = rows.select(*keep, F.expr(f"explode(slice({found}, 1, 1))").alias("__first"))
     return as_json_text(first.select(*keep, "__first.*"))
 
 
@@ -472,29 +444,38 @@ def drop_repeats(
 # ---------------------------------------------------------------- delivery calls
 
 
-def _list(doc: Column, path: str) -> Column:
-    """List at a path, an empty one when the value is missing or no list."""
-    return F.coalesce(V.at(doc, path, "array<variant>"), F.array().cast("array<variant>"))
+def _list(doc: str, path: str) -> str:
+    """SQL of the list at a path, an empty one when the value is missing or no list."""
+    return f"coalesce({V.members(doc, path)}, CAST(array() AS ARRAY<VARIANT>))"
 
 
 def mbox_names(df: DataFrame, column: str, output: str = "mbox_names") -> DataFrame:
     """Names of execute then prefetch boxes, in order, unique, blank ones dropped."""
-    doc = V.document(column)
+    doc = V.document(V.name(column))
+    name = f"if({V.kind(V.at('m', 'name'))} = 's', {V.at('m', 'name', 'string')}, NULL)"
+    both = f"concat({_list(doc, 'execute.mboxes')}, {_list(doc, 'prefetch.mboxes')})"
+    return df.withColumn(output, F.expr(f"array_distinct(filter(transform({both}, m -> {name}), n -> n <> ''))"))
 
-    def names(section: str) -> Column:
-        return F.transform(
-            _list(doc, f"{section}.mboxes"),
-            lambda m: F.when(V.type_name(V.at(m, "name")) == "string", V.at(m, "name", "string")),
-        )
 
-    both = F.concat(names("execute"), names("prefetch"))
-    return df.withColumn(output, F.array_distinct(F.filter(both, lambda n: n != "")))
+def _flat(doc: str, key: str) -> str:
+    """SQL of the trimmed scalar under a literal key (dots are part of the key), null when blank."""
+    value = f"try_variant_get({doc}, {V.literal(f"$['{key}']")}, 'string')"
+    return f"nullif(regexp_replace({value}, '(?U)^\\\\s+|\\\\s+$', ''), '')"
 
 
-def _flat(doc: Column, key: str) -> Column:
-    """Trimmed scalar under a literal key (dots in the key are part of it), null when blank."""
-    value = F.try_variant_get(doc, f"$['{key}']", "string")
-    return F.nullif(text.strip_blank(value), F.lit(""))
+# Keys under which an option names its criteria, algorithm, design and activity.
+_TOKEN_KEYS = {
+    "criteria": ("recommendation.criteria.title",),
+    "algorithm": ("recommendation.algorithm.name",),
+    "design": ("recommendation.design.name", "recommendation.template.name", "design.name", "template.name"),
+    "activity_id": ("activity.id",),
+}
+_CONTENT_KEYS = {
+    "criteria": ("criteria.title",),
+    "algorithm": ("algorithm.name",),
+    "design": ("design.name", "template.name", "design", "template"),
+    "activity_id": ("campaign.id",),
+}
 
 
 def delivery_options(df: DataFrame, column: str) -> DataFrame:
@@ -502,33 +483,30 @@ def delivery_options(df: DataFrame, column: str) -> DataFrame:
 
     Token metadata comes first, the option content (JSON text or object) is the fallback.
     """
-    doc = V.document(column)
-    kind = V.type_name(doc)
-    called = F.coalesce(V.at(doc, "calls", "array<variant>"), V.at(doc, "deliveries", "array<variant>"), F.array(doc))
-    calls = F.when(kind == "array", F.try_variant_get(doc, "$", "array<variant>")).when(kind == "object", called)
-    rows = df.select(*[c for c in df.columns if c != column], F.explode(calls).alias("__call"))
-    body = V.at(F.col("__call"), "response.body")
-    body = F.when(V.type_name(body) == "object", body).otherwise(F.col("__call"))
-    boxes = F.concat(_list(body, "prefetch.mboxes"), _list(body, "execute.mboxes"))
-    keep = [c for c in rows.columns if c != "__call"]
-    rows = rows.select(*keep, F.explode(boxes).alias("__box"))
-    rows = rows.select(*keep, F.explode(_list(F.col("__box"), "options")).alias("__option"))
-    tokens = V.at(F.col("__option"), "responseTokens")
-    content = V.at(F.col("__option"), "content")
-    parsed = F.when(V.type_name(content) == "string", F.try_parse_json(V.as_text(content))).otherwise(content)
-    activity = V.at(parsed, "recs.activity")
-    activity_id = F.coalesce(_flat(tokens, "activity.id"), _flat(activity, "campaign.id"))
-    return rows.select(
+    keep = [c for c in df.columns if c != column]
+    rows = df.select(*keep, F.expr(V.document(V.name(column))).alias("__doc"))
+    called = f"coalesce({V.members('__doc', 'calls')}, {V.members('__doc', 'deliveries')}, array(__doc))"
+    rows = rows.select(*keep, F.expr(f"explode(coalesce({V.members('__doc')}, {called}))").alias("__call"))
+    nested = V.at("__call", "response.body")
+    rows = rows.select(*keep, F.expr(f"if({V.kind(nested)} = 'o', {nested}, __call)").alias("__body"))
+    boxes = f"concat({_list('__body', 'prefetch.mboxes')}, {_list('__body', 'execute.mboxes')})"
+    options = f"flatten(transform({boxes}, b -> {_list('b', 'options')}))"
+    rows = rows.select(*keep, F.expr(f"explode({options})").alias("__option"))
+    content = V.at("__option", "content")
+    parsed = f"if({V.kind(content)} = 's', try_parse_json({V.at('__option', 'content', 'string')}), {content})"
+    rows = rows.select(
         *keep,
-        F.coalesce(_flat(tokens, "recommendation.criteria.title"), _flat(activity, "criteria.title")).alias("criteria"),
-        F.coalesce(_flat(tokens, "recommendation.algorithm.name"), _flat(activity, "algorithm.name")).alias("algorithm"),
-        F.coalesce(
-            *[_flat(tokens, k) for k in ("recommendation.design.name", "recommendation.template.name", "design.name", "template.name")],
-            *[_flat(activity, k) for k in ("design.name", "template.name", "design", "template")],
-        ).alias("design"),
-        activity_id.try_cast("bigint").alias("activity_id"),
+        F.expr(V.at("__option", "responseTokens")).alias("__tokens"),
+        F.expr(V.at(parsed, "recs.activity")).alias("__activity"),
     )
 
+    def named(role: str) -> str:
+        texts = [_flat("__tokens", k) for k in _TOKEN_KEYS[role]] + [_flat("__activity", k) for k in _CONTENT_KEYS[role]]
+        return f"coalesce({', '.join(texts)})"
+
+    activity = f"try_cast({named('activity_id')} AS BIGINT) AS activity_id"
+    return rows.selectExpr(*map(V.name, keep), *[f"{named(r)} AS {r}" for r in ("criteria", "algorithm", "design")], activity)
+
 
 def delivery_scope(df: DataFrame, column: str) -> DataFrame:
     """Distinct (kind, value) rows of the criteria, designs and activities seen in delivery calls.
@@ -556,14 +534,12 @@ def visitor_id(
 ) -> DataFrame:
     """First non-empty id of the visitor namespace in an interact response, else empty text."""
     relevant = F.col(url).contains("/interact") & R.contains_any(F.col(url), hosts)
-    doc = V.document(body)
-    payloads = F.flatten(F.transform(_list(doc, "handle"), lambda h: _list(h, "payload")))
-    ids = F.filter(
-        payloads,
-        lambda p: F.coalesce((V.at(p, "namespace.code", "string") == namespace) & V.is_filled(V.at(p, "id")), F.lit(False)),
-    )
-    first = V.at(F.try_element_at(ids, F.lit(1)), "id", "string")
-    return df.withColumn(output, F.when(relevant, F.coalesce(first, F.lit(""))).otherwise(""))
+    doc = V.document(V.name(body))
+    payloads = f"flatten(transform({_list(doc, 'handle')}, h -> {_list('h', 'payload')}))"
+    named = f"{V.at('p', 'namespace.code', 'string')} = {V.literal(namespace)} AND {V.filled(V.at('p', 'id'))}"
+    first = f"try_element_at(filter({payloads}, p -> {named}), 1)"
+    found = F.expr(f"coalesce({V.at(first, 'id', 'string')}, '')")
+    return df.withColumn(output, F.when(relevant, found).otherwise(""))
 
 
 # ---------------------------------------------------------------- chunked payloads
