@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Full-width digits read as their ASCII counterparts.
@@ -67,6 +69,16 @@ def without_nan(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
+def has_keys(df: DataFrame, keys: Sequence[str]) -> Column:
+    """All keys present, as plain null tests that reach the file scan (NaN counts as missing)."""
+    out = F.lit(True)
+    for key in keys:
+        out = out & F.col(key).isNotNull()
+        if isinstance(df.schema[key].dataType, (T.DoubleType, T.FloatType)):
+            out = out & ~F.isnan(key)
+    return out
+
+
 def force_text(value: str | Column) -> Column:
     """Prefix an apostrophe to values made of digits only."""
     value = col(value)

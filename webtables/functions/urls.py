@@ -14,8 +14,10 @@ _PATH = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 def url_decode(value: str | Column) -> Column:
     """Percent-decode; ``+`` and malformed ``%`` stay as they are."""
-    escaped = F.regexp_replace(col(value), r"%(?![0-9A-Fa-f]{2})", "%25")
-    return F.try_url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+    value = col(value)
+    escaped = F.regexp_replace(value, r"%(?![0-9A-Fa-f]{2})", "%25")
+    decoded = F.try_url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+    return F.when(value.contains("%"), decoded).otherwise(value)
 
 
 def form_decode(value: str | Column) -> Column:

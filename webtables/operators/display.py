@@ -132,7 +132,7 @@ def series_totals(df: DataFrame, x: str, y: str, series: str, limit: int = SERIE
 
     Counting and summing share one aggregate per (x, series); the series are ranked on its small result.
     """
-    rows = df.dropna(subset=[x, y]).withColumn("__series", F.coalesce(F.col(series).cast("string"), F.lit("(null)")))
+    rows = df.filter(text.has_keys(df, [x, y])).withColumn("__series", F.coalesce(F.col(series).cast("string"), F.lit("(null)")))
     cells = rows.groupBy(F.col(x), F.col("__series").alias("series")).agg(
         F.sum(y).alias("total"), F.count("*").alias("__rows")
     )

@@ -38,7 +38,7 @@ def numeric_profile(df: DataFrame) -> DataFrame:
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quartiles = exact_percentiles(long, ["column_name"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    quartiles = exact_percentiles(long, ["column_name"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, max_groups=len(names))
     order = ("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
     return stats.join(quartiles, "column_name", "left").select(*order)
 

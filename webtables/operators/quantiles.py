@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 2000
 MARGIN = 0.002
 SMALL_GROUP = 10_000
+BROADCAST_GROUPS = 10_000
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str):
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
     condition = F.lit(True)
     for key in keys:
         condition = condition & left[key].eqNullSafe(right[prefix + key])
@@ -31,48 +32,52 @@ def exact_percentiles(
     percentiles: dict[str, float],
     *,
     small_group: int = SMALL_GROUP,
+    max_groups: int | None = None,
 ) -> DataFrame:
     """One row per key tuple with a column per named percentile of ``value`` (double, nulls ignored).
 
-    Groups of at most ``small_group`` values are bracketed by their minimum and maximum, larger ones
-    by sketch values a margin of four sketch errors away from the wanted rank.
+    Groups of at most ``small_group`` values are bracketed by their minimum and maximum, larger ones by
+    sketch values a margin of four sketch errors away from each wanted rank.  All percentiles share two
+    passes over the data. ``max_groups`` is the number of groups the caller can prove; the bracket table
+    is broadcast only then.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
-    result = None
-    for name, p in percentiles.items():
-        part = _one_percentile(data, keys, name, p, small_group)
-        if result is None:
-            result = part
-            continue
-        renamed = part.select(*[F.col(k).alias("__r_" + k) for k in keys], name)
-        result = result.join(renamed, _null_safe(result, renamed, keys, "__r_"), "inner").drop(
-            *["__r_" + k for k in keys]
-        )
-    return result
-
-
-def _one_percentile(data: DataFrame, keys: list[str], name: str, p: float, small_group: int) -> DataFrame:
-    bounds = F.percentile_approx(
-        "__v", F.array(F.lit(max(p - MARGIN, 0.0)), F.lit(min(p + MARGIN, 1.0))), F.lit(ACCURACY)
-    )
-    brackets = data.groupBy(*keys).agg(
-        F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), bounds.alias("__b")
+    wanted = sorted(percentiles.items(), key=lambda item: item[1])
+    edges = [F.lit(e) for _, p in wanted for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+    sketch = data.groupBy(*keys).agg(
+        F.count("*").alias("__n"),
+        F.min("__v").alias("__min"),
+        F.max("__v").alias("__max"),
+        F.percentile_approx("__v", F.array(*edges), F.lit(ACCURACY)).alias("__edges"),
     )
     small = F.col("__n") <= small_group
-    brackets = brackets.select(
-        *[F.col(k).alias("__k_" + k) for k in keys],
-        "__n",
-        F.when(small, F.col("__min")).otherwise(F.col("__b")[0]).alias("__lo"),
-        F.when(small, F.col("__max")).otherwise(F.col("__b")[1]).alias("__hi"),
-    )
-    joined = data.join(brackets, _null_safe(data, brackets, keys, "__k_"), "inner").filter("__v <= __hi")
-    below_as_block = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
-    counts = joined.groupBy(*keys, "__n", below_as_block.alias("__v")).agg(F.count("*").alias("__c"))
-    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__v"))
+    bounds = []
+    for i in range(len(wanted)):
+        bounds.append(F.when(small, F.col("__min")).otherwise(F.col("__edges")[2 * i]).alias(f"__lo{i}"))
+        bounds.append(F.when(small, F.col("__max")).otherwise(F.col("__edges")[2 * i + 1]).alias(f"__hi{i}"))
+    brackets = sketch.select(*[F.col(k).alias("__k_" + k) for k in keys], "__n", *bounds)
+    if max_groups is not None and max_groups <= BROADCAST_GROUPS:
+        brackets = F.broadcast(brackets)
+    joined = data.join(brackets, _null_safe(data, brackets, keys, "__k_"), "inner")
+    counts = joined.groupBy(*keys, "__n", *_anchored(len(wanted))).agg(F.count("*").alias("__c"))
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__anchor"), "__block")
     running = counts.withColumn("__upto", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return running.groupBy(*keys).agg(*[_interpolated(p).alias(name) for name, p in percentiles.items()])
+
+
+def _anchored(brackets: int) -> list[Column]:
+    """Grouping columns of a row: its own value inside a bracket, else the block after the last bracket below it."""
+    value, inside, below = F.col("__v"), F.lit(False), F.lit(None).cast("double")
+    for i in range(brackets):
+        inside = inside | value.between(F.col(f"__lo{i}"), F.col(f"__hi{i}"))
+        below = F.greatest(below, F.when(F.col(f"__hi{i}") < value, F.col(f"__hi{i}")))
+    return [F.when(inside, value).otherwise(below).alias("__anchor"), (~inside).alias("__block")]
+
+
+def _interpolated(p: float) -> Column:
     rank = (F.col("__n") - 1) * F.lit(p)
-    lower = F.min(F.when(F.col("__upto") > F.floor(rank), F.col("__v")))
-    upper = F.min(F.when(F.col("__upto") > F.ceil(rank), F.col("__v")))
-    fraction = F.first(rank - F.floor(rank))
-    return running.groupBy(*keys).agg((lower + (upper - lower) * fraction).alias(name))
+    exact = F.when(~F.col("__block"), F.col("__anchor"))
+    lower = F.min(F.when(F.col("__upto") > F.floor(rank), exact))
+    upper = F.min(F.when(F.col("__upto") > F.ceil(rank), exact))
+    return lower + (upper - lower) * F.max(rank - F.floor(rank))

@@ -17,17 +17,19 @@ def search_aggregate(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataFra
     Columns outside ``metrics`` are group keys, so name a ready-made ratio such as ``ctr`` in
     ``metrics`` to have it dropped instead. Rows with a null key are left out.
     """
-    if "page" in df.columns:
-        df = df.withColumn("page", urls.normalize_page("page"))
+    has_page = "page" in df.columns
     if not {"clicks", "impressions"} <= set(df.columns):
-        return df
+        return df.withColumn("page", urls.normalize_page("page")) if has_page else df
     keys = [c for c in df.columns if c not in set(metrics) | set(METRICS)]
+    # Null keys are tested before the page is rewritten, so the test reads a raw column.
+    rows = df.filter(text.has_keys(df, keys))
+    if has_page:
+        rows = rows.withColumn("page", urls.normalize_page("page"))
     sums = [F.coalesce(F.sum(text.without_nan(df, m)), F.lit(0)).alias(m) for m in ("impressions", "clicks")]
     if "position" not in df.columns:
-        return df.dropna(subset=keys).groupBy(*keys).agg(*sums)
+        return rows.groupBy(*keys).agg(*sums)
     weight = F.coalesce(text.to_double(df, "position") * text.to_double(df, "impressions"), F.lit(0.0))
-    out = df.withColumn("__weight", weight).dropna(subset=keys).groupBy(*keys)
-    out = out.agg(*sums, F.sum("__weight").alias("__weight"))
+    out = rows.groupBy(*keys).agg(*sums, F.sum(weight).alias("__weight"))
     position = F.when(F.col("impressions") > 0, F.col("__weight") / F.col("impressions")).otherwise(F.lit(0.0))
     return out.select(*keys, "impressions", "clicks", position.alias("position"))
 
@@ -45,7 +47,7 @@ def merge_query_variants(df: DataFrame, group_keys: Sequence[str] = ("month", "s
     numbers = {m: text.without_nan(df, m) for m in ("impressions", "clicks", "position")}
     weight = F.coalesce(numbers["position"] * numbers["impressions"], F.lit(0)).cast("double")
     spellings = (
-        df.dropna(subset=[*keys, "query"])
+        df.filter(text.has_keys(df, [*keys, "query"]))
         .groupBy(*keys, "query")
         .agg(
             F.max(numbers["impressions"]).alias("__top"),
