@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from .text import col, strip_blank
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+_EMPTY_PARAMETERS = r"(?s)^((?:[A-Za-z][A-Za-z0-9+.-]*+:)?+(?://[^/?#]*+)?+(?:[^?#]*/)?[^/;?#]*);$"
 _PATH = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 
@@ -47,9 +48,15 @@ def _lower_scheme(value: Column) -> Column:
     return F.concat(F.lower(scheme), F.substr(value, F.length(scheme) + 1))
 
 
+def _rebuilt_prefix(value: Column) -> Column:
+    """URL up to its query in rebuilt form: scheme in lower case, no empty parameters (a lone ``;``) at the end."""
+    prefix = F.regexp_extract(_lower_scheme(value), r"(?s)^[^?#]*", 0)
+    return F.when(prefix.endswith(";"), F.regexp_replace(prefix, _EMPTY_PARAMETERS, "$1")).otherwise(prefix)
+
+
 def strip_qs(value: str | Column) -> Column:
     """Drop query and fragment."""
-    return F.regexp_replace(_lower_scheme(col(value)), r"(?s)[?#].*$", "")
+    return _rebuilt_prefix(col(value))
 
 
 def form_pairs(query: Column) -> Column:
@@ -92,7 +99,7 @@ def keep_qs(value: str | Column, names: Sequence[str]) -> Column:
     query = F.array_join(
         F.transform(grouped, lambda p: F.concat(form_encode(p["name"]), F.lit("="), form_encode(p["value"]))), "&"
     )
-    prefix = F.regexp_extract(_lower_scheme(value), r"(?s)^[^?#]*", 0)
+    prefix = _rebuilt_prefix(value)
     fragment = F.regexp_extract(value, r"(?s)^[^#]*(#.+)$", 1)
     return F.concat(prefix, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)), fragment)
 
