@@ -16,19 +16,28 @@ def rule_list(rules: Rules) -> list[tuple[str, str]]:
     return [(str(pattern), str(label)) for pattern, label in pairs]
 
 
-def valid_rules(spark: SparkSession, rules: Rules) -> list[tuple[str, str]]:
-    """Rules whose pattern compiles; the others are reported and skipped.
+def _compile_error(spark: SparkSession, patterns: Sequence[str]) -> PySparkException | None:
+    """Error of the first pattern that does not compile; constant expressions are folded, so no job runs."""
+    tests = ", ".join(f"'' RLIKE :p{i} AS c{i}" for i in range(len(patterns)))
+    try:
+        spark.sql(f"SELECT {tests}", args={f"p{i}": unicode_pattern(p) for i, p in enumerate(patterns)}).collect()
+    except PySparkException as error:
+        return error
+    return None
+
 
-    Each check is a constant expression that the optimizer folds, so no job runs.
-    """
+def valid_rules(spark: SparkSession, rules: Rules) -> list[tuple[str, str]]:
+    """Rules whose pattern compiles; the others are reported and skipped."""
+    pairs = rule_list(rules)
+    if not pairs or _compile_error(spark, [pattern for pattern, _ in pairs]) is None:
+        return pairs
     good = []
-    for pattern, label in rule_list(rules):
-        try:
-            spark.sql("SELECT '' RLIKE :p AS ok", args={"p": unicode_pattern(pattern)}).collect()
-        except PySparkException as error:
+    for pattern, label in pairs:
+        error = _compile_error(spark, [pattern])
+        if error is None:
+            good.append((pattern, label))
+        else:
             warnings.warn(f"invalid pattern skipped: {pattern} ({error.getCondition()})", stacklevel=2)
-            continue
-        good.append((pattern, label))
     return good
 
 

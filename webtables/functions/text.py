@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -25,6 +25,11 @@ def col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_blank(value: str | Column) -> Column:
     """Remove every Unicode blank at both ends (``trim`` knows the space only)."""
     return F.regexp_replace(col(value), r"(?U)^\s+|\s+$", "")

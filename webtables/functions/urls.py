@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from .text import col, strip_blank
+from .text import col, let, strip_blank
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 _EMPTY_PARAMETERS = r"(?s)^((?:[A-Za-z][A-Za-z0-9+.-]*+:)?+(?://[^/?#]*+)?+(?:[^?#]*/)?[^/;?#]*);$"
@@ -23,7 +23,9 @@ def url_decode(value: str | Column) -> Column:
 
 def form_decode(value: str | Column) -> Column:
     """Percent-decode a form value, where ``+`` stands for a blank."""
-    return F.try_url_decode(F.regexp_replace(col(value), r"%(?![0-9A-Fa-f]{2})", "%25"))
+    value = col(value)
+    decoded = F.try_url_decode(F.regexp_replace(value, r"%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.when(value.contains("%"), decoded).otherwise(F.translate(value, "+", " "))
 
 
 def form_encode(value: str | Column) -> Column:
@@ -87,21 +89,23 @@ def keep_qs(value: str | Column, names: Sequence[str]) -> Column:
     """
     value = col(value)
     kept = F.filter(form_pairs(url_query(value)), lambda p: p["name"].isin(list(names)))
-    order = F.transform(kept, lambda p: p["name"])
-    grouped = F.array_sort(
-        F.transform(
-            kept,
-            lambda p: F.struct(
-                F.array_position(order, p["name"]).alias("first"), p["position"], p["name"], p["value"]
-            ),
+
+    def rebuilt(pairs: Column) -> Column:
+        def place(p: Column) -> Column:
+            first = F.array_position(pairs["name"], p["name"])
+            return F.struct(first.alias("first"), p["position"], p["name"], p["value"])
+
+        items = F.transform(
+            F.array_sort(F.transform(pairs, place)),
+            lambda p: F.concat(form_encode(p["name"]), F.lit("="), form_encode(p["value"])),
         )
-    )
-    query = F.array_join(
-        F.transform(grouped, lambda p: F.concat(form_encode(p["name"]), F.lit("="), form_encode(p["value"]))), "&"
-    )
+        return F.array_join(items, "&")
+
+    query = let(kept, rebuilt)
     prefix = _rebuilt_prefix(value)
     fragment = F.regexp_extract(value, r"(?s)^[^#]*(#.+)$", 1)
-    return F.concat(prefix, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)), fragment)
+    shown = let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+    return F.concat(prefix, shown, fragment)
 
 
 def normalize_page(value: str | Column) -> Column:

@@ -83,11 +83,8 @@ def parse_beacons(df: DataFrame, url: str = "url", body: str = "body", output: s
         return F.transform(found, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value")))
 
     rows = rows.withColumn("__all", F.concat(pairs(F.col(body)), pairs(urls.url_query(url)), suite_pair))
-    names = F.transform("__all", lambda p: p["name"])
-    firsts = F.filter(F.transform("__all", lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
-                      lambda s: F.array_position(names, s["p"]["name"]) == s["i"] + 1)
-    entries = F.transform(firsts, lambda s: s["p"])
-    return rows.withColumn(output, F.map_from_entries(entries)).drop("__all")
+    firsts = F.filter("__all", lambda p, i: F.array_position(F.col("__all.name"), p["name"]) == i + 1)
+    return rows.withColumn(output, F.map_from_entries(firsts)).drop("__all")
 
 
 def pick_headers(df: DataFrame, column: str, names: Sequence[str] = STABLE_HEADERS) -> DataFrame:

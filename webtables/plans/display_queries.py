@@ -34,14 +34,14 @@ def time_axis(spark, sf):
 
 
 _SERIES = """
-    WITH r AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN user_id % 31 = 0 THEN '(null)' ELSE CAST(user_id AS VARCHAR) END AS series, value FROM events),
+    WITH r AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN user_id % 31 = 0 THEN '(null)' ELSE CAST(user_id AS VARCHAR) END AS series, value FROM events),
     top AS (SELECT series FROM r GROUP BY series ORDER BY count(*) DESC, series LIMIT 20)
 """
 
 
 def _series_rows(spark, sf):
     return read_table(spark, sf, "events").select(
-        F.col("ts").cast("date").alias("day"), F.when(F.col("user_id") % 31 != 0, F.col("user_id")).alias("series"), "value"
+        F.col("ts").cast("date").cast("string").alias("day"), F.when(F.col("user_id") % 31 != 0, F.col("user_id")).alias("series"), "value"
     )
 
 
@@ -51,11 +51,11 @@ def series_totals(spark, sf):
 
 
 @query(
-    "SELECT CAST(ts AS DATE) AS day, "
+    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, "
     + ", ".join(f"round(sum(value) FILTER (WHERE event_type = '{k}'), 4) AS \"{k}\"" for k in ("click", "error", "purchase", "signup", "view"))
     + " FROM events GROUP BY 1"
 )
 def series_matrix(spark, sf):
-    rows = read_table(spark, sf, "events").select(F.col("ts").cast("date").alias("day"), "event_type", "value")
+    rows = read_table(spark, sf, "events").select(F.col("ts").cast("date").cast("string").alias("day"), "event_type", "value")
     out = display.series_matrix(rows, "day", "value", "event_type")
     return rounded(out, *out.columns[1:], places=4)

@@ -251,10 +251,10 @@ _YM = """
 """
 
 
-@query(f"SELECT o_orderkey, month_text, ym AS month FROM ({_YM})", "month_rows")
+@query(f"SELECT o_orderkey, month_text, CAST(ym AS VARCHAR) AS month FROM ({_YM})", "month_rows")
 def with_month(spark, sf):
     rows = views.month_rows(spark, sf).drop("o_totalprice")
-    return periods.with_month(rows, "month_text")
+    return periods.with_month(rows, "month_text").withColumn("month", F.col("month").cast("string"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
@@ -298,14 +298,16 @@ def period_rollup(spark, sf):
     """
     WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate + INTERVAL 75 DAY AS DATE) AS b FROM orders),
     m AS (SELECT o_orderkey, a, b, unnest(generate_series(date_trunc('month', a), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS s FROM r)
-    SELECT o_orderkey, strftime(s, '%Y%m') AS month, greatest(CAST(s AS DATE), a) AS range_start, least(last_day(s), b) AS range_end FROM m
+    SELECT o_orderkey, strftime(s, '%Y%m') AS month, CAST(greatest(CAST(s AS DATE), a) AS VARCHAR) AS range_start,
+           CAST(least(last_day(s), b) AS VARCHAR) AS range_end FROM m
     """
 )
 def month_ranges(spark, sf):
     rows = read_table(spark, sf, "orders").select(
         "o_orderkey", F.col("o_orderdate").cast("date").alias("a"), F.date_add(F.col("o_orderdate").cast("date"), 75).alias("b")
     )
-    return periods.month_ranges(rows, "a", "b").drop("a", "b")
+    out = periods.month_ranges(rows, "a", "b").drop("a", "b")
+    return out.withColumns({c: F.col(c).cast("string") for c in ("range_start", "range_end")})
 
 
 # ---------------------------------------------------------------- time limits

@@ -96,9 +96,10 @@ def page_to_path(spark, sf):
 # ---------------------------------------------------------------- result chain
 
 
-@query("SELECT * FROM events WHERE event_type IN ('purchase', 'click') AND value > 20")
+@query("SELECT event_id, event_type, value, props FROM events WHERE event_type IN ('purchase', 'click') AND value > 20")
 def where_rows(spark, sf):
-    return chain.where(read_table(spark, sf, "events"), "event_type IN ('purchase', 'click') AND value > 20")
+    rows = read_table(spark, sf, "events").select("event_id", "event_type", "value", "props")
+    return chain.where(rows, "event_type IN ('purchase', 'click') AND value > 20")
 
 
 @query("SELECT event_type, event_id FROM events")

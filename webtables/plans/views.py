@@ -9,7 +9,7 @@ from ..sources.readers import read_table
 # The expressions below are plain SQL that both engines read alike; every view keeps all rows of its table.
 _SEARCH = (
     "concat('site', l_suppkey % 5) AS site",
-    "year(l_shipdate) * 100 + month(l_shipdate) AS month",
+    "CAST(year(l_shipdate) * 100 + month(l_shipdate) AS BIGINT) AS month",
     "concat('https://Shop.example.com/', p_type, '/', p_brand, '?id=', l_linenumber) AS page",
     "CASE l_linenumber % 3 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '') ELSE replace(p_name, ' ', '　') END AS query",
     "CAST(floor(l_quantity) AS BIGINT) AS impressions",

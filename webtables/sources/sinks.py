@@ -34,11 +34,19 @@ def write_table(df: DataFrame, path: str, mode: str = "append", *, partition_by:
     if mode not in ("append", "overwrite"):
         raise ValueError(f"Invalid mode: {mode}")
     seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if partition_by:
+        _rebalanced(counted, partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    else:
+        counted.write.mode(mode).parquet(path)
     return seen.get["rows"]
 
 
+def _rebalanced(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of one partition value together, so tasks write few files; the adaptive plan splits hot values."""
+    return df.hint("rebalance", *[F.col(c) for c in columns])
+
+
 def load_delimited(
     spark: SparkSession, source: str, target: str, schema: str, *, skip_lines: int = 1, mode: str = "append", delimiter: str = ","
 ) -> int:
@@ -179,8 +187,8 @@ def replace_groups(
 
 def replace_group_partitions(incoming: DataFrame, path: str, group_keys: Sequence[str]) -> None:
     """Replace groups of a table partitioned by its group keys; only the partitions of incoming are rewritten."""
-    writer = _text_keys(incoming, group_keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*group_keys).parquet(path)
+    rows = _rebalanced(_text_keys(incoming, group_keys), group_keys)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*group_keys).parquet(path)
 
 
 def evolve_schema(current: Mapping[str, str], wanted: Mapping[str, str]) -> dict[str, str]:
