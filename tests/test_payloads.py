@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from webtables.operators import beacons
 from webtables.streaming import jobs

@@ -130,14 +130,13 @@ def time_axis(df: DataFrame) -> str | None:
 def series_totals(df: DataFrame, x: str, y: str, series: str, limit: int = SERIES_LIMIT) -> DataFrame:
     """Sum of ``y`` by ``x`` and series, for the series with the most rows; null series is ``(null)``.
 
-    Counting and summing share one aggregate per (x, series); the series are ranked on its small result.
+    The series are ranked first, on a scan of their own columns; at most ``limit`` names filter the sums.
     """
     rows = df.filter(text.has_keys(df, [x, y])).withColumn("__series", F.coalesce(F.col(series).cast("string"), F.lit("(null)")))
-    cells = rows.groupBy(F.col(x), F.col("__series").alias("series")).agg(
-        F.sum(y).alias("total"), F.count("*").alias("__rows")
-    )
-    top = cells.groupBy("series").agg(F.sum("__rows").alias("__n")).orderBy(F.desc("__n"), "series").limit(limit)
-    return cells.join(top.select("series"), "series", "left_semi").select(x, "series", "total")
+    counts = rows.groupBy(F.col("__series").alias("series")).agg(F.count("*").alias("__n"))
+    top = counts.orderBy(F.desc("__n"), "series").limit(limit).select("series")
+    kept = rows.join(F.broadcast(top), rows["__series"] == top["series"], "left_semi")  # at most `limit` rows
+    return kept.groupBy(F.col(x), F.col("__series").alias("series")).agg(F.sum(y).alias("total"))
 
 
 def series_matrix(df: DataFrame, x: str, y: str, series: str, limit: int = SERIES_LIMIT) -> DataFrame:

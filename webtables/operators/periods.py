@@ -61,12 +61,17 @@ def parse_periods(tokens: str, reference: date | None = None) -> list[tuple[str,
 def period_rollup(df: DataFrame, month: str, metrics: list[str], tokens: str, reference: date | None = None) -> DataFrame:
     """Sums per period label; periods may overlap.
 
-    Rows are summed per month first, so the join with the label list touches one row per month.
+    Rows are summed per month first; each month then looks its labels up in a literal map, so nothing is
+    joined and only one row per month is repeated.
     """
-    pairs = [(label, m) for label, months in parse_periods(tokens, reference) for m in months]
-    labels = df.sparkSession.createDataFrame(pairs, "period string, __month string")
+    labels: dict[str, list[str]] = {}
+    for label, months in parse_periods(tokens, reference):
+        for m in months:
+            labels.setdefault(m, []).append(label)
+    literal = F.create_map(*[F.lit(part) for pair in labels.items() for part in pair])
     monthly = df.groupBy(F.col(month).cast("string").alias("__month")).agg(*[F.sum(m).alias(m) for m in metrics])
-    return monthly.join(labels, "__month", "inner").groupBy("period").agg(*[F.sum(m).alias(m) for m in metrics])
+    labelled = monthly.select(F.explode(literal[F.col("__month")]).alias("period"), *metrics)
+    return labelled.groupBy("period").agg(*[F.sum(m).alias(m) for m in metrics])
 
 
 def month_ranges(df: DataFrame, start: str, end: str) -> DataFrame:

@@ -369,22 +369,19 @@ def _keys(on: str | Sequence[str]) -> list[str]:
 
 
 def _merge(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join on null-safe keys; an outer join is a left join plus the unmatched right rows.
+    """Join on null-safe keys.
 
-    Neither side of a full outer join can be split when a key is hot; the two parts used here can.
+    Reports hold one row per key tuple, so no key is hot; a left side with many rows per key is split by
+    the adaptive skew join.
     """
+    if how not in ("left", "inner", "outer"):
+        raise ValueError(f"Invalid merge type: {how}")
     renamed = right.select(*[F.col(k).alias("__r_" + k) for k in keys], *[c for c in right.columns if c not in keys])
     same = _all([left[k].eqNullSafe(renamed["__r_" + k]) for k in keys])
-    if how == "inner":
-        return left.join(renamed, same, "inner").drop(*["__r_" + k for k in keys])
-    if how not in ("left", "outer"):
-        raise ValueError(f"Invalid merge type: {how}")
-    matched = left.join(renamed, same, "left").drop(*["__r_" + k for k in keys])
-    if how == "left":
-        return matched
-    left_keys = left.select(*[F.col(k).alias("__l_" + k) for k in keys])
-    unmatched = right.join(left_keys, _all([right[k].eqNullSafe(left_keys["__l_" + k]) for k in keys]), "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    joined = left.join(renamed, same, how)
+    if how == "outer":
+        joined = joined.withColumns({k: F.coalesce(F.col(k), F.col("__r_" + k)) for k in keys})
+    return joined.drop(*["__r_" + k for k in keys])
 
 
 def merge_reports(

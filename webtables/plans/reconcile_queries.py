@@ -16,7 +16,7 @@ _RULES = [("^/2", "S2"), ("^/3", "S3 "), ("^/4", "S4"), ("^/9", "S9"), ("^/33",
 
 
 def _rules(spark):
-    return spark.createDataFrame(_RULES, "pattern string, label string")
+    return readers.rule_table(spark, _RULES, "pattern string, label string")
 
 
 @query("SELECT coalesce(site, '') AS site, CAST(sum(sessions) AS BIGINT) AS sessions FROM site_rows GROUP BY 1", "site_rows")

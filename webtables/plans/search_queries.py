@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import chain, channels, numbers, search
-from ..sources.readers import read_table
+from ..sources.readers import read_table, rule_table
 from . import views
 from .registry import query, rounded
 
@@ -242,7 +242,7 @@ _RULES = [("site0 ", 20.0, 5.0), ("site1", None, 4.0), ("site1", 30.0, 50.0), ("
     "search_rows",
 )
 def threshold_filter(spark, sf):
-    rules = spark.createDataFrame(_RULES, "site string, min_impressions double, max_position double")
+    rules = rule_table(spark, _RULES, "site string, min_impressions double, max_position double")
     return search.threshold_filter(views.search_rows(spark, sf), rules)
 
 
@@ -283,7 +283,7 @@ def _site_facts(spark, sf):
     "search_rows",
 )
 def union_sites(spark, sf):
-    sites = spark.createDataFrame(_SITES, "url string, label string")
+    sites = rule_table(spark, _SITES, "url string, label string")
     out = search.union_sites(_site_facts(spark, sf), sites, label_col="label", constants={"batch": "202605"})
     return rounded(out, "position")
 
@@ -300,7 +300,7 @@ def union_sites(spark, sf):
     "search_rows",
 )
 def site_key_join(spark, sf):
-    sites = spark.createDataFrame([*_SITES, ("sc-domain:site2", "two")], "site_url string, label string")
+    sites = rule_table(spark, [*_SITES, ("sc-domain:site2", "two")], "site_url string, label string")
     keyed = sites.select(urls.site_key("site_url").alias("site_key"), "label")
     facts = _site_facts(spark, sf).withColumn("site_key", urls.site_key("url"))
     totals = facts.groupBy("site_key").agg(F.sum("clicks").alias("clicks"))

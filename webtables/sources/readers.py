@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date, datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text
 
@@ -14,6 +16,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Small literal table whose size Spark knows, so that joins with it are planned by that size."""
+    fields = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    arrays = [pa.array(values, to_arrow_type(f.dataType)) for values, f in zip(columns, fields)]
+    return spark.createDataFrame(pa.table(arrays, names=fields.names))
+
+
 def read_result(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Saved result with a header line; the schema is declared, so no pass is spent on inference."""
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", False).csv(path)
