@@ -61,19 +61,16 @@ def strip_qs(value: str | Column) -> Column:
     return _rebuilt_prefix(col(value))
 
 
-def form_pairs(query: Column) -> Column:
-    """Array of (name, value, position) of a query text, decoded, valueless names kept."""
+def form_pairs(query: Column, with_position: bool = True) -> Column:
+    """Array of (name, value[, position]) of a query text, decoded, valueless names kept."""
     items = F.filter(F.split(query, "&"), lambda item: item != "")
 
     def pair(item: Column, position: Column) -> Column:
         cut = F.instr(item, "=")
         raw_name = F.when(cut > 0, F.substring_index(item, "=", 1)).otherwise(item)
         raw_value = F.when(cut > 0, F.substr(item, cut + 1)).otherwise(F.lit(""))
-        return F.struct(
-            form_decode(raw_name).alias("name"),
-            form_decode(raw_value).alias("value"),
-            position.alias("position"),
-        )
+        fields = [form_decode(raw_name).alias("name"), form_decode(raw_value).alias("value")]
+        return F.struct(*fields, *([position.alias("position")] if with_position else []))
 
     return F.transform(items, pair)
 

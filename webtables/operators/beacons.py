@@ -78,9 +78,8 @@ def parse_beacons(df: DataFrame, url: str = "url", body: str = "body", output: s
     ).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
 
     def pairs(form: Column) -> Column:
-        plain = F.regexp_replace(F.coalesce(form, F.lit("")), r"^\?+", "")
-        found = urls.form_pairs(F.when(plain.contains("="), plain).otherwise(""))
-        return F.transform(found, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value")))
+        plain = F.ltrim(F.coalesce(form, F.lit("")), F.lit("?"))
+        return urls.form_pairs(F.when(plain.contains("="), plain).otherwise(""), with_position=False)
 
     rows = rows.withColumn("__all", F.concat(pairs(F.col(body)), pairs(urls.url_query(url)), suite_pair))
     firsts = F.filter("__all", lambda p, i: F.array_position(F.col("__all.name"), p["name"]) == i + 1)
@@ -322,12 +321,26 @@ def _candidates(events: DataFrame, page_pattern: str, event_type: str) -> DataFr
 
 
 def richness(paths: Sequence[str] = SCORE_PATHS) -> str:
-    """SQL score: 2 for every filled page-level field, 3 for every filled score path."""
+    """SQL score: 2 for every filled page-level field, 3 for every filled score path.
+
+    Paths are grouped by their field, so none is looked up in a field that is null.
+    """
     terms = [f"if(coalesce({name}, '') <> '', 2, 0)" for name in SCORE_FIELDS]
-    terms += [f"if({V.filled(analytics_value(path))}, 3, 0)" for path in paths]
+    for field in FIELDS:
+        inside = [p for p in paths if p.split(".")[0].split("[")[0] == field]
+        if inside:
+            score = " + ".join(f"if({V.filled(analytics_value(p))}, 3, 0)" for p in inside)
+            terms.append(f"if({field} IS NULL, 0, {score})")
     return f"CAST({' + '.join(terms)} AS BIGINT)"
 
 
+def _one_per_session(rows: DataFrame, session: str, pick: Callable[[Column], Column]) -> DataFrame:
+    """The row that ``pick`` (a ``max_by`` or ``min_by``) keeps per session; JSON text is made of the kept rows only."""
+    fields = [c for c in rows.columns if c != session]
+    kept = rows.groupBy(session).agg(pick(F.struct(*fields)).alias("__kept"))
+    return as_json_text(kept.select(session, "__kept.*"))
+
+
 def best_beacon(
     events: DataFrame,
     *,
@@ -343,10 +356,8 @@ def best_beacon(
     ``max_by`` keeps one candidate per session and task before the shuffle, whatever a session holds.
     """
     rows = _candidates(events, page_pattern, event_type).filter(satisfies(analytics_value, requirements))
-    kept = as_json_text(rows.withColumn("score", F.expr(richness(score_paths))))
-    fields = [c for c in kept.columns if c != session]
-    best = kept.groupBy(session).agg(F.max_by(F.struct(*fields), F.struct("score", *order)).alias("__best"))
-    return best.select(session, "__best.*")
+    scored = rows.withColumn("score", F.expr(richness(score_paths)))
+    return _one_per_session(scored, session, lambda row: F.max_by(row, F.struct("score", *order)))
 
 
 def rejected_beacons(
@@ -361,23 +372,22 @@ def rejected_beacons(
 ) -> DataFrame:
     """The latest ``limit`` candidates per session that failed, with the failing checks.
 
-    The rank filter limits each session inside every task before the shuffle.
+    The rank filter limits each session inside every task before the shuffle; which checks failed is
+    written out for the rows that remain.
     """
-    rows = _candidates(events, page_pattern, event_type).withColumn("failed", F.expr(failed_checks(analytics_value, requirements)))
-    rows = as_json_text(rows.filter(F.size("failed") > 0))
+    rows = _candidates(events, page_pattern, event_type).filter(f"NOT ({satisfies(analytics_value, requirements)})")
     latest = Window.partitionBy(session).orderBy(*[F.desc(c) for c in order])
     ranked = rows.withColumn("reject_rank", F.row_number().over(latest).cast("bigint"))
-    return ranked.filter(F.col("reject_rank") <= limit)
+    kept = ranked.filter(F.col("reject_rank") <= limit)
+    return as_json_text(kept.withColumn("failed", F.expr(failed_checks(analytics_value, requirements))))
 
 
 def first_page_match(
     events: DataFrame, page_pattern: str, *, session: str = "session_id", order: Sequence[str] = ("seq", "pos")
 ) -> DataFrame:
     """First event per session whose page name matches."""
-    rows = as_json_text(events.filter((F.col("pageName") != "") & R.search(F.col("pageName"), page_pattern)))
-    fields = [c for c in rows.columns if c != session]
-    first = rows.groupBy(session).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("__first"))
-    return first.select(session, "__first.*")
+    rows = events.filter((F.col("pageName") != "") & R.search(F.col("pageName"), page_pattern))
+    return _one_per_session(rows, session, lambda row: F.min_by(row, F.struct(*order)))
 
 
 def match_request(

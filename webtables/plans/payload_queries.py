@@ -68,8 +68,8 @@ _FIELDS = """
 """
 
 
-def _events(spark, sf):
-    return beacons.extract_edge_events(views.request_rows(spark, sf).select("seq", "session_id", "payload"))
+def _events(spark, sf, fields=beacons.FIELDS):
+    return beacons.extract_edge_events(views.request_rows(spark, sf).select("seq", "session_id", "payload"), fields=fields)
 
 
 @query(f'SELECT seq, pos, "pageName", "eventType", channel, events, "eVars" FROM ({_FIELDS})', "request_rows")
@@ -149,7 +149,7 @@ def best_beacon(spark, sf):
     "request_rows",
 )
 def rejected_beacons(spark, sf):
-    out = beacons.rejected_beacons(_events(spark, sf), _CHECKS)
+    out = beacons.rejected_beacons(_events(spark, sf, ["pageName", "events", "eVars", "commerce"]), _CHECKS)
     return out.select("session_id", "seq", F.array_join("failed", ";").alias("failed"), "reject_rank")
 
 
@@ -161,7 +161,7 @@ def rejected_beacons(spark, sf):
     "request_rows",
 )
 def first_page_match(spark, sf):
-    return beacons.first_page_match(_events(spark, sf), "[13579]$").select("session_id", "seq", "pageName")
+    return beacons.first_page_match(_events(spark, sf, ["pageName"]), "[13579]$").select("session_id", "seq", "pageName")
 
 
 @query(
