@@ -68,6 +68,14 @@ def test_group_sum_options(shop, rows):
     assert rows(chain.to_int(out, ["units", "rate"]), F.asc_nulls_last("color")) == [("blue", 4, 1), ("red", 0, 0), (None, 7, 2)]
 
 
+def test_percentiles_of_a_large_group_use_narrow_brackets(spark):
+    """200,000 distinct values in one group: the brackets hold few of them, the result is that of the sorted group."""
+    df = spark.range(200_000).selectExpr("'hot' AS k", "pmod(xxhash64(id), 1000003) / 7.0D AS v")
+    values = np.array([r[0] for r in df.select("v").collect()])
+    found = exact_percentiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.999}).first()
+    assert [found[n] for n in "abc"] == pytest.approx(list(np.percentile(values, [25, 50, 99.9])), abs=1e-9)
+
+
 @pytest.mark.parametrize("small_group", [5, 100_000])
 def test_percentiles_equal_sorting(spark, small_group):
     """Hot group, ties, tiny groups: the bracketed path must equal sorting the whole group."""

@@ -428,24 +428,25 @@ def drop_repeats(
 ) -> DataFrame:
     """Drop rows equal to the row right before them in their session; later repeats stay.
 
-    A session may hold a large part of the table, so its order column is cut into blocks: rows look back
-    inside their block, and only the first row of a block looks at the last row of an earlier block, which
-    is found among one summary row per block.
+    A session may hold a large part of the table, so its order column is cut into blocks and rows look back
+    inside their block.  The last row of the block before is found among one summary row per block and
+    joins each block as its opening row, so all rows are shuffled once and by (session, block).
     """
-    content = F.struct(*[F.col(c) for c in compare])
-    rows = df.withColumns({"__block": F.floor(F.col(order) / block_width), "__content": content})
-    inside = Window.partitionBy(session, "__block").orderBy(order)
-    rows = rows.withColumns({"__previous": F.lag("__content").over(inside), "__place": F.row_number().over(inside)})
-    last = df.withColumn("__block", F.floor(F.col(order) / block_width)).groupBy(session, "__block")
-    last = last.agg(F.max_by(content, order).alias("__last"))
-    blocks = Window.partitionBy(session).orderBy("__block")
-    carried = last.select(
-        F.col(session).alias("__session"), F.col("__block").alias("__next"), F.lag("__last").over(blocks).alias("__carried")
-    ).filter("__carried IS NOT NULL")
-    opening = rows[session].eqNullSafe(carried["__session"]) & (rows["__block"] == carried["__next"])
-    joined = rows.join(carried, opening, "left")
-    previous = F.when(F.col("__place") == 1, F.col("__carried")).otherwise(F.col("__previous"))
-    return joined.filter(previous.isNull() | ~previous.eqNullSafe(F.col("__content"))).select(*df.columns)
+    rows = df.withColumns(
+        {
+            "__block": F.floor(F.col(order) / block_width),
+            "__content": F.struct(*[F.col(c) for c in compare]),
+            "__carried": F.lit(False),
+        }
+    )
+    last = rows.groupBy(session, "__block").agg(F.max_by("__content", order).alias("__last"))
+    before = F.lag("__last").over(Window.partitionBy(session).orderBy("__block"))
+    opening = last.select(session, "__block", before.alias("__content"), F.lit(True).alias("__carried"))
+    united = rows.unionByName(opening.filter("__content IS NOT NULL"), allowMissingColumns=True)
+    inside = Window.partitionBy(session, "__block").orderBy(F.desc("__carried"), order)
+    previous = F.lag("__content").over(inside)
+    looked = united.withColumn("__repeat", F.coalesce(previous.eqNullSafe(F.col("__content")), F.lit(False)))
+    return looked.filter("NOT __carried AND NOT __repeat").select(*df.columns)
 
 
 # ---------------------------------------------------------------- delivery calls

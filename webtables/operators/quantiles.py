@@ -3,7 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one aggregation buffer, which a group
 holding a third of a large table does not survive.  Here a bounded sketch brackets each wanted rank
 first; only values inside the bracket are then counted one by one, the rest are counted as a block.
-The result is the linearly interpolated percentile, equal to sorting the whole group.
+The result is the linearly interpolated percentile, equal to sorting the whole group; a sketch that broke
+its error bound would stop the job rather than change a result.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ACCURACY = 2000
-MARGIN = 0.002
+ACCURACY = 20_000
+MARGIN = 0.0002
 SMALL_GROUP = 10_000
 BROADCAST_GROUPS = 10_000
 
@@ -75,9 +76,17 @@ def _anchored(brackets: int) -> list[Column]:
     return [F.when(inside, value).otherwise(below).alias("__anchor"), (~inside).alias("__block")]
 
 
+def _value_at(rank: Column) -> Column:
+    """Smallest exact value whose running count passes the rank; a rank inside a block would be an error."""
+    reached, block = F.col("__upto") > rank, F.col("__block")
+    in_bracket = F.min(F.when(reached & ~block, F.col("__upto")))
+    in_block = F.min(F.when(reached & block, F.col("__upto")))
+    missed = in_bracket.isNull() | F.coalesce(in_block < in_bracket, F.lit(False))
+    value = F.min(F.when(reached & ~block, F.col("__anchor")))
+    return F.when(missed, F.raise_error(F.lit("percentile bracket missed its rank"))).otherwise(value)
+
+
 def _interpolated(p: float) -> Column:
     rank = (F.col("__n") - 1) * F.lit(p)
-    exact = F.when(~F.col("__block"), F.col("__anchor"))
-    lower = F.min(F.when(F.col("__upto") > F.floor(rank), exact))
-    upper = F.min(F.when(F.col("__upto") > F.ceil(rank), exact))
+    lower, upper = _value_at(F.floor(rank)), _value_at(F.ceil(rank))
     return lower + (upper - lower) * F.max(rank - F.floor(rank))

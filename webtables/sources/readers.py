@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import date, datetime
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -61,9 +62,14 @@ def last_per_key(df: DataFrame, key: str, columns: list[str], order: str | None
 _PARAMETER_TYPES = {
     "STRING": str,
     "INT64": int,
+    "INTEGER": int,
     "FLOAT64": float,
+    "FLOAT": float,
+    "NUMERIC": Decimal,
     "BOOL": bool,
+    "BOOLEAN": bool,
     "DATE": lambda v: v if isinstance(v, date) else date.fromisoformat(v),
+    "DATETIME": lambda v: v if isinstance(v, datetime) else datetime.fromisoformat(v),
     "TIMESTAMP": lambda v: v if isinstance(v, datetime) else datetime.fromisoformat(v),
 }
 
