@@ -89,6 +89,12 @@ def test_pattern_map_paths_agree_and_bad_patterns_are_skipped(spark, rows):
     assert rows(channels.classify_by_pattern(df, {}, "v"), "v")[0] == (None, "other")
 
 
+def test_rule_listed_twice(spark, rows):
+    """First place, last label, as when a mapping is filled entry by entry."""
+    df = spark.createDataFrame([('[{"key":"^/a","value":"one"},{"regex":"^/b","site":"two"},{"key":" ^/a ","value":"three"},{"key":"^/c"}]',), ("no",)], "doc string")
+    assert rows(channels.list_rules(df, "doc").drop("doc")) == [(0, "^/a", "three"), (1, "^/b", "two")]
+
+
 # ---------------------------------------------------------------- numbers
 
 

@@ -172,6 +172,24 @@ def trailing_slashes(df: DataFrame, column: str) -> DataFrame:
 
 # ---------------------------------------------------------------- rules held as data
 
+def _one_rule_per_pattern(rules: Column) -> Column:
+    """A pattern listed twice keeps its first place and takes its last label."""
+    def merged(found: Column) -> Column:
+        def settle(rule: Column) -> Column:
+            same = F.filter(found, lambda r: r["pattern"] == rule["pattern"])
+            return F.struct(rule["pattern"].alias("pattern"), F.element_at(same, -1)["label"].alias("label"))
+
+        firsts = F.filter(found, lambda rule, i: F.array_position(found["pattern"], rule["pattern"]) == i + 1)
+        return F.transform(firsts, settle)
+
+    return text.let(rules, merged)
+
+
+def _explode_rules(df: DataFrame, columns: list[str], rules: Column) -> DataFrame:
+    placed = df.select(*columns, F.posexplode(_one_rule_per_pattern(rules)).alias("rule_order", "__rule"))
+    return placed.select(*columns, "rule_order", "__rule.pattern", "__rule.label")
+
+
 _REGEX_TABLE = (
     "struct<parameter:array<struct<key:string,type:string,value:string,"
     "list:array<struct<map:array<struct<key:string,value:string>>>>>>>"
@@ -201,10 +219,7 @@ def regex_table_rules(df: DataFrame, column: str) -> DataFrame:
     default = F.when(
         default_text != "", F.array(F.struct(F.lit(DEFAULT_RULE).alias("pattern"), default_text.alias("label")))
     ).otherwise(F.array())
-    listed = parsed.withColumn("__rules", F.concat(rules, default))
-    return listed.select(*df.columns, F.posexplode("__rules").alias("rule_order", "__rule")).select(
-        *df.columns, "rule_order", F.col("__rule.pattern").alias("pattern"), F.col("__rule.label").alias("label")
-    )
+    return _explode_rules(parsed, df.columns, F.concat(rules, default))
 
 
 _PATTERN_KEYS = ("key", "pattern", "regex", "source")
@@ -214,15 +229,16 @@ _LABEL_KEYS = ("value", "output", "site", "target")
 def list_rules(df: DataFrame, column: str) -> DataFrame:
     """Ordered rules of a JSON list whose entries name pattern and label under one of several keys."""
     fields = ",".join(f"{name}:string" for name in _PATTERN_KEYS + _LABEL_KEYS)
-    entries = F.posexplode(F.from_json(column, f"array<struct<{fields}>>")).alias("rule_order", "__entry")
+    entries = F.from_json(column, f"array<struct<{fields}>>")
 
-    def first_filled(names: Sequence[str]) -> Column:
-        return text.strip_blank(F.coalesce(*[F.when(F.col(f"__entry.{n}") != "", F.col(f"__entry.{n}")) for n in names]))
+    def first_filled(entry: Column, names: Sequence[str]) -> Column:
+        return text.strip_blank(F.coalesce(*[F.when(entry[n] != "", entry[n]) for n in names]))
 
-    out = df.select(*df.columns, entries).select(
-        *df.columns, "rule_order", first_filled(_PATTERN_KEYS).alias("pattern"), first_filled(_LABEL_KEYS).alias("label")
+    rules = F.transform(
+        entries,
+        lambda e: F.struct(first_filled(e, _PATTERN_KEYS).alias("pattern"), first_filled(e, _LABEL_KEYS).alias("label")),
     )
-    return out.filter("pattern <> '' AND label <> ''")
+    return _explode_rules(df, df.columns, F.filter(rules, lambda r: (r["pattern"] != "") & (r["label"] != "")))
 
 
 def url_columns(df: DataFrame) -> DataFrame:

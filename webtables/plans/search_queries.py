@@ -458,7 +458,7 @@ def regex_table_rules(spark, sf):
 @query(
     """
     SELECT p_partkey, 0 AS rule_order, p_type AS pattern, p_brand AS label FROM part
-    UNION ALL SELECT p_partkey, 2, p_name, 'site' FROM part
+    UNION ALL SELECT p_partkey, 1, p_name, 'site' FROM part
     """
 )
 def list_rules(spark, sf):
