@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, sharding
+from . import decontaminate, mixing, quality, sharding
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -15,6 +15,13 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query()
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontaminate.find_overlap(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "hits")
+
+
 @query()
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents"), quality.RULES)
