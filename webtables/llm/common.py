@@ -60,9 +60,10 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def code_points(text: Column) -> Column:
-    """Text as binary, so that it sorts by code point."""
-    return text.cast("binary")
+def hidden(df: DataFrame, *kept: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but ``kept`` renamed out of the way of computed ones, and what brings the names back."""
+    names = {c: c if c in kept else f"_own_{i}" for i, c in enumerate(df.columns)}
+    return df.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
 
 
 def annotate(df: DataFrame, carry: list[str], fields: str, measure) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import annotate, free_name, need, written
+from .common import annotate, free_name, hidden, need, written
 from .words import LETTERS, covered, text_words
 
 WINDOW = 10
@@ -221,5 +221,5 @@ def _searcher(chosen: list[Tests]):
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents, with their own columns, that share no window with the benchmark."""
-    found = find_overlap(docs, benchmark, window)
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    own, restore = hidden(docs, "text")
+    return find_overlap(own, benchmark, window).where(~F.col("contaminated")).select(restore)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import annotate, free_name, need, written
 from .words import SPACED, flat, mix, runs
 
-BLOCK = 20_000  # undecided units one task holds at a time
+BLOCK = 4_000  # undecided units one task holds at a time
 MAX_SOURCES = 100_000  # a mixture is a stated list of sources; more of them are an error, not a cut
 NEAR = 1e-9
 EXCHANGES = 6

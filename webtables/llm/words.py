@@ -155,3 +155,16 @@ def per_row(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sum of a value per word over each text; texts without words give 0."""
     sums = np.concatenate([[0], np.cumsum(values, dtype=values.dtype if values.dtype.kind == "f" else np.int64)])
     return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def split_long(words: Words, most: int) -> Words:
+    """Words with those of more than ``most`` bytes cut into pieces, so that none is longer."""
+    size = words.end - words.start
+    if not len(size) or size.max() <= most:
+        return words
+    pieces = -(-size // most)
+    index = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.repeat(words.start, pieces) + index * most
+    end = np.minimum(start + most, np.repeat(words.end, pieces))
+    bounds = np.concatenate([[0], np.cumsum(pieces)])[words.bounds]
+    return Words(start, end, np.repeat(words.row, pieces), bounds)
