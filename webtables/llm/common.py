@@ -66,6 +66,22 @@ def hidden(df: DataFrame, *kept: str) -> tuple[DataFrame, list[Column]]:
     return df.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
 
 
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch, text: int):
+    """Rows of a batch, so many at a time that their texts hold about ``SLICE_BYTES``; a longer text comes alone."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype("int64").cumsum()
+    at = 0
+    while at < batch.num_rows:
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(size.searchsorted(before + SLICE_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def annotate(df: DataFrame, carry: list[str], fields: str, measure) -> DataFrame:
     """Columns ``carry`` of ``df`` and new ones that ``measure(text column) -> list of Arrow arrays`` computes.
 
@@ -82,8 +98,8 @@ def annotate(df: DataFrame, carry: list[str], fields: str, measure) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                kept = [batch.column(i) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays(kept + measure(batch.column(len(carry))), schema.fieldNames())
+            for part in slices(batch, len(carry)):
+                kept = [part.column(i) for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays(kept + measure(part.column(len(carry))), schema.fieldNames())
 
     return df.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias(text)).mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, mixing, quality, sharding, toxicity
+from . import decontaminate, jaccard, language, mixing, quality, sharding, toxicity
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -27,6 +27,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "hits")
 
 
+@query()
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
