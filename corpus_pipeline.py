@@ -8,10 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webtables.llm import mixing, sharding
+from webtables.llm import decontaminate, jaccard, mixing, sharding, toxicity
 from webtables.llm.common import table, written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below one half."""
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by the n-gram Jaccard join."""
+    return jaccard.unique_documents(docs)
+
+
+def drop_benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with the benchmark."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of sources takes them."""
     return mixing.mix_documents(docs, mixing.cycle(5, 2, 1))
@@ -22,9 +37,15 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, shards=16).select(*docs.columns, "size", "shard", "slot")
 
 
-STAGES = [("mixing", mix), ("sharding", shard)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", drop_benchmark_overlap),
+    ("mixing_sources", mix),
+    ("sharding", shard),
+]
 
-# Trained scores and similarity joins have no SQL; the tests hold the stages against brute force.
+# trained scores and similarity joins have no SQL; tests hold the stages against brute force
 ORACLE_SQL = None
 
 

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, mixing, quality, secrets, sharding, toxicity, urlfilter
+from . import decontaminate, jaccard, language, linededup, mixing, quality, secrets, sharding, toxicity, urlfilter
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
+@query()
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", "dropped")
+
+
 @query()
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixture(table(spark, sf_dir, "documents"), mixing.cycle(5, 2, 1))
