@@ -53,6 +53,11 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"columns missing: {', '.join(missing)}; found {', '.join(df.columns)}")
 
 
+def columns(df: DataFrame, *left_out: str) -> list[Column]:
+    """The columns of a frame, whatever they are called, but for those left out."""
+    return [F.col(f"`{c}`").alias(c) for c in df.columns if c not in left_out]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     while name in df.columns:
@@ -89,12 +94,12 @@ def annotate(df: DataFrame, carry: list[str], fields: str, measure) -> DataFrame
     batch in the tasks that read the rows, without a shuffle; Spark bounds a batch by rows and by bytes.
     """
     import pyarrow as pa
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     new = StructType.fromDDL(fields)
     carry = [c for c in carry if c not in new.fieldNames()]
-    text = free_name(df, "_text")
-    schema = StructType([df.schema[c] for c in carry] + list(new))
+    plain = [f"c{i}" for i in range(len(carry))]  # whatever the columns are called
+    schema = StructType([StructField(p, df.schema[c].dataType, True) for p, c in zip(plain, carry)] + list(new))
 
     def run(batches):
         for batch in batches:
@@ -102,4 +107,5 @@ def annotate(df: DataFrame, carry: list[str], fields: str, measure) -> DataFrame
                 kept = [part.column(i) for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays(kept + measure(part.column(len(carry))), schema.fieldNames())
 
-    return df.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias(text)).mapInArrow(run, schema)
+    read = df.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(carry, plain)], F.col("text").alias("text"))
+    return read.mapInArrow(run, schema).toDF(*carry, *new.fieldNames())

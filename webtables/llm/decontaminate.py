@@ -195,7 +195,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ca
             found = found.unionByName(part)
         kept = [c for c in found.columns if c not in ("n_words", "hits", "items", "longest", number)]
         found = found.groupBy(number).agg(
-            *[F.first(c).alias(c) for c in kept], F.first("n_words").alias("n_words"),
+            *[F.first(f"`{c}`").alias(c) for c in kept], F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.max("longest").alias("longest")).drop(number)
         found = found.withColumn("hits", F.expr(_UNION))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import annotate, free_name, need, written
+from .common import annotate, columns, free_name, need, written
 from .words import SPACED, flat, mix, runs
 
 BLOCK = 4_000  # undecided units one task holds at a time
@@ -199,4 +199,4 @@ def mix_documents(docs: DataFrame, weight: Callable[[int], int] = cycle(5, 2, 1)
     rows = sized.withColumn(index, F.row_number().over(same) if units.agg(F.max("_unit_n")).first()[0] not in (None, 1) else F.lit(1))
     joined = rows.join(units, F.col("doc_id").eqNullSafe(F.col("_unit_doc_id")) & F.col("source").eqNullSafe(F.col("_unit_source")) & (F.col(size) == F.col("_unit_size")))
     copies = F.col("_unit_whole") + (F.col(index) <= F.col("_unit_extra")).cast("int")
-    return joined.where(copies > 0).withColumn(repeat, F.explode(F.sequence(F.lit(1), copies))).select(docs.columns)
+    return joined.where(copies > 0).withColumn(repeat, F.explode(F.sequence(F.lit(1), copies))).select(columns(docs))

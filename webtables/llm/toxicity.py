@@ -22,7 +22,7 @@ from .words import LETTERS, flat, runs, span_codes, split_long
 PER_CLASS = 6000  # labelled texts per class, chosen by the hash of the id; a third of them serves the calibration
 ORDER, SHARED = 6, 2
 DISCOUNT = 0.8
-HIGHEST = 3
+HIGHEST, FEATURES = 3, 4
 BEGIN, FINISH = 2, 3  # bytes that no word holds
 PIECE = 50_000  # distinct words spelled at a time
 LONGEST_WORD = 1000  # bytes; a longer word is read in pieces
@@ -210,8 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     fitted = sample.where("role").select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").collect()
     fitted.sort(key=lambda r: (r[1], r[0]))
-    x, y = np.array([r[0] for r in fitted]).reshape(len(fitted), -1), np.array([r[1] for r in fitted])
-    return Model(levels, calibrate(x if len(x) else np.zeros((0, 4)), y, prior))
+    x, y = np.array([r[0] for r in fitted]).reshape(len(fitted), FEATURES), np.array([r[1] for r in fitted])
+    return Model(levels, calibrate(x, y, prior))
 
 
 def scored(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import free_name, need
+from .common import columns, free_name, need
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,4 +106,5 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFr
     rows = named.drop("rule", "verdict").join(decided(named, rules).withColumnRenamed("action", "_action"), ["host", "path"], "left")
     rows = rows.withColumn(key, url_key(F.col("url"))).join(blocked, key, "left")
     verdict = F.coalesce(F.col("_action"), F.when(F.col("_blocked"), F.lit("block")), F.lit("allow"))
-    return rows.withColumn("verdict", verdict).select([c for c in pages.columns if c not in ("host", "path", "rule", "verdict")] + ["host", "path", "rule", "verdict"])
+    return rows.withColumn("verdict", verdict).select(
+        columns(pages, "host", "path", "rule", "verdict") + [F.col(c) for c in ("host", "path", "rule", "verdict")])
