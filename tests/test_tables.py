@@ -83,7 +83,7 @@ def test_pattern_map_paths_agree_and_bad_patterns_are_skipped(spark, rows):
     with warnings.catch_warnings(record=True) as seen:
         warnings.simplefilter("always")
         direct = rows(channels.pattern_map(df, "v", rules, output="o"), "v")
-        lookup = rows(channels.pattern_map(df, "v", rules, output="o", max_chain=0), "v")
+        lookup = rows(channels.pattern_map_distinct(df, "v", rules, output="o"), "v")
     assert direct == lookup == [(None, None), ("Alpha", "Alpha"), ("alpha", "A"), ("beta", "B")]
     assert any("invalid pattern" in str(w.message) for w in seen)
     assert rows(channels.classify_by_pattern(df, {}, "v"), "v")[0] == (None, "other")

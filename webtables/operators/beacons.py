@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import rules as R, text, urls, variants as V
 
@@ -368,17 +368,17 @@ def rejected_beacons(
     order: Sequence[str] = ("seq", "pos"),
     page_pattern: str = "",
     event_type: str = "",
-    limit: int = 20,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The latest ``limit`` candidates per session that failed, with the failing checks.
+    """The candidates that failed, ranked per session from the latest, with the failing checks; ``limit`` per session if given.
 
-    The rank filter limits each session inside every task before the shuffle; which checks failed is
+    With a limit, the rank filter limits each session inside every task before the shuffle; which checks failed is
     written out for the rows that remain.
     """
     rows = _candidates(events, page_pattern, event_type).filter(f"NOT ({satisfies(analytics_value, requirements)})")
     latest = Window.partitionBy(session).orderBy(*[F.desc(c) for c in order])
     ranked = rows.withColumn("reject_rank", F.row_number().over(latest).cast("bigint"))
-    kept = ranked.filter(F.col("reject_rank") <= limit)
+    kept = ranked if limit is None else ranked.filter(F.col("reject_rank") <= limit)
     return as_json_text(kept.withColumn("failed", F.expr(failed_checks(analytics_value, requirements))))
 
 
@@ -424,26 +424,30 @@ def match_request(
 
 
 def drop_repeats(
-    df: DataFrame, *, session: str, order: str, compare: Sequence[str], block_width: int = 100_000
+    df: DataFrame, *, session: str, order: str, compare: Sequence[str], block_width: float = 100_000
 ) -> DataFrame:
     """Drop rows equal to the row right before them in their session; later repeats stay.
 
-    A session may hold a large part of the table, so its order column is cut into blocks and rows look back
-    inside their block.  The last row of the block before is found among one summary row per block and
-    joins each block as its opening row, so all rows are shuffled once and by (session, block).
+    A session may hold a large part of the table, so its order column (a number, date or time) is cut into blocks of
+    ``block_width`` numbers or seconds and rows look back inside their block. The last row of the block before is
+    found among one summary row per block and joins each block as its opening row. Rows are in the order of
+    ``order``, null first, then of the compared values, so ties have one order, too.
     """
+    kind = df.schema[order].dataType
+    place = F.unix_seconds(F.col(order).cast("timestamp")) if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.col(order)
+    sequence = F.struct(F.col(order), *[F.col(c) for c in compare])
     rows = df.withColumns(
         {
-            "__block": F.floor(F.col(order) / block_width),
+            "__block": F.floor(place / block_width),
             "__content": F.struct(*[F.col(c) for c in compare]),
             "__carried": F.lit(False),
         }
     )
-    last = rows.groupBy(session, "__block").agg(F.max_by("__content", order).alias("__last"))
+    last = rows.groupBy(session, "__block").agg(F.max_by("__content", sequence).alias("__last"))
     before = F.lag("__last").over(Window.partitionBy(session).orderBy("__block"))
     opening = last.select(session, "__block", before.alias("__content"), F.lit(True).alias("__carried"))
     united = rows.unionByName(opening.filter("__content IS NOT NULL"), allowMissingColumns=True)
-    inside = Window.partitionBy(session, "__block").orderBy(F.desc("__carried"), order)
+    inside = Window.partitionBy(session, "__block").orderBy(F.desc("__carried"), order, *compare)
     previous = F.lag("__content").over(inside)
     looked = united.withColumn("__repeat", F.coalesce(previous.eqNullSafe(F.col("__content")), F.lit(False)))
     return looked.filter("NOT __carried AND NOT __repeat").select(*df.columns)

@@ -33,9 +33,6 @@ SOCIAL_FAMILIES = {
 REFERRAL_SEARCH_PATTERN = r"search"
 DEFAULT_RULE = "__default__"
 
-# Above this many rules a chain is evaluated once per distinct value instead of once per row.
-MAX_CHAIN_RULES = 200
-
 
 def _filled(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -66,9 +63,22 @@ def pattern_map(
     *,
     output: str | None = None,
     default: str | None = None,
-    max_chain: int = MAX_CHAIN_RULES,
 ) -> DataFrame:
-    """Label of the first pattern found in ``column`` (case-sensitive search), else the text or ``default``."""
+    """Label of the first pattern found in ``column`` (case-sensitive search), else the text or ``default``.
+
+    Every row runs through the rules; :func:`pattern_map_distinct` runs them once per distinct value.
+    """
+    return _pattern_map(df, column, mapping, output, default, False)
+
+
+def pattern_map_distinct(
+    df: DataFrame, column: str, mapping: R.Rules, *, output: str | None = None, default: str | None = None
+) -> DataFrame:
+    """:func:`pattern_map` by a lookup of the distinct values, for long rule lists over a column of few values."""
+    return _pattern_map(df, column, mapping, output, default, True)
+
+
+def _pattern_map(df: DataFrame, column: str, mapping: R.Rules, output: str | None, default: str | None, distinct: bool) -> DataFrame:
     if not mapping or column not in df.columns:
         return df
     good = R.valid_rules(df.sparkSession, mapping)
@@ -77,7 +87,7 @@ def pattern_map(
     def label(value: Column) -> Column:
         return R.first_label(value.cast("string"), good, value.cast("string") if default is None else F.lit(default))
 
-    if len(good) > max_chain:
+    if distinct:
         return by_distinct_value(df, column, target, label)
     return df.withColumn(target, label(F.col(column)))
 

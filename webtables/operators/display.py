@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text
 
-SERIES_LIMIT = 20
 HINTS = ("date", "int", "float", "currency", "percent", "text")
 TIME_WORDS = ("date", "day", "time", "month", "week")
 DATE_SHARE = 0.8
@@ -108,12 +107,13 @@ def time_axis(df: DataFrame) -> str | None:
     those named like a time first, of which at least 80 % parses.
     """
     kinds = {f.name: f.dataType for f in df.schema}
-    parsable = [n for n, k in kinds.items() if isinstance(k, (T.StringType, *_TIMES))]
+    numeric_date = isinstance(kinds.get("date"), T.IntegralType)  # 20260131, as saved reports have it
+    parsable = [n for n, k in kinds.items() if isinstance(k, (T.StringType, *_TIMES)) or n == "date" and numeric_date]
     if not parsable:
         return None
 
     def parsed(name: str) -> Column:
-        value = F.col(name) if isinstance(kinds[name], _TIMES) else _time_text(F.col(name))
+        value = F.col(name) if isinstance(kinds[name], _TIMES) else _time_text(F.col(name).cast("string"))
         return F.avg(value.isNotNull().cast("int")).alias(name)
 
     share = df.agg(*[parsed(n) for n in parsable]).first().asDict()
@@ -122,25 +122,28 @@ def time_axis(df: DataFrame) -> str | None:
     for name in parsable:
         if isinstance(kinds[name], _TIMES) and (share[name] or 0) > 0:
             return name
+    parsable = [n for n in parsable if n != "date" or not numeric_date]
     hinted = [n for n in parsable if any(w in n.lower() for w in TIME_WORDS)]
     order = hinted + [n for n in parsable if n not in hinted]
     return next((n for n in order if (share[n] or 0) >= DATE_SHARE), None)
 
 
-def series_totals(df: DataFrame, x: str, y: str, series: str, limit: int = SERIES_LIMIT) -> DataFrame:
-    """Sum of ``y`` by ``x`` and series, for the series with the most rows; null series is ``(null)``.
+def series_totals(df: DataFrame, x: str, y: str, series: str, limit: int | None = None) -> DataFrame:
+    """Sum of ``y`` by ``x`` and series; null series is ``(null)``. With ``limit``, for the series with the most rows.
 
-    The series are ranked first, on a scan of their own columns; at most ``limit`` names filter the sums.
+    The series are ranked first, on a scan of their own columns; how their names reach the rows is left to Spark.
     """
     rows = df.filter(text.has_keys(df, [x, y])).withColumn("__series", F.coalesce(F.col(series).cast("string"), F.lit("(null)")))
+    if limit is None:
+        return rows.groupBy(F.col(x), F.col("__series").alias("series")).agg(F.sum(y).alias("total"))
     counts = rows.groupBy(F.col("__series").alias("series")).agg(F.count("*").alias("__n"))
     top = counts.orderBy(F.desc("__n"), "series").limit(limit).select("series")
-    kept = rows.join(F.broadcast(top), rows["__series"] == top["series"], "left_semi")  # at most `limit` rows
+    kept = rows.join(top, rows["__series"] == top["series"], "left_semi")
     return kept.groupBy(F.col(x), F.col("__series").alias("series")).agg(F.sum(y).alias("total"))
 
 
-def series_matrix(df: DataFrame, x: str, y: str, series: str, limit: int = SERIES_LIMIT) -> DataFrame:
-    """One column per series, at most ``limit`` of them, one row per ``x``."""
+def series_matrix(df: DataFrame, x: str, y: str, series: str, limit: int | None = None) -> DataFrame:
+    """One column per series, the ``limit`` with the most rows if given, one row per ``x``."""
     cells = series_totals(df, x, y, series, limit)
-    names = [r["series"] for r in cells.select("series").distinct().orderBy("series").collect()]  # at most `limit`
+    names = [r["series"] for r in cells.select("series").distinct().orderBy("series").collect()]  # the columns of the result
     return cells.groupBy(x).pivot("series", names).agg(F.sum("total"))

@@ -8,7 +8,6 @@ from ..functions import text
 from .quantiles import exact_percentiles
 
 DATE_COLUMNS = ("date", "month", "ym", "yearMonth", "published")
-TOP_VALUES = 5
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -43,8 +42,8 @@ def numeric_profile(df: DataFrame) -> DataFrame:
     return stats.join(quartiles, "column_name", "left").select(*order)
 
 
-def top_values(df: DataFrame, n: int = TOP_VALUES) -> DataFrame:
-    """Most frequent values of every non-numeric column; null is shown as ``<NA>``.
+def top_values(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Values of every non-numeric column by frequency, the top ``n`` if given; null is shown as ``<NA>``.
 
     Values are counted before they are ranked, and the rank filter prunes inside each task.
     """
@@ -53,7 +52,7 @@ def top_values(df: DataFrame, n: int = TOP_VALUES) -> DataFrame:
     counts = shown.unpivot([], names, "column_name", "value").groupBy("column_name", "value").agg(F.count("*").alias("count"))
     order = Window.partitionBy("column_name").orderBy(F.desc("count"), "value")
     ranked = counts.withColumn("value_rank", F.row_number().over(order).cast("bigint"))
-    return ranked.filter(F.col("value_rank") <= n)
+    return ranked if n is None else ranked.filter(F.col("value_rank") <= n)
 
 
 def extent(df: DataFrame) -> DataFrame:

@@ -37,11 +37,12 @@ def unclassified_hosts(observed: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("sessions"), F.asc_nulls_last("host"))
 
 
-def unclassified_pages(observed: DataFrame, limit: int = 20) -> DataFrame:
-    """Top host and path by sessions where the site is not set."""
+def unclassified_pages(observed: DataFrame, limit: int | None = None) -> DataFrame:
+    """Host and path by sessions where the site is not set, most first; the top ``limit`` if given."""
     rows = observed.filter(F.col("site") == NOT_SET)
     out = rows.groupBy("host", "path").agg(F.sum(_whole(observed, "sessions")).alias("sessions"))
-    return out.orderBy(F.desc("sessions"), F.asc_nulls_last("host"), F.asc_nulls_last("path")).limit(limit)
+    out = out.orderBy(F.desc("sessions"), F.asc_nulls_last("host"), F.asc_nulls_last("path"))
+    return out if limit is None else out.limit(limit)
 
 
 def metric_by_site(observed: DataFrame, metric: str = "metric_value") -> DataFrame:

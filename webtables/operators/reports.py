@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import rules as R, text
 from .chain import field_pairs
@@ -15,9 +15,6 @@ from .search import page_paths
 REPORT_OPERATORS = ("==", "!=", "=@", "!@", "=~", "!~", ">=", "<=", ">", "<")
 SEARCH_OPERATORS = ("contains", "notContains", "equals", "notEquals", "includingRegex", "excludingRegex")
 
-REPORT_LIMIT = 10_000
-SEARCH_LIMIT = 25_000
-
 # Metrics of an event table, as "function:column".
 EVENT_METRICS = {
     "eventCount": "count:*",
@@ -185,11 +182,23 @@ def template_search(
     name_contains: str = "",
     owner: str = "",
     status: Sequence[str] = (),
-    limit: int = 100,
+    updated_after: object = None,
+    updated_before: object = None,
+    created_after: object = None,
+    created_before: object = None,
+    limit: int | None = None,
     columns: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Items by name part, owner and status (all ignoring case), newest update first, top ``limit``."""
-    names = {"key": "id", "name": "name", "owner": "owner", "status": "status", "updated": "updated", **(columns or {})}
+    """Items by name part, owner and status (all ignoring case) and by windows of update and creation, newest first.
+
+    The ends of a window are inclusive; a null time lies in no window. All items unless ``limit`` is given.
+    """
+    names = {"key": "id", "name": "name", "owner": "owner", "status": "status", "updated": "updated", "created": "created", **(columns or {})}
+    _check_limit(limit)
+    for role, first, last in (("updated", updated_after, updated_before), ("created", created_after, created_before)):
+        for bound, keep in ((first, Column.__ge__), (last, Column.__le__)):
+            if bound is not None:
+                df = df.filter(keep(F.col(names[role]), F.lit(bound).cast(df.schema[names[role]].dataType)))
 
     def lowered(role: str) -> Column:
         return F.lower(text.strip_blank(F.coalesce(F.col(names[role]).cast("string"), F.lit(""))))
@@ -200,7 +209,7 @@ def template_search(
         df = df.filter(lowered("owner") == owner.strip().lower())
     if status:
         df = df.filter(lowered("status").isin([s.strip().lower() for s in status]))
-    return df.orderBy(F.desc_nulls_last(names["updated"]), names["key"]).limit(max(1, limit))
+    return df.orderBy(F.desc_nulls_last(names["updated"]), names["key"]).limit(limit) if limit else df.orderBy(F.desc_nulls_last(names["updated"]), names["key"])
 
 
 # ---------------------------------------------------------------- reports
@@ -223,6 +232,11 @@ def _metrics(metrics: Mapping[str, str] | Sequence[str]) -> list[Column]:
     return [metric_column(spec).alias(name) for name, spec in pairs]
 
 
+def _check_limit(limit: int | None) -> None:
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be 1 or greater")
+
+
 def report(
     facts: DataFrame,
     dimensions: Sequence[str | tuple[str, str]],
@@ -233,15 +247,14 @@ def report(
     end: str | date | None = None,
     filters: str | Mapping | Sequence | None = None,
     order: Sequence[tuple[str, bool]] | None = None,
-    limit: int | None = REPORT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Dimensions x metrics over a date range, filtered, ordered and limited.
+    """Dimensions x metrics over a date range, filtered and ordered; all rows unless ``limit`` is given.
 
     ``order`` holds (column, ascending) pairs, by default the first metric descending; dimensions break
     ties, so the limit is deterministic and planned as a top-k.
     """
-    if limit is not None and limit < 1:
-        raise ValueError("limit must be 1 or greater")
+    _check_limit(limit)
     if date_column and start and end:
         facts = date_range(facts, date_column, start, end)
     facts = report_filter(facts, filters)
@@ -259,10 +272,10 @@ def report(
 
 
 def report_ranked(
-    facts: DataFrame, dimension: str | tuple[str, str], metrics: Mapping[str, str] | Sequence[str], *, limit: int = REPORT_LIMIT
+    facts: DataFrame, dimension: str | tuple[str, str], metrics: Mapping[str, str] | Sequence[str], *, limit: int | None = None
 ) -> DataFrame:
     """One dimension ordered by the first metric; the null dimension is a row of its own."""
-    return report(facts, [dimension], metrics, limit=limit)
+    return report(facts, [dimension], metrics, order=[(next(iter(metrics)), False)], limit=limit)
 
 
 def breakdown(
@@ -271,7 +284,7 @@ def breakdown(
     child: str,
     metrics: Mapping[str, str] | Sequence[str],
     *,
-    limit: int = REPORT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Child dimension inside the given parent items (all must hold)."""
     inside = _all([F.col(name).eqNullSafe(F.lit(value)) for name, value in parents.items()])
@@ -302,9 +315,10 @@ def search_report(
     end: str | date | None = None,
     filters: Sequence[str] = (),
     page_to_path: bool = True,
-    limit: int = SEARCH_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Search report: clicks, impressions, ctr and weighted position by dimensions, most clicks first."""
+    _check_limit(limit)
     if date_column and start and end:
         facts = date_range(facts, date_column, start, end)
     facts = search_filter(facts, filters)
@@ -322,7 +336,8 @@ def search_report(
         F.when(shown, F.col("clicks") / F.col("impressions")).otherwise(F.lit(0.0)).alias("ctr"),
         F.when(shown, F.col("__weight") / F.col("impressions")).otherwise(F.lit(0.0)).alias("position"),
     )
-    rows = rows.orderBy(F.desc_nulls_last("clicks"), *[F.asc_nulls_last(a) for _, a in pairs]).limit(limit)
+    rows = rows.orderBy(F.desc_nulls_last("clicks"), *[F.asc_nulls_last(a) for _, a in pairs])
+    rows = rows if limit is None else rows.limit(limit)
     return page_paths(rows) if page_to_path else rows
 
 
@@ -375,7 +390,11 @@ def _merge(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Data
     """
     if how not in ("left", "inner", "outer"):
         raise ValueError(f"Invalid merge type: {how}")
-    renamed = right.select(*[F.col(k).alias("__r_" + k) for k in keys], *[c for c in right.columns if c not in keys])
+    both = {c for c in left.columns if c in right.columns and c not in keys}  # shared metrics get the sides' suffixes
+    left = left.select(*[F.col(c).alias(c + "_x" if c in both else c) for c in left.columns])
+    renamed = right.select(
+        *[F.col(k).alias("__r_" + k) for k in keys], *[F.col(c).alias(c + "_y" if c in both else c) for c in right.columns if c not in keys]
+    )
     same = _all([left[k].eqNullSafe(renamed["__r_" + k]) for k in keys])
     joined = left.join(renamed, same, how)
     if how == "outer":
@@ -386,13 +405,20 @@ def _merge(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Data
 def merge_reports(
     frames: Sequence[DataFrame | None], on: str | Sequence[str], *, how: str = "left", int_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """Fold frames on shared keys, skipping missing ones; listed columns become whole numbers, null as 0."""
+    """Fold frames on shared keys; listed columns become whole numbers, null as 0.
+
+    Missing frames and frames without rows are skipped, so the columns of the result depend on which frames have
+    rows: each is asked for one row when this is called. Without a first frame the result has no columns and no rows.
+    Metrics that two frames share get the suffixes ``_x`` and ``_y``.
+    """
     if not frames or frames[0] is None:
-        raise ValueError("the first frame is missing")
-    merged = frames[0]
-    for frame in frames[1:]:
-        if frame is not None:
-            merged = _merge(merged, frame, _keys(on), how)
+        return SparkSession.getActiveSession().range(0).select()
+    return _folded(frames[0], [f for f in frames[1:] if f is not None and not f.isEmpty()], on, how, int_cols)
+
+
+def _folded(merged: DataFrame, others: Sequence[DataFrame], on: str | Sequence[str], how: str, int_cols: Sequence[str] = ()) -> DataFrame:
+    for frame in others:
+        merged = _merge(merged, frame, _keys(on), how)
     values = {c: F.coalesce(text.to_double(merged, c).try_cast("bigint"), F.lit(0)) for c in int_cols if c in merged.columns}
     return merged.withColumns(values) if values else merged
 
@@ -400,8 +426,11 @@ def merge_reports(
 def outer_merge_reports(
     frames: Sequence[DataFrame | None], on: str | Sequence[str], *, how: str = "outer", fill: object = None
 ) -> DataFrame:
-    """Fold frames with an outer join by default and optionally fill every null."""
-    merged = merge_reports(frames, on, how=how)
+    """Fold frames with an outer join by default and optionally fill every null; frames without rows take part."""
+    there = [f for f in frames if f is not None]
+    if not there:
+        return SparkSession.getActiveSession().range(0).select()
+    merged = _folded(there[0], there[1:], on, how)
     if fill is None:
         return merged
     values = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .beacons import complete_runs
 
@@ -27,34 +27,18 @@ def trim_older_than(
 def keep_last(df: DataFrame, *, seq: str, max_rows: int, keep_rows: int) -> DataFrame:
     """Keep the newest ``keep_rows`` rows once the used rows, header included, exceed ``max_rows``.
 
-    The cut is one sequence number: the table is filtered by it instead of being sorted. It is found by
-    counting rows per block of sequence numbers, then sorting only the block that holds the cut.
+    ``seq`` is of any ordered type, null the oldest; the other columns that can be ordered break ties, so exactly
+    ``keep_rows`` rows stay unless whole rows repeat. Count and cut are scalars of the running query: nothing is run
+    while it is built, and the table is filtered instead of sorted.
     """
     if keep_rows < 1:
         raise ValueError("keep_rows must be 1 or greater")
-    used = df.count() + 1
-    if used <= max_rows or used - keep_rows < 2:
-        return df
-    cut = _nth_newest(df.select(seq), seq, keep_rows)
-    return df.filter(F.col(seq) >= cut)
-
-
-def _nth_newest(df: DataFrame, seq: str, n: int) -> int:
-    """n-th largest sequence number, narrowing a value range by counts until it is small enough to sort."""
-    low, high, total = df.agg(F.min(seq), F.max(seq), F.count(seq)).first()
-    n = min(n, total)
-    while True:
-        width = (high - low) // 1000 + 1
-        inside = df.filter(F.col(seq).between(low, high))
-        counts = inside.groupBy(F.expr(f"({seq} - {low}) div {width}").alias("block")).count()
-        blocks = counts.orderBy(F.desc("block")).collect()  # at most 1,000 rows
-        for row in blocks:
-            if n <= row["count"]:
-                low, high = low + row["block"] * width, min(high, low + (row["block"] + 1) * width - 1)
-                break
-            n -= row["count"]
-        if low == high:
-            return low
+    ordered = [f.name for f in df.schema if f.name != seq and isinstance(f.dataType, T.AtomicType)]
+    place = F.struct(seq, *ordered)
+    used = df.agg((F.count("*") + 1).alias("used")).scalar()
+    newest = df.select(place.alias("place")).orderBy(F.desc("place")).limit(keep_rows)
+    cut = newest.agg(F.min("place").alias("cut")).scalar()
+    return df.filter((used <= max_rows) | (used - keep_rows < 2) | (place >= cut))
 
 
 def migrate_rows(df: DataFrame, header: Sequence[str], layouts: Sequence[Mapping[str, str]]) -> DataFrame:

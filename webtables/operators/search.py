@@ -16,14 +16,14 @@ def search_aggregate(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataFra
     """Sum clicks and impressions over every other column, position weighted by impressions.
 
     Columns outside ``metrics`` are group keys, so name a ready-made ratio such as ``ctr`` in
-    ``metrics`` to have it dropped instead. Rows with a null key are left out.
+    ``metrics`` to have it dropped instead. Rows with a null key are left out; a null page is a group of its own.
     """
     has_page = "page" in df.columns
     if not {"clicks", "impressions"} <= set(df.columns):
         return df.withColumn("page", urls.normalize_page("page")) if has_page else df
     keys = [c for c in df.columns if c not in set(metrics) | set(METRICS)]
     # Null keys are tested before the page is rewritten, so the test reads a raw column.
-    rows = df.filter(text.has_keys(df, keys))
+    rows = df.filter(text.has_keys(df, [k for k in keys if k != "page"]))
     if has_page:
         rows = rows.withColumn("page", urls.normalize_page("page"))
     sums = [F.coalesce(F.sum(text.without_nan(df, m)), F.lit(0)).alias(m) for m in ("impressions", "clicks")]
@@ -72,11 +72,9 @@ def threshold_filter(df: DataFrame, rules: DataFrame, group_col: str = "site") -
     """Drop low-value rows by per-group rules; groups without a rule are removed.
 
     Columns ``min_impressions`` (default 10) and ``max_position`` (default 50) of a rule are optional.
-    An empty rule table returns the input unchanged; a group with two rules is emitted once per rule.
+    A rule table without rows returns the input unchanged, which is told when the query runs; a group with two rules
+    is emitted once per rule.
     """
-    if rules.isEmpty():
-        return df
-
     def limit(name: str, default: float):
         value = text.to_double(rules, name) if name in rules.columns else F.lit(None).cast("double")
         return F.coalesce(value, F.lit(default)).alias("__" + name)
@@ -89,8 +87,9 @@ def threshold_filter(df: DataFrame, rules: DataFrame, group_col: str = "site") -
     impressions = F.coalesce(text.to_double(df, "impressions"), F.lit(0.0))
     position = F.coalesce(text.to_double(df, "position"), F.lit(9999.0))
     low = (clicks == 0) & ((impressions < F.col("__min_impressions")) | (position > F.col("__max_position")))
-    joined = df.join(bounds, df[group_col] == bounds["__group"], "inner")
-    return joined.filter(~low).select(*df.columns)
+    unruled = rules.agg(F.count("*").alias("n")).scalar() == 0
+    joined = df.join(bounds, df[group_col] == bounds["__group"], "left")
+    return joined.filter(unruled | F.col("__group").isNotNull() & ~low).select(*[df[c] for c in df.columns])
 
 
 def clicks_order(df: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def _series_rows(spark, sf):
 
 @query(_SERIES + "SELECT day, series, round(sum(value), 4) AS total FROM r WHERE series IN (SELECT series FROM top) GROUP BY day, series")
 def series_totals(spark, sf):
-    return rounded(display.series_totals(_series_rows(spark, sf), "day", "value", "series"), "total", places=4)
+    return rounded(display.series_totals(_series_rows(spark, sf), "day", "value", "series", limit=20), "total", places=4)
 
 
 @query(
@@ -57,5 +57,5 @@ def series_totals(spark, sf):
 )
 def series_matrix(spark, sf):
     rows = read_table(spark, sf, "events").select(F.col("ts").cast("date").cast("string").alias("day"), "event_type", "value")
-    out = display.series_matrix(rows, "day", "value", "event_type")
+    out = display.series_matrix(rows, "day", "value", "event_type", limit=20)
     return rounded(out, *out.columns[1:], places=4)

@@ -151,7 +151,7 @@ def best_beacon(spark, sf):
     "request_rows",
 )
 def rejected_beacons(spark, sf):
-    out = beacons.rejected_beacons(_events(spark, sf, ["pageName", "events", "eVars", "commerce"]), _CHECKS)
+    out = beacons.rejected_beacons(_events(spark, sf, ["pageName", "events", "eVars", "commerce"]), _CHECKS, limit=20)
     return out.select("session_id", "seq", F.array_join("failed", ";").alias("failed"), "reject_rank")
 
 

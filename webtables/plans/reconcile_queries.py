@@ -40,7 +40,7 @@ def unclassified_hosts(spark, sf):
     "site_rows",
 )
 def unclassified_pages(spark, sf):
-    return reconcile.unclassified_pages(views.site_rows(spark, sf))
+    return reconcile.unclassified_pages(views.site_rows(spark, sf), limit=20)
 
 
 def _second_tool(spark, sf):
@@ -324,7 +324,7 @@ def numeric_profile(spark, sf):
     """
 )
 def top_values(spark, sf):
-    return P.top_values(read_table(spark, sf, "orders"))
+    return P.top_values(read_table(spark, sf, "orders"), n=5)
 
 
 @query(

@@ -111,7 +111,7 @@ def date_range(spark, sf):
 @query(
     """
     SELECT user_id, count(*) AS events FROM events WHERE event_type = 'view' AND props = '{"k": 6}'
-    GROUP BY user_id ORDER BY events DESC, user_id LIMIT 10000
+    GROUP BY user_id ORDER BY events DESC, user_id
     """
 )
 def breakdown(spark, sf):
@@ -171,13 +171,13 @@ def ensure_columns(spark, sf):
 
 
 def _per_user(spark, sf, kind):
-    rows = _events(spark, sf).filter((F.col("event_type") == kind) & (F.col("value") > 30))
+    rows = _events(spark, sf).filter(F.col("event_type") == kind)
     user = F.when(F.col("user_id") % 50 != 0, F.col("user_id"))
     return rows.groupBy(user.alias("user_id")).agg(F.count("*").alias(kind + "s"))
 
 
 _PER_USER = """
-    WITH e AS (SELECT CASE WHEN user_id % 50 <> 0 THEN user_id END AS user_id, event_type FROM events WHERE value > 30),
+    WITH e AS (SELECT CASE WHEN user_id % 50 <> 0 THEN user_id END AS user_id, event_type FROM events),
     v AS (SELECT user_id, count(*) AS views FROM e WHERE event_type = 'view' GROUP BY user_id),
     p AS (SELECT user_id, count(*) AS purchases FROM e WHERE event_type = 'purchase' GROUP BY user_id),
     s AS (SELECT user_id, count(*) AS signups FROM e WHERE event_type = 'signup' GROUP BY user_id)

@@ -47,4 +47,4 @@ def upsert_stream(spark, sf):
     path = fresh_path(spark, "latest")
     updates = jobs.parquet_stream(spark, sf, "events").select("user_id", "event_id", "event_type")
     jobs.upsert_stream(updates, path, fresh_path(spark, "latest-state"), ["user_id"], "event_id").awaitTermination()
-    return jobs.read_upserted(spark, path, ["user_id"])
+    return jobs.read_upserted(spark, path, ["user_id"], "event_id")

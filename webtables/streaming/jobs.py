@@ -55,12 +55,13 @@ def upsert_stream(updates: DataFrame, path: str, checkpoint: str, keys: Sequence
     return updates.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_upserted(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Current table: for every key the row of its newest batch."""
+def read_upserted(spark: SparkSession, path: str, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """Current table: for every key the row of its newest batch, or the greatest by ``order`` over all batches."""
     rows = spark.read.parquet(path)
-    return sinks.one_per_key(rows, keys, "batch").drop("batch")
+    rank = F.col("batch") if order is None else F.struct(F.col(order), F.col("batch"))
+    return sinks.one_per_key(rows, keys, rank).drop("batch")
 
 
-def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str]) -> None:
+def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], order: str | None = None) -> None:
     """Write the merged table to a new path as batch -1, the base for later batches."""
-    read_upserted(spark, path, keys).write.parquet(f"{target}/batch=-1")
+    read_upserted(spark, path, keys, order).write.parquet(f"{target}/batch=-1")
