@@ -5,7 +5,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from webtables.operators import beacons, channels, display, profile, reconcile, reports, retention, search
+from webtables.operators import beacons, chain, channels, display, profile, reconcile, reports, retention, search
+from webtables.sources import readers, sinks
 from webtables.streaming import jobs
 
 
@@ -93,3 +94,30 @@ def test_long_rule_lists_are_a_choice_by_name(spark):
     df = spark.createDataFrame([("a1",), ("b",)], "v string")
     rules = [(f"^a{i}$", str(i)) for i in range(300)]
     assert sorted(channels.pattern_map(df, "v", rules).collect()) == sorted(channels.pattern_map_distinct(df, "v", rules).collect())
+
+
+def test_quoted_line_breaks_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'two\nlines "quoted", and more'), (2, "plain"), (3, None)], "id int, t string")
+    sinks.write_result(df, f"{tmp_path}/r")
+    assert sorted(map(tuple, readers.read_result(spark, f"{tmp_path}/r", "id int, t string").collect())) == sorted(map(tuple, df.collect()))
+    assert sinks.load_delimited(spark, f"{tmp_path}/r", f"{tmp_path}/loaded", "id int, t string") == 3
+    (tmp_path / "k.tsv").write_text('Key\tlabel\na\t"one\ntwo"\nb\tx\n')
+    assert sorted(map(tuple, readers.read_key_value_tsv(spark, f"{tmp_path}/k.tsv", ["label"]).collect())) == [("a", "one\ntwo"), ("b", "x")]
+
+
+def test_chain_reads_only_what_it_sorts_by_or_shows(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    plan = chain.result_chain(df, order="value DESC", columns="event_type", rows=3)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<event_type:string,value:double>" in plan or "ReadSchema: struct<value:double,event_type:string>" in plan
+    merged = sinks.upsert(df, df.limit(5), ["event_id"])
+    assert "rangepartitioning" not in merged._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("parse", [
+    lambda df: chain.parse_transforms("id"), lambda df: chain.parse_transforms("id:what"), lambda df: chain.parse_transforms(" , "), lambda df: chain.parse_transforms(":url_decode"),
+    lambda df: chain.sort_columns(df, "id up"), lambda df: chain.sort_columns(df, "no"), lambda df: chain.sort_columns(df, "id desc asc"),
+    lambda df: chain.parse_aggregates(df, "sum:id,sum:id"), lambda df: chain.parse_aggregates(df, "sum:"), lambda df: chain.parse_aggregates(df, "sum:no"), lambda df: chain.parse_aggregates(df, "avg:id"),
+])
+def test_notations_refuse_what_they_cannot_read(spark, parse):
+    with pytest.raises(ValueError):
+        parse(spark.range(1))

@@ -25,9 +25,13 @@ def rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     return spark.createDataFrame(pa.table(arrays, names=fields.names))
 
 
-def read_result(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Saved result with a header line; the schema is declared, so no pass is spent on inference."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", False).csv(path)
+def read_result(spark: SparkSession, path: str, schema: str | T.StructType, *, line_breaks: bool = True) -> DataFrame:
+    """Saved result with a header line; the schema is declared, so no pass is spent on inference.
+
+    A quoted cell may hold line breaks, so a file is read by one task. ``line_breaks=False`` lets Spark split files
+    that are known to have none.
+    """
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", line_breaks).csv(path)
 
 
 def read_head(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
@@ -46,7 +50,7 @@ def read_key_value_tsv(spark: SparkSession, path: str, columns: list[str], *, or
     """
     names = ["Key", *columns]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names + ([order] if order else [])])
-    raw = spark.read.schema(schema).option("header", True).option("sep", "\t").csv(path)
+    raw = spark.read.schema(schema).option("header", True).option("sep", "\t").option("escape", '"').option("multiLine", True).csv(path)
     trimmed = raw.withColumns({n: text.strip_blank(F.coalesce(n, F.lit(""))) for n in names}).filter("Key <> ''")
     return last_per_key(trimmed, "Key", columns, order)
 

@@ -55,7 +55,7 @@ def load_delimited(
         lines = _without_leading_lines(spark, source, skip_lines)
         rows = lines.select(F.from_csv("value", schema, {"sep": delimiter}).alias("r")).select("r.*")
     else:
-        rows = spark.read.schema(schema).option("header", skip_lines == 1).option("enforceSchema", True).option("sep", delimiter).csv(source)
+        rows = spark.read.schema(schema).option("header", skip_lines == 1).option("enforceSchema", True).option("sep", delimiter).option("escape", '"').option("multiLine", True).csv(source)
     return write_table(rows, target, mode)
 
 
@@ -143,12 +143,10 @@ def _without_keys(existing: DataFrame, incoming: DataFrame, keys: Sequence[str])
 def upsert(
     existing: DataFrame, incoming: DataFrame, keys: Sequence[str], *, sort_by: Sequence[str] | None = None, order: str | None = None
 ) -> DataFrame:
-    """Incoming rows replace existing rows of equal key; an empty input changes nothing."""
+    """Incoming rows replace existing rows of equal key; an empty input changes nothing. Sorted only by ``sort_by``, if given."""
     fresh = one_per_key(incoming, keys, order)
     merged = align_schema(_without_keys(existing, fresh, keys), fresh)
-    names = list(sort_by or keys)
-    rest = [c for c in merged.columns if c not in names]
-    return merged.orderBy(*[F.asc_nulls_last(c) for c in names + rest])
+    return merged.orderBy(*[F.asc_nulls_last(c) for c in dict.fromkeys([*sort_by, *keys])]) if sort_by else merged
 
 
 def insert_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -173,16 +171,15 @@ def replace_groups(
     group_keys: Sequence[str],
     *,
     columns: Sequence[str],
-    sort_by: Sequence[str],
+    sort_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Drop existing rows whose group occurs in incoming, then append incoming.
+    """Drop existing rows whose group occurs in incoming, then append incoming; sorted only if ``sort_by`` is given.
 
     Group keys are compared and kept as stripped text; the columns are exactly the given list.
     """
     old, new = (_text_keys(_columns(df, columns), group_keys) for df in (existing, incoming))
     merged = align_schema(_without_keys(old, new, group_keys), new)
-    rest = [c for c in merged.columns if c not in sort_by]
-    return merged.orderBy(*[F.asc_nulls_last(c) for c in [*sort_by, *rest]])
+    return merged.orderBy(*[F.asc_nulls_last(c) for c in sort_by]) if sort_by else merged
 
 
 def replace_group_partitions(incoming: DataFrame, path: str, group_keys: Sequence[str]) -> None:
