@@ -121,3 +121,10 @@ def test_chain_reads_only_what_it_sorts_by_or_shows(spark):
 def test_notations_refuse_what_they_cannot_read(spark, parse):
     with pytest.raises(ValueError):
         parse(spark.range(1))
+
+
+def test_empty_key_is_the_whole_record(spark):
+    payload = '{"events":[{"xdm":{"eventType":"view","_experience":{"analytics":{"channel":"c"}}}}]}'
+    events = beacons.extract_edge_events(spark.createDataFrame([("s", 1, payload)], "session_id string, seq int, payload string"))
+    assert beacons.best_beacon(events, requirements=[{"key": "", "op": "exists"}]).count() == 1
+    assert beacons.best_beacon(events, requirements=[{"key": "", "op": "empty"}]).count() == 0

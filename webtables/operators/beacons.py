@@ -190,6 +190,8 @@ def as_json_text(df: DataFrame) -> DataFrame:
 
 def analytics_value(path: str, prefix: str = "") -> str:
     """Value at a dotted path of the extracted fields (columns, or struct fields after ``prefix``) as a variant."""
+    if not path:  # the whole record
+        return "to_variant_object(named_struct(" + ", ".join(f"'{f}', {prefix}{f}" for f in FIELDS) + "))"
     name = path.split(".")[0].split("[")[0]
     if name not in FIELDS:
         return "CAST(NULL AS VARIANT)"

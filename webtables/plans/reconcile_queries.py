@@ -345,7 +345,7 @@ def _existing(spark, sf):
 
 
 def _incoming(spark, sf):
-    return read_table(spark, sf, "orders").filter("o_orderstatus = 'P' AND o_totalprice > 200000").selectExpr(
+    return read_table(spark, sf, "orders").filter("o_orderstatus = 'P'").selectExpr(
         "o_custkey % 500 AS key", "CAST(year(o_orderdate) AS BIGINT) AS year", "o_orderkey AS seq", "o_orderstatus AS status", "o_orderpriority AS note"
     )
 
@@ -353,7 +353,7 @@ def _incoming(spark, sf):
 _MERGE = """
     WITH o AS (SELECT o_custkey % 500 AS key, CAST(year(o_orderdate) AS BIGINT) AS year, o_orderkey AS seq, o_orderstatus AS status, o_orderpriority AS note, o_totalprice FROM orders),
     old AS (SELECT key, year, seq, status, CAST(NULL AS VARCHAR) AS note FROM o WHERE status <> 'P'),
-    new AS (SELECT key, year, seq, status, note FROM o WHERE status = 'P' AND o_totalprice > 200000),
+    new AS (SELECT key, year, seq, status, note FROM o WHERE status = 'P'),
     one AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY key, year ORDER BY seq DESC) = 1)
 """
 

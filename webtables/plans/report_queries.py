@@ -136,13 +136,13 @@ def breakdown_all(spark, sf):
     SELECT query, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions,
            round(sum(clicks) / sum(impressions), 6) AS ctr, round(sum(position * impressions) / sum(impressions), 6) AS position,
            regexp_extract(page, '^https://[^/]*([^?#]*)', 1) AS page
-    FROM search_rows WHERE contains(page, 'Brand#1') AND month >= 199901 GROUP BY query, page
+    FROM search_rows WHERE contains(page, 'Brand#1') GROUP BY query, page
     ORDER BY clicks DESC, query, search_rows.page LIMIT 200
     """,
     "search_rows",
 )
 def search_report(spark, sf):
-    rows = views.search_rows(spark, sf).filter("month >= 199901")
+    rows = views.search_rows(spark, sf)
     out = reports.search_report(rows, ["query", "page"], filters=["page:contains:Brand#1"], limit=200)
     return rounded(out, "ctr", "position")
 

@@ -167,12 +167,11 @@ def sorted_head(spark, sf):
 
 @query(
     """
-    SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS total_rows FROM orders
-    WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20
+    SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total_rows FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20
     """
 )
 def head_with_total(spark, sf):
-    rows = read_table(spark, sf, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice")
+    rows = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return chain.head_with_total(chain.sort(rows, "o_totalprice DESC"), 20)
 
 

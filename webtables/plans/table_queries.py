@@ -42,7 +42,7 @@ def write_table(spark, sf):
 @query(
     """
     SELECT kind, event_id, value FROM (SELECT event_type AS kind, event_id, value FROM events WHERE event_type NOT IN ('click', 'error')
-      UNION ALL SELECT event_type, event_id, 0.0 FROM events WHERE event_type IN ('click', 'error') AND value > 20)
+      UNION ALL SELECT event_type, event_id, 0.0 FROM events WHERE event_type IN ('click', 'error'))
     """
 )
 def replace_group_partitions(spark, sf):
@@ -50,7 +50,7 @@ def replace_group_partitions(spark, sf):
     path = fresh_path(spark, "groups")
     events = read_table(spark, sf, "events").select(F.col("event_type").alias("kind"), "event_id", "value")
     sinks.write_table(events, path, "overwrite", partition_by=["kind"])
-    incoming = events.filter("kind IN ('click', 'error') AND value > 20").select(
+    incoming = events.filter("kind IN ('click', 'error')").select(
         F.concat(F.lit(" "), F.col("kind")).alias("kind"), "event_id", F.lit(0.0).alias("value")
     )
     sinks.replace_group_partitions(incoming, path, ["kind"])
