@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import fold, need, slices, written
 from .words import FOLDED, SPACED, mix, text_words
 
-BLOCK_TOKENS = 1_000_000
-PARTS = 256  # of the n-grams of one length; a key travels without its leading byte, which is its part
+BLOCK_TOKENS = 500_000
+PART_TOKENS = 500_000  # training and other tokens for each part of the n-grams of one length
+LEAST_BITS, MOST_BITS = 8, 29  # of a key that name its part; a key travels without its leading byte
 HELD_OUT_PARTS = 10  # one in so many training texts serves the mixture weights
 ROUNDS = 60
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -77,25 +78,40 @@ def _unpacked(vocabulary: bytes, codes: bytes, size: np.ndarray) -> tuple[np.nda
     return vocabulary, code, before, mix(context * _PAIR + vocabulary[code])
 
 
-def _entries(batches):
-    for batch in batches:
-        for block, kind, size, words, codes in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            vocabulary, code, _, pair = _unpacked(words, codes, np.array(size, dtype=np.int64))
-            pairs, often = np.unique(pair, return_counts=True)
-            out = []
-            for first, keys, counts in ((0, pairs, often), (PARTS, vocabulary, np.bincount(code, minlength=len(vocabulary)))):
-                if kind == UNSEEN:
-                    counts = np.zeros(len(keys), dtype=np.int64)
-                ends = np.searchsorted(keys, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(56))
-                ends = np.concatenate([[0], ends, [len(keys)]])
-                low = keys.view(np.uint8).reshape(-1, 8)[:, :7]
-                for p in range(PARTS):
-                    a, b = ends[p], ends[p + 1]
-                    if a < b:
-                        out.append((first + p, block, kind, low[a:b].tobytes(), _squeeze(counts[a:b]) if kind != UNSEEN else b""))
-            columns = list(zip(*out))
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in _ENTRY.split(", ")])
+def _part_bits(tokens: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (tokens // PART_TOKENS).bit_length()))
+
+
+def _sender(bits: int):
+    def run(batches):
+        for batch in batches:
+            yield from _entries(batch, bits)
+
+    return run
+
+
+def _owners(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts that own some of the sorted keys, and where the keys of each begin, with the end of all."""
+    owner = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, dtype=np.int64)
+    return owner[begin], np.append(begin, len(keys))
+
+
+def _entries(batch: pa.RecordBatch, bits: int):
+    for block, kind, size, words, codes in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        vocabulary, code, _, pair = _unpacked(words, codes, np.array(size, dtype=np.int64))
+        pairs, often = np.unique(pair, return_counts=True)
+        out = []
+        for first, keys, counts in ((0, pairs, often), (1 << bits, vocabulary, np.bincount(code, minlength=len(vocabulary)))):
+            if kind == UNSEEN:
+                counts = np.zeros(len(keys), dtype=np.int64)
+            low = keys.view(np.uint8).reshape(-1, 8)[:, :7]
+            owner, ends = _owners(keys, bits)
+            for p, a, b in zip(owner.tolist(), ends[:-1], ends[1:]):
+                out.append((first + p, block, kind, low[a:b].tobytes(), _squeeze(counts[a:b]) if kind != UNSEEN else b""))
+        columns = list(zip(*out))
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in _ENTRY.split(", ")])
 
 
 def _squeeze(counts: np.ndarray) -> bytes:
@@ -140,7 +156,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     return pa.table({f.split()[0]: pa.array(c, t) for f, c, t in zip(_REPLY.split(", "), zip(*out), types)})
 
 
-def _lookup(blocks: pa.Table, replies: pa.Table, column: str) -> tuple | None:
+def _lookup(blocks: pa.Table, replies: pa.Table, column: str, bits: int) -> tuple | None:
     """doc_id, tokens per text, and per token: count of the pair, of the word, of the context."""
     if not blocks.num_rows:
         return None
@@ -149,10 +165,10 @@ def _lookup(blocks: pa.Table, replies: pa.Table, column: str) -> tuple | None:
     pairs, at = np.unique(pair, return_inverse=True)
     parts, blobs = replies["part"].to_numpy(), replies[column].to_pylist()
     found = []
-    for first, keys in ((0, pairs), (PARTS, vocabulary)):
-        sizes = np.bincount((keys >> np.uint64(56)).astype(np.int64), minlength=PARTS)
-        order = {int(p): i for i, p in enumerate(parts)}
-        found.append(np.concatenate([_stretch(blobs[order[first + p]], int(n)) for p, n in enumerate(sizes) if n]))
+    order = {int(p): i for i, p in enumerate(parts)}
+    for first, keys in ((0, pairs), (1 << bits, vocabulary)):
+        owner, ends = _owners(keys, bits)
+        found.append(np.concatenate([_stretch(blobs[order[first + p]], int(n)) for p, n in zip(owner.tolist(), np.diff(ends))]))
     word = found[1][code]
     end = found[1][np.searchsorted(vocabulary, END)]  # every text is begun once and ended once
     context = np.where(before >= 0, found[1][before], end)
@@ -164,10 +180,10 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
-def _cells(total: int):
+def _cells(total: int, bits: int):
     """Held-out tokens added up over cells of bucket, bigram estimate and unigram estimate (tenths of log10)."""
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        found = _lookup(blocks, replies, "kept")
+        found = _lookup(blocks, replies, "kept", bits)
         names = ("bucket", "pair", "word", "n", "pair_sum", "word_sum")
         if found is None:
             return pa.table({n: pa.array([], pa.int64() if i < 4 else pa.float64()) for i, n in enumerate(names)})
@@ -210,9 +226,9 @@ def learn(cells: list[tuple], kinds: int) -> np.ndarray:
     return weights
 
 
-def _score(weights: np.ndarray, total: int, kinds: int):
+def _score(weights: np.ndarray, total: int, kinds: int, bits: int):
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        found = _lookup(blocks, replies, "total")
+        found = _lookup(blocks, replies, "total", bits)
         if found is None:
             return pa.table({"doc_id": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         ids, size, pair, word, context = found
@@ -239,12 +255,13 @@ def score_documents(docs: DataFrame, training: Column, held_out: Column) -> Data
     need(docs, "doc_id", "text")
     kind = F.when(F.coalesce(training, F.lit(False)), F.when(F.coalesce(held_out, F.lit(False)), HELD_OUT).otherwise(COUNTED)).otherwise(UNSEEN)
     blocks = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), kind.cast("int").alias("kind"), "text").mapInArrow(_pack, _BLOCK))
-    entries = blocks.select("block", "kind", "size", "vocabulary", "codes").mapInArrow(_entries, _ENTRY)
-    replies = written(entries.groupBy("part").applyInArrow(_add_up, _REPLY))
-
     size = F.aggregate("size", F.lit(0).cast("bigint"), lambda a, b: a + b)
     tokens = {k: n for k, n in blocks.groupBy("kind").agg(F.sum(size)).collect()}
-    kinds = replies.where((F.col("block") == -1) & (F.col("part") >= PARTS)).select("total", "kept").collect()
+    bits = _part_bits(sum(tokens.values()))
+    entries = blocks.select("block", "kind", "size", "vocabulary", "codes").mapInArrow(_sender(bits), _ENTRY)
+    replies = written(entries.groupBy("part").applyInArrow(_add_up, _REPLY))
+
+    kinds = replies.where((F.col("block") == -1) & (F.col("part") >= 1 << bits)).select("total", "kept").collect()
     all_kinds, kept_kinds = (sum(int(np.frombuffer(r[i], dtype=np.int64)[0]) for r in kinds) for i in (0, 1))
     kept_tokens = tokens.get(COUNTED, 0)
     all_tokens = kept_tokens + tokens.get(HELD_OUT, 0)
@@ -253,12 +270,12 @@ def score_documents(docs: DataFrame, training: Column, held_out: Column) -> Data
         return some.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(function, schema)
 
     cells = answered(
-        blocks.where(F.col("kind") == HELD_OUT), replies.where(F.col("kind") == HELD_OUT).select("block", "part", "kept"), _cells(kept_tokens),
+        blocks.where(F.col("kind") == HELD_OUT), replies.where(F.col("kind") == HELD_OUT).select("block", "part", "kept"), _cells(kept_tokens, bits),
         "bucket long, pair long, word long, n long, pair_sum double, word_sum double")
     cells = cells.groupBy("bucket", "pair", "word").agg(F.sum("n"), F.sum("pair_sum"), F.sum("word_sum")).collect()
     weights = learn([(b, n, x / n, y / n) for b, _, _, n, x, y in sorted(map(tuple, cells))], kept_kinds)
     rows = answered(
-        blocks, replies.where(F.col("block") >= 0).select("block", "part", "total"), _score(weights, all_tokens, all_kinds),
+        blocks, replies.where(F.col("block") >= 0).select("block", "part", "total"), _score(weights, all_tokens, all_kinds, bits),
         "doc_id long, kind int, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", (F.col("kind") != UNSEEN).alias("trained"), "n_tokens", "n_known", F.lit(all_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
