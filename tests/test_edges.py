@@ -128,3 +128,17 @@ def test_empty_key_is_the_whole_record(spark):
     events = beacons.extract_edge_events(spark.createDataFrame([("s", 1, payload)], "session_id string, seq int, payload string"))
     assert beacons.best_beacon(events, requirements=[{"key": "", "op": "exists"}]).count() == 1
     assert beacons.best_beacon(events, requirements=[{"key": "", "op": "empty"}]).count() == 0
+
+
+def test_rule_lists_need_a_list_and_text(spark, rows):
+    docs = ['{"key":"a","value":"b"}', '[{"key":5,"value":"b"},{"key":"","pattern":" p ","value":0,"output":"x"},{"key":"q","value":["y"]},7,null]', "not json", None, "[]"]
+    df = spark.createDataFrame([(d,) for d in docs], "doc string")
+    assert rows(channels.list_rules(df, "doc").select("pattern", "label")) == [("p", "x")]
+
+
+def test_contract_paths_are_plain_keys_and_null_is_undefined(spark):
+    df = spark.createDataFrame([(1, '{"a":[1],"a[0]":"x","b":{"c d":2}}'), (2, "null"), (3, "broken")], "i int, doc string")
+    rules = [{"path": "a[0]", "type": "string"}, {"path": "b.c d", "type": "number"}, {"path": "a.0"}, {"path": ""}]
+    found = beacons.contract_check(df, "doc", rules).collect()
+    assert [r.reason for r in found if r.i == 1] == ["ok", "ok", "missing path", "missing path"]
+    assert [r.reason for r in found if r.i != 1] == ["data is undefined"] * 2

@@ -42,6 +42,15 @@ def at(doc: str, path: str, kind: str = "variant") -> str:
     return f"try_variant_get({doc}, {literal(json_path(path))}, '{kind}')"
 
 
+def member(doc: str, path: str) -> str:
+    """Value under dotted object keys, taken literally: ``a[0]`` is a key. Null when one is missing."""
+    parts = path.split(".")
+    if not all(parts):
+        return "CAST(NULL AS VARIANT)"
+    steps = "".join("[\"" + p + "\"]" if "'" in p else f"['{p}']" for p in parts)
+    return f"try_variant_get({doc}, {literal('$' + steps)}, 'variant')"
+
+
 def members(doc: str, path: str = "") -> str:
     """List at a path as an array, null when the value is missing or no list."""
     return at(doc, path, "array<variant>")

@@ -252,14 +252,15 @@ def requirement_check(df: DataFrame, column: str, requirements: Sequence[Mapping
 
 # ---------------------------------------------------------------- contracts
 
-# The JSON types a contract may ask for, and the names under which found types are reported.
+# The JSON types a contract may ask for, the names under which found types are reported, and the texts
+# of the reasons in _contract_reason and contract_check.
 _CONTRACT_TYPES = {"string": ("s",), "array": ("a",), "object": ("o",), "number": ("", "b"), "boolean": ("b",)}
 _REPORTED = "map('s', 'str', 'a', 'list', 'o', 'dict', 'b', 'bool', 'z', 'NoneType')"
 
 
 def _contract_reason(doc: str, rule: Mapping) -> str:
     """SQL of the first failing reason of a rule, ``ok`` when all its checks hold."""
-    value = V.at(doc, str(rule.get("path", "")))
+    value = V.member(doc, str(rule.get("path", "")))
     cases = [f"WHEN {value} IS NULL THEN 'missing path'"]
     expected = rule.get("type")
     if expected and expected not in _CONTRACT_TYPES:
@@ -293,7 +294,7 @@ def contract_check(df: DataFrame, column: str, rules: Sequence[Mapping]) -> Data
         row(str(r.get("path", "")), _contract_reason("__doc", r), str(r.get("usedBy", ""))) for r in rules
     ]
     undefined = row("data", "'data is undefined'", "all contract checks")
-    listed = f"if(__doc IS NULL, array({undefined}), array({', '.join(checks)}))"
+    listed = f"if(__doc IS NULL OR is_variant_null(__doc), array({undefined}), array({', '.join(checks)}))"
     keep = [c for c in df.columns if c != column]
     out = df.withColumn("__doc", F.expr(V.document(V.name(column))))
     out = out.select(*keep, F.expr(f"explode({listed})").alias("__c"))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import rules as R, text, urls
+from ..functions import rules as R, text, urls, variants as V
 
 # Keyword lists of the channel rules.
 AI_KEYWORDS = ("bard", "chatgpt", "claude", "copilot", "gemini", "perplexity")
@@ -232,22 +232,26 @@ def regex_table_rules(df: DataFrame, column: str) -> DataFrame:
     return _explode_rules(parsed, df.columns, F.concat(rules, default))
 
 
+# Names of the two sides of a rule, the first filled one counts; JSON values that count as not filled.
 _PATTERN_KEYS = ("key", "pattern", "regex", "source")
 _LABEL_KEYS = ("value", "output", "site", "target")
+_UNFILLED = ("null", '""', "[]", "{}", "0", "0.0", "false")
 
 
 def list_rules(df: DataFrame, column: str) -> DataFrame:
-    """Ordered rules of a JSON list whose entries name pattern and label under one of several keys."""
-    fields = ",".join(f"{name}:string" for name in _PATTERN_KEYS + _LABEL_KEYS)
-    entries = F.from_json(column, f"array<struct<{fields}>>")
+    """Ordered rules of a JSON list whose entries name pattern and label under one of several keys.
 
-    def first_filled(entry: Column, names: Sequence[str]) -> Column:
-        return text.strip_blank(F.coalesce(*[F.when(entry[n] != "", entry[n]) for n in names]))
+    Only a list has rules, and only entries with text on both sides.
+    """
+    unfilled = ", ".join(map(V.literal, _UNFILLED))
 
-    rules = F.transform(
-        entries,
-        lambda e: F.struct(first_filled(e, _PATTERN_KEYS).alias("pattern"), first_filled(e, _LABEL_KEYS).alias("label")),
-    )
+    def side(keys: Sequence[str]) -> str:
+        filled = ", ".join(f"if(to_json({V.at('e', k)}) NOT IN ({unfilled}), {V.at('e', k)}, NULL)" for k in keys)
+        return f"if({V.kind(f'coalesce({filled})')} = 's', {V.at(f'coalesce({filled})', '', 'string')}, NULL)"
+
+    listed = f"coalesce({V.members(V.document(V.name(column)))}, CAST(array() AS ARRAY<VARIANT>))"
+    raw = F.expr(f"transform({listed}, e -> named_struct('pattern', {side(_PATTERN_KEYS)}, 'label', {side(_LABEL_KEYS)}))")
+    rules = F.transform(raw, lambda r: F.struct(text.strip_blank(r["pattern"]).alias("pattern"), text.strip_blank(r["label"]).alias("label")))
     return _explode_rules(df, df.columns, F.filter(rules, lambda r: (r["pattern"] != "") & (r["label"] != "")))
 
 
