@@ -1,5 +1,6 @@
 """Inputs that regular tables do not hold: ties, nulls, empty frames, shared names, times without a unit, no limits."""
 
+import json
 from datetime import date, datetime
 
 import pytest
@@ -142,3 +143,12 @@ def test_contract_paths_are_plain_keys_and_null_is_undefined(spark):
     found = beacons.contract_check(df, "doc", rules).collect()
     assert [r.reason for r in found if r.i == 1] == ["ok", "ok", "missing path", "missing path"]
     assert [r.reason for r in found if r.i != 1] == ["data is undefined"] * 2
+
+
+def test_first_event_names_its_items(spark):
+    item = '{"_experience":{"analytics":{"customDimensions":{"eVars":{"eVar8":"m"}}}}}'
+    payload = f'{{"events":[{{"xdm":{{"commerce":{{"p":1}},"productListItems":[{{}},{item},{{"_experience":1}}]}}}},{{"xdm":{{"commerce":{{"p":2}}}}}}]}}'
+    first = beacons.extract_first_event(spark.createDataFrame([(1, payload)], "seq int, payload string"))
+    assert json.loads(first.select(F.to_json("merchandisingEVars")).first()[0]) == {"item[1]": {"eVar8": "m"}}
+    bare = beacons.extract_first_event(spark.createDataFrame([(1, payload.replace("eVar8", "x").replace('"x":"m"', ""))], "seq int, payload string"))
+    assert bare.select("merchandisingEVars").first()[0] is None

@@ -112,10 +112,14 @@ def _bucket(event: str, names: Sequence[str]) -> str:
     return "coalesce(" + ", ".join(f"if({V.filled_object(v)}, {v}, NULL)" for v in values) + ")"
 
 
-def _merchandising(event: str) -> str:
-    """eVars of each product item, null when no item has any."""
+def _merchandising(event: str, by_name: bool = False) -> str:
+    """eVars of each product item, null when no item has any: a list with one place per item, or items by name."""
     items = V.members(event, "xdm.productListItems")
     found = V.at("item", "_experience.analytics.customDimensions.eVars")
+    if by_name:
+        named = f"transform({items}, (item, i) -> named_struct('name', concat('item[', i, ']'), 'eVars', {found}))"
+        filled = f"filter({named}, n -> {V.filled_object('n.eVars')})"
+        return f"if(size({filled}) > 0, to_variant_object(map_from_entries({filled})), NULL)"
     listed = f"transform({items}, item -> if({V.kind(found)} = 'o', {found}, parse_json('{{}}')))"
     has_any = f"exists({items}, item -> {V.filled_object(found)})"
     return f"if({has_any}, to_variant_object(named_struct('item', {listed})), NULL)"
@@ -178,6 +182,7 @@ def extract_first_event(df: DataFrame, payload: str = "payload") -> DataFrame:
     carries = f"{V.filled(V.at('e', _ANALYTICS))} OR {V.filled(V.at('e', 'xdm.commerce'))}"
     first = F.expr(f"explode(slice(filter({_events_of(payload)}, e -> {carries}), 1, 1))")
     texts = _field_texts("event", IDENTITY_NAMESPACE, tuple(reversed(EVENT_BUCKETS)))
+    texts["merchandisingEVars"] = _merchandising("event", by_name=True)
     fields = [f"{text} AS {name}" for name, text in texts.items() if name != "renkeiid"]
     return df.select(*keep, first.alias("event")).selectExpr(*map(V.name, keep), *fields)
 
