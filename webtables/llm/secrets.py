@@ -38,7 +38,8 @@ ALLOWED = (
     "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",  # identifiers of the UUID form
     "^[0-9+/_-]+$",  # numbers, dates
     "^[A-Za-z+/_-]+$",  # words only
-    "^[A-Za-z]+([/_-]+([A-Za-z]+|[0-9]{1,4}))+$",  # words and short numbers with separators: slugs, paths
+    # words and short numbers with separators: slugs, paths; possessive, as backtracking is deep in a long candidate
+    "^[A-Za-z]++(?:[/_-]++(?:[A-Za-z]++|[0-9]{1,4}+))++$",
     "(?i)example|sample|dummy|placeholder|x{6}",
     "(?i)0123456789|abcdefghij",
 )
@@ -78,26 +79,29 @@ def _places(df: DataFrame, name: str, pattern: str, kind: int, label: str, keep:
 
 def _entropy_span(item: str, start: str, kind: int, group: CharacterClass) -> str:
     """SQL: span from the first to the last window of ``item`` that reaches the entropy; null without such a window."""
-    letters = f"transform(sequence(1, length({item}) + 1), i -> instr('{group.alphabet}', substring({item if group.window != 16 else f'lower({item})'}, i, 1)))"
+    read = f"lower({item})" if group.alphabet == group.alphabet.lower() else item
+    letters = f"concat(transform(split({read}, ''), c -> instr('{group.alphabet}', c)), array(0))"
     weight = "array(" + ", ".join(f"{c * math.log2(c) if c else 0.0!r}D" for c in range(group.window + 1)) + ")"
     limit = group.window * (math.log2(group.window) - group.entropy)
-    into = "s.code[i - 1]"
-    out = f"if(i > {group.window}, s.code[i - 1 - {group.window}], 0)"
+    into = "g.code[i - 1]"
+    out = f"if(i > {group.window}, g.code[i - 1 - {group.window}], 0)"
     change = (
-        f"if({into} = {out}, 0D, if({into} > 0, s.weight[s.count[{into} - 1] + 1] - s.weight[s.count[{into} - 1]], 0D)"
-        f" + if({out} > 0, s.weight[s.count[{out} - 1] - 1] - s.weight[s.count[{out} - 1]], 0D))"
+        f"if({into} = {out}, 0D, if({into} > 0, g.weight[s.count[{into} - 1] + 1] - g.weight[s.count[{into} - 1]], 0D)"
+        f" + if({out} > 0, g.weight[s.count[{out} - 1] - 1] - g.weight[s.count[{out} - 1]], 0D))"
     )
     # a step first judges the window that ended at the character before, then takes the next character in
     full = f"(i > {group.window} AND s.total <= {limit!r}D)"
     step = (
-        f"named_struct('code', s.code, 'weight', s.weight, 'count', transform(s.count, (n, k) -> n + if(k + 1 = {into}, 1, 0) - if(k + 1 = {out}, 1, 0)),"
+        f"named_struct('count', transform(s.count, (n, k) -> n + if(k + 1 = {into}, 1, 0) - if(k + 1 = {out}, 1, 0)),"
         f" 'total', s.total + {change}, 'first', if({full} AND s.first = 0, i - {group.window}, s.first), 'last', if({full}, i - 1, s.last))"
     )
     begin = (
-        f"named_struct('code', {letters}, 'weight', {weight}, 'count', array_repeat(0, {len(group.alphabet)}), 'total', 0D, 'first', 0, 'last', 0)"
+        f"named_struct('count', array_repeat(0, {len(group.alphabet)}), 'total', 0D, 'first', 0, 'last', 0)"
     )
     done = f"if(s.first = 0, null, named_struct('start', {start} + s.first - 1, 'kind', {kind}, 'end', {start} + s.last, 'name', '{group.name}'))"
-    return f"aggregate(sequence(1, length({item}) + 1), {begin}, (s, i) -> {step}, s -> {done})"
+    # the letters are bound outside of the steps, whose state is small and of one size
+    given = f"array(named_struct('code', {letters}, 'weight', {weight}))"
+    return f"transform({given}, g -> aggregate(sequence(1, size(g.code)), {begin}, (s, i) -> {step}, s -> {done}))[0]"
 
 
 def find_secrets(docs: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
