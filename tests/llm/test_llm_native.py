@@ -174,6 +174,10 @@ def normal(line):
 
 
 def distance(a, b):
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
