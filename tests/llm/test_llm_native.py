@@ -242,3 +242,14 @@ def test_lines_of_awkward_rows(spark):
     assert all(r.dropped == [] for r in by[5] + by[6] + by[4] if r.doc_id != 4) and by[2][0].text == by[2][1].text
     assert sum("line one is here" in (r.text or "") for r in by[12]) == 1
     assert linededup.dedup_lines(cases.nothing(spark)).count() == 0
+
+
+def dropped_lines(spark, lines):
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return [r.doc_id for r in linededup.dedup_lines(docs).orderBy("doc_id").collect() if r.dropped]
+
+
+def test_lines_that_differ_in_marks_and_digits_are_equal(spark):
+    full = [f"Header {i}!" for i in range(4)] + ["[header]", "\u201cHEADER\u201d \u2014 9", "header; header", "Header? (header):"]
+    assert dropped_lines(spark, full) == [1, 2, 3, 4, 5, 7]
+    assert dropped_lines(spark, ["12 34", "12 34", "12 35", "---", "---", "12.34.", " . ,", " . ,"]) == [1, 4, 5]
