@@ -253,3 +253,24 @@ def test_lines_that_differ_in_marks_and_digits_are_equal(spark):
     full = [f"Header {i}!" for i in range(4)] + ["[header]", "\u201cHEADER\u201d \u2014 9", "header; header", "Header? (header):"]
     assert dropped_lines(spark, full) == [1, 2, 3, 4, 5, 7]
     assert dropped_lines(spark, ["12 34", "12 34", "12 35", "---", "---", "12.34.", " . ,", " . ,"]) == [1, 4, 5]
+
+
+def test_edited_lines_are_found_without_a_bit_filter(spark):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters, rng.integers(2, 10)))
+    pairs = []
+    while len(pairs) < 600:
+        words = [word() for _ in range(rng.integers(5, 31))]
+        other = list(words)
+        spots = rng.choice(len(words), rng.integers(1, 1 + max(1, len(words) // 5)), replace=False)
+        for k in spots:
+            at = rng.integers(len(other[k]))
+            other[k] = word() if len(pairs) % 2 else other[k][:at] + "q" + other[k][at + 1 :]
+        a, b = " ".join(words), " ".join(other)
+        if a != b and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+            pairs.append((a, b))
+    dropped = dropped_lines(spark, [x for p in pairs for x in p])
+    assert all(i % 2 for i in dropped)  # unlike lines stay
+    print("recall of letter edits, of word edits:", *(sum(i // 2 % 2 == k for i in dropped) / 300 for k in (0, 1)))
+    assert len(dropped) >= 0.95 * len(pairs)
