@@ -86,6 +86,18 @@ def test_mixture_of_documents(spark, monkeypatch):
         assert own[s].target == float(wanted[place[s]]) and abs(taken[s] - own[s].target) <= longest
 
 
+def test_a_long_text_in_a_source_beside_a_large_one(spark):
+    rng = np.random.default_rng(6)
+    sizes = [(s, int(n)) for s, count, most in (("large", 9000, 490), ("small", 500, 490)) for n in rng.integers(1, most, count)]
+    rows = [(i, s, "w " * n) for i, (s, n) in enumerate(sizes + [("large", 20000), ("small", 20000)])]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    misses = []
+    for seed in (1, 2, 3):
+        found = mixing.mixture(docs, mixing.cycle(3, 4), seed=seed).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+        misses += [abs(r.taken - r.target) for r in found.collect()]
+    assert len(misses) == 6 and max(misses) <= 2
+
+
 def test_mixture_of_awkward_rows(spark):
     rows = mixing.mixture(cases.awkward(spark)).collect()
     assert len(rows) == len(cases.awkward_rows())

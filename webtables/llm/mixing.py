@@ -6,7 +6,7 @@ of a source at a time move along the one direction that changes neither the expe
 number of documents, until one of them is decided. At most two documents of a block stay undecided; they meet
 those of other blocks in the next round, and the last two of a source are landed on the nearest total. As these
 two are often the longest texts, a source's last block then exchanges a few taken texts for left ones of another
-length, which keeps the number of documents and brings the words closer to the target.
+length (in a source of many blocks a sample of decided ones comes along for this), which keeps the number of documents and brings the words closer to the target.
 """
 
 from __future__ import annotations
@@ -57,8 +57,11 @@ def targets(sizes: Sequence[int], weights: Sequence[int], share: Fraction = Frac
     return goal
 
 
-def flight(size: list[float], chance: list[float], draw: list[float], land: bool) -> list[float]:
-    """Chances after the flight; all but two are 0 or 1. With ``land`` these two are decided as well."""
+def flight(size: list[float], chance: list[float], draw: list[float], land: bool, start: list[float] | None = None) -> list[float]:
+    """Chances after the flight; all but two are 0 or 1. With ``land`` these two are decided as well.
+
+    ``start`` has the chances before any flight, by which units that an earlier one decided are exchange partners.
+    """
     out, held = list(chance), []
     for k in range(len(size)):
         if NEAR < out[k] < 1 - NEAR:
@@ -84,13 +87,18 @@ def flight(size: list[float], chance: list[float], draw: list[float], land: bool
         best = min(product((0.0, 1.0), repeat=len(held)), key=lambda x: (abs(sum((v - out[i]) * size[i] for i, v in zip(held, x))), abs(sum(v - out[i] for i, v in zip(held, x))), x))
         for i, v in zip(held, best):
             out[i] = v
-        return exchange(np.array(size), np.array(chance), np.array(out)).tolist()
+    if land:
+        return exchange(np.array(size), np.array(chance), np.array(out), np.array(chance if start is None else start)).tolist()
     return out
 
 
-def exchange(size: np.ndarray, chance: np.ndarray, taken: np.ndarray) -> np.ndarray:
-    """Swap taken units for left ones, a few at most, while that brings the words nearer to their expectation."""
-    free = (chance > NEAR) & (chance < 1 - NEAR)
+def exchange(size: np.ndarray, chance: np.ndarray, taken: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Swap taken units for left ones, a few at most, while that brings the words nearer to their expectation.
+
+    Units whose chance ``start`` was open before any flight may be swapped. Flights keep the expected words, so those of
+    ``chance`` are the ones to come near to.
+    """
+    free = (start > NEAR) & (start < 1 - NEAR)
     for _ in range(EXCHANGES):
         off = float(((taken - chance) * size).sum())
         on, left = np.flatnonzero(free & (taken == 1)), np.flatnonzero(free & (taken == 0))
@@ -107,8 +115,8 @@ def exchange(size: np.ndarray, chance: np.ndarray, taken: np.ndarray) -> np.ndar
     return taken
 
 
-def _flier(land: bool, seed: int):
-    return lambda table: _fly(table.drop_columns(["block"]), land, seed)
+def _flier(seed: int):
+    return lambda table: _fly(table.drop_columns(["block"]), table["blocks"][0].as_py() == 1, seed)
 
 
 def _fly(table: pa.Table, land: bool, seed: int) -> pa.Table:
@@ -116,9 +124,9 @@ def _fly(table: pa.Table, land: bool, seed: int) -> pa.Table:
     size = table["size"].to_numpy().astype(float)
     order = np.lexsort((key, -size))  # long documents are decided first, so short ones are left to land
     draw = mix(key.view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) / 2.0**64
-    chance = table["chance"].to_numpy()
+    chance, start = table["chance"].to_numpy(), table["start"].to_numpy()
     moved = np.empty(len(key))
-    moved[order] = flight(size[order].tolist(), chance[order].tolist(), draw[order].tolist(), land)
+    moved[order] = flight(size[order].tolist(), chance[order].tolist(), draw[order].tolist(), land, start[order].tolist())
     return table.set_column(table.schema.get_field_index("chance"), "chance", pa.array(moved))
 
 
@@ -140,27 +148,27 @@ def decisions(sized: DataFrame, weight: Callable[[int], int], share: Fraction, c
     joined = units.join(F.broadcast(plan.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")  # at most MAX_SOURCES rows
     due = F.col("n") * F.col("share")
     joined = joined.withColumns({"sure": F.floor(due + NEAR), "chance": F.greatest(due - F.floor(due + NEAR), F.lit(0.0))})
+    # of a source of many blocks, half a block of units go on to its last round as partners for the exchange
+    partner = F.pmod(F.xxhash64("unit_key", F.lit("partner")), F.col("blocks").cast("bigint") * BLOCK) < BLOCK // 2
+    joined = joined.withColumns({"start": F.col("chance"), "partner": partner})
 
+    decided, current, level = [], joined, 0
     most = max((-(-r[2] // BLOCK) for r in found), default=0)
-    blocks, level, decided = F.col("blocks"), 0, []
-    current = joined
     while True:
-        last = most <= 1
-        schema = current.schema
-        block = F.pmod(F.xxhash64("unit_key", F.lit(level)), blocks) if not last else F.lit(0)
-        moved = written(current.withColumn("block", block.cast("bigint")).groupBy("source", "block").applyInArrow(_flier(last, seed), schema))
-        open_ = (F.col("chance") > 0) & (F.col("chance") < 1)
-        if last:
+        block = F.pmod(F.xxhash64("unit_key", F.lit(level)), F.col("blocks"))
+        moved = written(current.withColumn("block", block.cast("bigint")).groupBy("source", "block").applyInArrow(_flier(seed), current.schema))
+        if most <= 1:
             decided.append(moved)
             break
-        decided.append(moved.where(~open_))
-        current, level = moved.where(open_), level + 1
-        blocks = F.greatest(F.ceil(blocks * 2 / BLOCK), F.lit(1))
-        most = -(-most * 2 // BLOCK)
+        # a source in its one block is landed; of the others, undecided units and the partners go on
+        on = (F.col("blocks") > 1) & (F.col("partner") | ((F.col("chance") > 0) & (F.col("chance") < 1)))
+        decided.append(moved.where(~on))
+        fewer = F.greatest(F.ceil(F.col("blocks") * 2 / BLOCK), F.lit(1)).cast("int")
+        current, level, most = moved.where(on).withColumn("blocks", fewer), level + 1, -(-most * 2 // BLOCK)
     result = decided[0]
     for more in decided[1:]:
         result = result.unionByName(more)
-    return result.withColumn("extra", (F.col("sure") + F.col("chance")).cast("bigint")).drop("sure", "chance", "share", "blocks")
+    return result.withColumn("extra", (F.col("sure") + F.col("chance")).cast("bigint")).drop("sure", "chance", "share", "blocks", "start", "partner")
 
 
 def _copies(index: Column) -> Column:
