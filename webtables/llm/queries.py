@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, linededup, mixing, quality, secrets, sharding, toxicity, urlfilter
+from . import decontaminate, jaccard, language, linededup, merkle, mixing, oracles, quality, secrets, sharding, toxicity, urlfilter
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -114,3 +114,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = sharding.shard_documents(docs, shards=16)
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query(oracles.merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
