@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, linededup, merkle, mixing, oracles, quality, secrets, sharding, toxicity, urlfilter
+from . import conversations, decontaminate, jaccard, language, linededup, merkle, mixing, oracles, quality, secrets, sharding, toxicity, urlfilter
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -119,3 +119,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.merkle_sql())
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair_summary(rows, F.col("present"))
