@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversations, decontaminate, jaccard, language, linededup, merkle, mixing, oracles, quality, secrets, sharding, toxicity, urlfilter
+from . import conversations, decontaminate, jaccard, language, linededup, merkle, mixing, oracles, packing, quality, secrets, sharding, toxicity, urlfilter
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -125,3 +125,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damaged(table(spark, sf_dir, "conversations"))
     return conversations.repair_summary(rows, F.col("present"))
+
+
+@query()
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        spec = file.read()
+    rows = packing.pack_documents(table(spark, sf_dir, "documents"), spec)
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
