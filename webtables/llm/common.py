@@ -74,24 +74,25 @@ def hidden(df: DataFrame, *kept: str) -> tuple[DataFrame, list[Column]]:
 SLICE_BYTES = 8 << 20
 
 
-def slices(batch, text: int):
-    """Rows of a batch, so many at a time that their texts hold about ``SLICE_BYTES``; a longer text comes alone."""
+def slices(batch, text: int, most: int = SLICE_BYTES):
+    """Rows of a batch, so many at a time that their texts hold about ``most`` bytes; a longer text comes alone."""
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype("int64").cumsum()
     at = 0
     while at < batch.num_rows:
         before = size[at - 1] if at else 0
-        end = max(at + 1, int(size.searchsorted(before + SLICE_BYTES, side="right")))
+        end = max(at + 1, int(size.searchsorted(before + most, side="right")))
         yield batch.slice(at, end - at)
         at = end
 
 
-def annotate(df: DataFrame, carry: list[str], fields: str, measure) -> DataFrame:
+def annotate(df: DataFrame, carry: list[str], fields: str, measure, most: int = SLICE_BYTES) -> DataFrame:
     """Columns ``carry`` of ``df`` and new ones that ``measure(text column) -> list of Arrow arrays`` computes.
 
     ``fields`` is the DDL of the new columns; they replace carried ones of the same name. The work is done batch by
-    batch in the tasks that read the rows, without a shuffle; Spark bounds a batch by rows and by bytes.
+    batch in the tasks that read the rows, without a shuffle; Spark bounds a batch by rows and by bytes, and ``measure``
+    sees texts of about ``most`` bytes at once. A text that is carried is sent once.
     """
     import pyarrow as pa
     from pyspark.sql.types import StructField, StructType
@@ -101,11 +102,14 @@ def annotate(df: DataFrame, carry: list[str], fields: str, measure) -> DataFrame
     plain = [f"c{i}" for i in range(len(carry))]  # whatever the columns are called
     schema = StructType([StructField(p, df.schema[c].dataType, True) for p, c in zip(plain, carry)] + list(new))
 
+    text = carry.index("text") if "text" in carry else len(carry)
+
     def run(batches):
         for batch in batches:
-            for part in slices(batch, len(carry)):
+            for part in slices(batch, text, most):
                 kept = [part.column(i) for i in range(len(carry))]
-                yield pa.RecordBatch.from_arrays(kept + measure(part.column(len(carry))), schema.fieldNames())
+                yield pa.RecordBatch.from_arrays(kept + measure(part.column(text)), schema.fieldNames())
+            pa.default_memory_pool().release_unused()
 
-    read = df.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(carry, plain)], F.col("text").alias("text"))
+    read = df.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(carry, plain)], *[F.col("text").alias("text")] * (text == len(carry)))
     return read.mapInArrow(run, schema).toDF(*carry, *new.fieldNames())

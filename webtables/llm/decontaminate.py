@@ -32,31 +32,43 @@ class Tests(NamedTuple):
     suffix: np.ndarray  # windows x width word codes, in suffix order
     lead: np.ndarray  # sorted codes of their first words
     owners: list[list[str]]
-    more: list[np.ndarray]  # the words that follow the window in one item, to follow a match beyond the window
+    codes: np.ndarray  # words of the items, one after the other
+    end: np.ndarray  # end of the item that each of them is in
+    array: np.ndarray  # their places in the order of all that follows in the item, if at least a window does
+    first: np.ndarray  # of each window, where the places that start with it begin in the array, and the end of all
 
 
 def tests(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Tests]:
     words, codes = text_words(pa.array([t for _, t in items], pa.string()), LETTERS)
-    by_width: dict[int, dict[bytes, tuple[np.ndarray, set[str], np.ndarray]]] = {}
-    for i, (item, _) in enumerate(items):
-        own = codes[words.bounds[i] : words.bounds[i + 1]]
-        width = min(window, len(own))
-        for j in range(len(own) - width + 1 if width else 0):
-            part = own[j : j + width]
-            held = by_width.setdefault(width, {}).setdefault(part.tobytes(), (part, set(), own[j + width :]))
-            held[1].add(item)
-            if len(own) - j - width > len(held[2]):
-                by_width[width][part.tobytes()] = (part, held[1], own[j + width :])
+    size = np.diff(words.bounds)
+    end = np.repeat(words.bounds[1:], size)
+    rank = ranks(codes, end)
     out = []
-    for width, held in sorted(by_width.items()):
-        suffix = np.stack([p for p, _, _ in held.values()])
-        order = np.lexsort(suffix.T[::-1])
-        values = list(held.values())
+    for width in np.unique(np.minimum(size[size > 0], window)).tolist():
+        of = np.minimum(size, window)[words.row] == width
+        place = np.flatnonzero(of & (np.arange(len(codes)) + width <= end))
+        array = place[np.argsort(rank[place], kind="stable")]
+        window_words = codes[array[:, None] + np.arange(width)]
+        new = np.concatenate([[True], (window_words[1:] != window_words[:-1]).any(axis=1)])
+        first = np.append(np.flatnonzero(new), len(array))
+        owners = [sorted({items[i][0] for i in words.row[array[a:b]]}) for a, b in zip(first[:-1], first[1:])]
+        suffix = window_words[new]
         lead = _lead(suffix.reshape(-1), np.arange(len(suffix)) * width, min(LEAD, width))
-        out.append(Tests(width, suffix[order], np.unique(lead), [sorted(values[k][1]) for k in order], [values[k][2] for k in order]))
+        out.append(Tests(width, suffix, np.unique(lead), owners, codes, end, array, first))
     return out
 
 
+def ranks(codes: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Rank of what follows each place up to the end of its item, found by doubling; an item that ends comes first."""
+    rank, reach, place = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1, 1, np.arange(len(codes))
+    longest = int((end - place).max()) if len(codes) else 0
+    while reach < longest:
+        then = np.where(place + reach < end, rank[np.minimum(place + reach, len(codes) - 1)], 0)
+        rank = np.unique(rank * (len(codes) + 2) + then, return_inverse=True)[1].astype(np.int64) + 1
+        reach *= 2
+    return rank
+
+
 def _lead(codes: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
     return codes[place] if width == 1 else codes[place] * np.uint64(0x9E3779B97F4A7C15) + codes[place + 1]
 
@@ -111,22 +123,34 @@ def matches(codes: np.ndarray, row: np.ndarray, test: Tests) -> tuple[np.ndarray
 
 
 def _longest(codes: np.ndarray, row: np.ndarray, place: np.ndarray, number: np.ndarray, test: Tests, rows: int) -> np.ndarray:
-    """Length of the longest verbatim match of each text, followed beyond the window word by word."""
+    """Length of the longest verbatim match of each text. The suffixes of the benchmark that a match may still follow lie
+    side by side in their array; each further word narrows that range on both sides by binary search."""
     best = np.zeros(rows, dtype=np.int64)
-    room = max((len(m) for m in test.more), default=0)
-    longer = np.zeros((len(test.more), room), dtype=np.uint64)
-    size = np.array([len(m) for m in test.more], dtype=np.int64)
-    for k, m in enumerate(test.more):
-        longer[k, : len(m)] = m
     length, alive = np.full(len(place), test.width, dtype=np.int64), np.arange(len(place))
-    for step in range(room):
-        at = place[alive] + test.width + step
-        fit = (at < len(codes)) & (size[number[alive]] > step)
-        alive, at = alive[fit], at[fit]
-        same = (row[at] == row[place[alive]]) & (codes[at] == longer[number[alive], step])
-        alive = alive[same]
-        if not len(alive):
-            break
+    low, high, depth = test.first[number], test.first[number + 1], test.width
+
+    def narrowed(low: np.ndarray, high: np.ndarray, word: np.ndarray, after: bool) -> np.ndarray:
+        low, high = low.copy(), high.copy()
+        while True:
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                return low
+            middle = (low[open_] + high[open_]) // 2
+            at = test.array[middle] + depth
+            over = at >= test.end[test.array[middle]]  # what has ended comes before every word
+            there = test.codes[np.minimum(at, len(test.codes) - 1)]
+            right = over | (there < word[open_]) | ((there == word[open_]) & after)
+            low[open_] = np.where(right, middle + 1, low[open_])
+            high[open_] = np.where(right, high[open_], middle)
+
+    while len(alive):
+        at = place[alive] + depth
+        fit = at < len(codes)
+        fit[fit] = row[at[fit]] == row[place[alive[fit]]]
+        alive, at, low, high = alive[fit], at[fit], low[fit], high[fit]
+        low, high = narrowed(low, high, codes[at], False), narrowed(low, high, codes[at], True)
+        on = low < high
+        alive, low, high, depth = alive[on], low[on], high[on], depth + 1
         length[alive] += 1
     np.maximum.at(best, row[place], length)
     return best

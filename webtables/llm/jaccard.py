@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import annotate, need, written
+from .common import annotate, hidden, need, written
 from .components import components
 from .words import SPACED, mix, text_words, window_codes
 
@@ -208,18 +208,9 @@ def _shingler(width: int):
     return measure
 
 
-def link_documents(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_copies, n_shingles.
-
-    Two documents are linked if the Jaccard similarity of their sets of word shingles (words between ASCII white
-    space, A-Z folded) is ``threshold`` or more. n_links counts the other documents a document is linked to, copies
-    included, n_copies the documents with an equal set, itself included. class_id is the smallest doc_id of the
-    connected group. A text of fewer words than a shingle is one shingle; null, empty and blank texts have none, no
-    links, and are their own class. Null ids and repeated rows are rows like any other; a class of null ids only has
-    a null class_id. An empty table gives an empty table.
-    """
-    need(docs, "doc_id", "text")
-    docs = docs.select("doc_id", "text")
+def _classes(docs: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, text_key, n shingles, key of their set or null), and per key: root of its class, copies, links
+    to other keys, low_id, the smallest id of the class."""
     rows = written(annotate(
         docs.withColumn("text_key", F.xxhash64("text")), ["doc_id", "text_key"],
         "key long, n long, sign binary, bands array<long>", lambda text: signatures(text, width)))
@@ -255,21 +246,42 @@ def link_documents(docs: DataFrame, width: int = SHINGLE, threshold: float = THR
     named = sets.select("key", "copies", "low_id").join(classes.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
     named = written(named.withColumns({"root": F.coalesce("root", "key"), "links": F.coalesce("links", F.lit(0))}))
     lowest = named.groupBy("root").agg(F.min("low_id").alias("class_id"))
-    named = named.join(lowest, "root").select("key", "class_id", "copies", "links")
-    return rows.select("doc_id", "key", "n").join(named, "key", "left").select(
+    return rows.select("doc_id", "text_key", "key", "n"), named.join(lowest, "root").select("key", "root", "class_id", "copies", "links")
+
+
+def link_documents(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, n_copies, n_shingles.
+
+    Two documents are linked if the Jaccard similarity of their sets of word shingles (words between ASCII white
+    space, A-Z folded) is ``threshold`` or more. n_links counts the other documents a document is linked to, copies
+    included, n_copies the documents with an equal set, itself included. class_id is the smallest doc_id of the
+    connected group. A text of fewer words than a shingle is one shingle; null, empty and blank texts have none, no
+    links, and are their own class. Null ids and repeated rows are rows like any other; a class of null ids only has
+    a null class_id. An empty table gives an empty table.
+    """
+    need(docs, "doc_id", "text")
+    rows, named = _classes(docs.select("doc_id", "text"), width, threshold)
+    return rows.join(named.drop("root"), "key", "left").select(
         "doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("bigint").alias("n_copies"), F.col("n").alias("n_shingles"))
 
 
 def unique_documents(docs: DataFrame, width: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group with its own columns: the one whose id names the class.
-
-    Of rows that repeat id and text one stays. A document without an id names no class; it stays, once for each text.
+    """One document of each group with its own columns: the one with the smallest id, a null id last, of equal ids the
+    one whose text has the smallest hash. Documents are told apart by id and text, so an id that repeats with unlike texts
+    loses only the texts that are copies. Of rows that repeat id and text one stays. Texts without words are no copies of
+    each other. An empty table gives an empty table.
     """
     need(docs, "doc_id", "text")
-    named = link_documents(docs, width, threshold)
-    gone = named.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    own, restore = hidden(docs, "doc_id", "text")
+    rows, named = _classes(own.select("doc_id", "text"), width, threshold)
+    # a class of one key with one copy keeps its document; of others the losers are named
+    crowded = named.groupBy("root").agg(F.sum("copies").alias("size")).where("size > 1").select("root")
+    members = rows.join(named.select("key", "root"), "key").join(crowded, "root").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key").alias("who"))
+    winners = members.groupBy("root").agg(F.min("who").alias("winner"))
+    gone = members.distinct().join(winners, "root").where(F.col("who") != F.col("winner")).select(F.col("who.doc_id").alias("_id"), F.col("who.text_key").alias("_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
+    kept = own.join(gone, same, "left_anti")
+    repeated = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")).where("rows > 1")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])).select(restore)

@@ -28,13 +28,13 @@ START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 COUNTED, HELD_OUT, UNSEEN = 0, 1, 2  # kinds of blocks
 
-_BLOCK = "block long, kind int, doc_id array<long>, size array<int>, vocabulary binary, codes binary"
+_BLOCK = "block long, kind int, doc_id array<{}>, size array<int>, vocabulary binary, codes binary"
 _ENTRY = "part int, block long, kind int, keys binary, counts binary"
 _REPLY = "block long, part int, kind int, total binary, kept binary"
 
 
 def _packed(kind: int, block: int, held: list[tuple]) -> pa.RecordBatch:
-    ids = pa.chunked_array([h[0] for h in held], pa.int64()).combine_chunks()
+    ids = pa.concat_arrays([h[0] for h in held])
     size = np.concatenate([h[1] for h in held]).astype(np.int32)
     vocabulary, codes = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
     lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, pa.array(size))]
@@ -230,7 +230,7 @@ def _score(weights: np.ndarray, total: int, kinds: int, bits: int):
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         found = _lookup(blocks, replies, "total", bits)
         if found is None:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+            return pa.table({"doc_id": pa.array([], blocks.schema.field("doc_id").type.value_type), "kind": pa.array([], pa.int32()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         ids, size, pair, word, context = found
         first = np.cumsum(size) - size
         w = weights[bucket(context)]
@@ -250,11 +250,12 @@ def score_documents(docs: DataFrame, training: Column, held_out: Column) -> Data
     ``training`` tells the texts whose counts the model uses, ``held_out`` those of them that serve the mixture weights
     (a null counts as false). Tokens are words between ASCII white space, A-Z folded, and one end per text, so null,
     empty and blank texts have one token. Without training texts every known count is 0 and a token has the uniform
-    probability. Repeated rows are counted as often as they occur; null ids are allowed; no other column is read.
+    probability. Repeated rows are counted as often as they occur; ids may be null and of any type; no other column is read.
     """
     need(docs, "doc_id", "text")
     kind = F.when(F.coalesce(training, F.lit(False)), F.when(F.coalesce(held_out, F.lit(False)), HELD_OUT).otherwise(COUNTED)).otherwise(UNSEEN)
-    blocks = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), kind.cast("int").alias("kind"), "text").mapInArrow(_pack, _BLOCK))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    blocks = written(docs.select("doc_id", kind.cast("int").alias("kind"), "text").mapInArrow(_pack, _BLOCK.format(id_type)))
     size = F.aggregate("size", F.lit(0).cast("bigint"), lambda a, b: a + b)
     tokens = {k: n for k, n in blocks.groupBy("kind").agg(F.sum(size)).collect()}
     bits = _part_bits(sum(tokens.values()))
@@ -276,7 +277,7 @@ def score_documents(docs: DataFrame, training: Column, held_out: Column) -> Data
     weights = learn([(b, n, x / n, y / n) for b, _, _, n, x, y in sorted(map(tuple, cells))], kept_kinds)
     rows = answered(
         blocks, replies.where(F.col("block") >= 0).select("block", "part", "total"), _score(weights, all_tokens, all_kinds, bits),
-        "doc_id long, kind int, n_tokens long, n_known long, base_score double, score double")
+        f"doc_id {id_type}, kind int, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", (F.col("kind") != UNSEEN).alias("trained"), "n_tokens", "n_known", F.lit(all_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

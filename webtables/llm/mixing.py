@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import annotate, columns, free_name, need, written
+from .common import annotate, hidden, need, written
 from .words import SPACED, flat, mix, runs
 
 BLOCK = 4_000  # undecided units one task holds at a time
@@ -197,14 +197,12 @@ def mix_documents(docs: DataFrame, weight: Callable[[int], int] = cycle(5, 2, 1)
     additional copy.
     """
     need(docs, "doc_id", "text", "source")
-    size = free_name(docs, "_size")
-    sized = annotate(docs, docs.columns, f"`{size}` long", lambda text: [word_count(text)])
-    units = decisions(sized.select("doc_id", "source", F.col(size).alias("size")), weight, share, cap, seed)
-    names = {c: f"_unit_{c}" for c in ("doc_id", "source", "size", "n", "whole", "extra")}
-    units = units.select([F.col(c).alias(n) for c, n in names.items()])
-    index, repeat = free_name(docs, "_index"), free_name(docs, "_repeat")
-    same = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))
-    rows = sized.withColumn(index, F.row_number().over(same) if units.agg(F.max("_unit_n")).first()[0] not in (None, 1) else F.lit(1))
-    joined = rows.join(units, F.col("doc_id").eqNullSafe(F.col("_unit_doc_id")) & F.col("source").eqNullSafe(F.col("_unit_source")) & (F.col(size) == F.col("_unit_size")))
-    copies = F.col("_unit_whole") + (F.col(index) <= F.col("_unit_extra")).cast("int")
-    return joined.where(copies > 0).withColumn(repeat, F.explode(F.sequence(F.lit(1), copies))).select(columns(docs))
+    own, restore = hidden(docs, "doc_id", "text", "source")
+    sized = annotate(own, own.columns, "size long", lambda text: [word_count(text)])
+    units = decisions(sized.select("doc_id", "source", "size"), weight, share, cap, seed)
+    units = units.select([F.col(c).alias(f"unit_{c}") for c in ("doc_id", "source", "size", "n", "whole", "extra")])
+    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))
+    rows = sized.withColumn("index", F.row_number().over(same) if units.agg(F.max("unit_n")).first()[0] not in (None, 1) else F.lit(1))
+    joined = rows.join(units, F.col("doc_id").eqNullSafe(F.col("unit_doc_id")) & F.col("source").eqNullSafe(F.col("unit_source")) & (F.col("size") == F.col("unit_size")))
+    copies = F.col("unit_whole") + (F.col("index") <= F.col("unit_extra")).cast("int")
+    return joined.where(copies > 0).withColumn("repeat", F.explode(F.sequence(F.lit(1), copies))).select(restore)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import annotate, fold, hidden, need
+from .common import annotate, fold, hidden, need, slices
 from .words import LETTERS, flat, runs, span_codes, split_long
 
 PER_CLASS = 6000  # labelled texts per class, chosen by the hash of the id; a third of them serves the calibration
@@ -26,6 +26,8 @@ HIGHEST, FEATURES = 3, 4
 BEGIN, FINISH = 2, 3  # bytes that no word holds
 PIECE = 50_000  # distinct words spelled at a time
 LONGEST_WORD = 1000  # bytes; a longer word is read in pieces
+SLICE_BYTES = 2 << 20  # text read at a time
+KNOWN_WORDS = 1 << 19  # distinct words whose ratio a task remembers
 
 
 class Level(NamedTuple):
@@ -120,17 +122,37 @@ def ratios(levels: list[Level], data: np.ndarray, start: np.ndarray, end: np.nda
     return out
 
 
-def features(levels: list[Level], text: pa.Array) -> np.ndarray:
+class Known:
+    """Ratios of the words that a task has met, by the hash of the word; forgotten when they are too many."""
+
+    def __init__(self, levels: list[Level]):
+        self.levels, self.code, self.ratio = levels, np.zeros(0, dtype=np.uint64), np.zeros(0)
+
+    def of(self, data: np.ndarray, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Ratios of distinct words, given in the order of their hashes."""
+        place = np.searchsorted(self.code, code)
+        new = np.ones(len(code), dtype=bool)
+        if len(self.code):
+            new = self.code[np.minimum(place, len(self.code) - 1)] != code
+        out = np.empty(len(code))
+        out[~new] = self.ratio[place[~new]]
+        order = np.argsort(start[new])  # spans are read in text order
+        value = np.empty(len(order))
+        value[order] = ratios(self.levels, data, start[new][order], end[new][order])
+        out[new] = value
+        if len(self.code) + len(value) > KNOWN_WORDS:
+            self.code, self.ratio = code, out
+        else:
+            self.code, self.ratio = np.insert(self.code, place[new], code[new]), np.insert(self.ratio, place[new], value)
+        return out
+
+
+def features(known: Known, text: pa.Array) -> np.ndarray:
     """Per text: mean ratio of its words, mean of the highest three, of the highest, log of its words."""
     data, offsets = flat(text)
     words, rows = split_long(runs(data, offsets, LETTERS), LONGEST_WORD), len(text)
-    code = span_codes(data, words.start, words.end)
-    _, first, at = np.unique(code, return_index=True, return_inverse=True)
-    order = np.argsort(first)  # spans are read in text order
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    value = ratios(levels, data, words.start[first[order]], words.end[first[order]])
-    ratio, size = value[back[at]], np.diff(words.bounds)
+    code, first, at = np.unique(span_codes(data, words.start, words.end), return_index=True, return_inverse=True)
+    ratio, size = known.of(data, code, words.start[first], words.end[first])[at], np.diff(words.bounds)
     some = np.maximum(size, 1)
     out = [np.bincount(words.row, ratio, rows) / some]
     ranked = np.lexsort((-ratio, words.row))
@@ -157,15 +179,15 @@ def calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
     return w
 
 
-def scores(model: Model, text: pa.Array) -> np.ndarray:
-    x = features(model.levels, text)
-    return 1 / (1 + np.exp(-np.clip(x @ model.weight[:-1] + model.weight[-1], -30, 30)))
+def scores(known: Known, weight: np.ndarray, text: pa.Array) -> np.ndarray:
+    x = features(known, text)
+    return 1 / (1 + np.exp(-np.clip(x @ weight[:-1] + weight[-1], -30, 30)))
 
 
 def _word_weights(batches):
-    """Distinct words of each text by class, added up over a batch; words stay bytes."""
-    for batch in batches:
-        text, toxic = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+    """Distinct words of each text by class, added up over some texts; words stay bytes."""
+    for part in (p for batch in batches for p in slices(batch, 0, SLICE_BYTES)):
+        text, toxic = part.column(0), part.column(1).to_numpy(zero_copy_only=False)
         data, offsets = flat(text)
         words = split_long(runs(data, offsets, LETTERS), LONGEST_WORD)
         code = span_codes(data, words.start, words.end)
@@ -185,8 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """Model from at most ``per_class`` labelled documents of each class outside the held-out fold.
 
     ``labels`` has doc_id and toxic; rows with another label than 0 or 1 or without an id are left out, and of
-    repeated labels the largest counts. Without any label, or with one class only, every text gets one constant score.
+    repeated labels the largest counts. Of documents that repeat a labelled id, the text with the smallest hash is read.
+    Without any label, without documents, or with one class only, every text gets one constant score. Null texts are
+    empty; other columns of either table are not looked at.
     """
+    need(docs, "doc_id", "text")
+    need(labels, "doc_id", "toxic")
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -194,6 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     chosen = chosen[0].union(chosen[1]).withColumn("role", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * per_class ids at most
+    sample = sample.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"), F.first("role").alias("role"))
     counted = sample.where(~F.col("role")).select("text", "toxic").mapInArrow(_word_weights, "word binary, n0 long, n1 long")
     rows = counted.groupBy("word").agg(F.sum("n0"), F.sum("n1")).toArrow()
     word = rows.column(0).combine_chunks().cast(pa.binary())
@@ -204,11 +231,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     shared = spark.sparkContext.broadcast([tuple(level) for level in levels])  # plain arrays, which any worker can read
 
     def measure(batches):
+        known = Known([Level(*v) for v in shared.value])
         for batch in batches:
-            x = features([Level(*v) for v in shared.value], batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+            for part in slices(batch, 0, SLICE_BYTES):
+                x = features(known, part.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1)], ["x", "toxic"])
 
     fitted = sample.where("role").select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").collect()
+    shared.destroy()
     fitted.sort(key=lambda r: (r[1], r[0]))
     x, y = np.array([r[0] for r in fitted]).reshape(len(fitted), FEATURES), np.array([r[1] for r in fitted])
     return Model(levels, calibrate(x, y, prior))
@@ -218,12 +248,15 @@ def scored(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Dat
     """Columns ``carry`` of ``docs`` (all by default) and ``score``; a null text scores like the empty one."""
     need(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(([tuple(level) for level in model.levels], model.weight))
+    held: list[Known] = []  # one per task
 
     def measure(text):
         levels, weight = shared.value
-        return [pa.array(scores(Model([Level(*v) for v in levels], weight), text))]
+        if not held:
+            held.append(Known([Level(*v) for v in levels]))
+        return [pa.array(scores(held[0], weight, text))]
 
-    return annotate(docs, docs.columns if carry is None else carry, "score double", measure)
+    return annotate(docs, docs.columns if carry is None else carry, "score double", measure, SLICE_BYTES)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

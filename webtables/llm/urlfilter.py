@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import columns, free_name, need
+from .common import hidden, need, written
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,22 +89,23 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFr
     if not isinstance(rules, DataFrame):
         rules = spark.sql("SELECT '' AS host, '' AS path, '' AS action WHERE false") if not rules else spark.range(1).select(
             F.explode(F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(a).alias("action")) for h, p, a in rules])).alias("r")).select("r.*")
-    key = free_name(pages, "_key")
-    named = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    own, restore = hidden(pages, "url", "html")
+    named = own.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
 
     edges = links(pages.select("url", "html"))
     if redirects is not None:
         edges = edges.union(redirects.select("url", "target"))
     edges = edges.withColumns({"a": url_key(F.col("url")), "b": url_key(F.col("target"))}).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    edges = written(edges)  # pages are read once for their links
     group = components(edges.select("a", "b"))
     ends = edges.select(F.col("a").alias("node"), "url").union(edges.select(F.col("b").alias("node"), F.col("target").alias("url")))
     ends = ends.select("node", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).distinct()
     acts = ends.join(decided(ends, rules), ["host", "path"]).select("node", "action").distinct()
     held = group.join(acts, "node").groupBy("root").agg(F.max(F.col("action") == "block").alias("some"), F.max(F.col("action") == "allow").alias("free"))
-    blocked = group.join(held.where("some AND NOT free").select("root"), "root").select(F.col("node").alias(key), F.lit(True).alias("_blocked"))
+    blocked = group.join(held.where("some AND NOT free").select("root"), "root").select(F.col("node").alias("key"), F.lit(True).alias("blocked"))
 
-    rows = named.drop("rule", "verdict").join(decided(named, rules).withColumnRenamed("action", "_action"), ["host", "path"], "left")
-    rows = rows.withColumn(key, url_key(F.col("url"))).join(blocked, key, "left")
-    verdict = F.coalesce(F.col("_action"), F.when(F.col("_blocked"), F.lit("block")), F.lit("allow"))
-    return rows.withColumn("verdict", verdict).select(
-        columns(pages, "host", "path", "rule", "verdict") + [F.col(c) for c in ("host", "path", "rule", "verdict")])
+    rows = named.join(decided(named, rules), ["host", "path"], "left")
+    rows = rows.withColumn("key", url_key(F.col("url"))).join(blocked, "key", "left")
+    verdict = F.coalesce(F.col("action"), F.when(F.col("blocked"), F.lit("block")), F.lit("allow")).alias("verdict")
+    new = ("host", "path", "rule", "verdict")
+    return rows.select([c for c, name in zip(restore, pages.columns) if name not in new] + ["host", "path", "rule", verdict])
