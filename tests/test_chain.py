@@ -76,15 +76,15 @@ def test_percentiles_of_a_large_group_use_narrow_brackets(spark):
     assert [found[n] for n in "abc"] == pytest.approx(list(np.percentile(values, [25, 50, 99.9])), abs=1e-9)
 
 
-@pytest.mark.parametrize("small_group", [5, 100_000])
-def test_percentiles_equal_sorting(spark, small_group):
+@pytest.mark.parametrize("heavy_rows,open_rows", [(5, 1_000_000), (100_000, 1_000_000), (1, 3)])
+def test_percentiles_equal_sorting(spark, heavy_rows, open_rows):
     """Hot group, ties, tiny groups: the bracketed path must equal sorting the whole group."""
     rng = np.random.default_rng(3)
     groups = {"hot": np.round(rng.normal(size=6000), 3), "ties": np.repeat([1.0, 2.0, 9.0], 400), "two": np.array([4.0, 7.0]), None: np.array([5.0])}
     data = [(k, float(v)) for k, values in groups.items() for v in values] + [("hot", None)]
     df = spark.createDataFrame(data, "k string, v double").repartition(6)
     wanted = {"low": 0.1, "mid": 0.5, "p99": 0.99, "top": 1.0}
-    found = {r["k"]: r for r in exact_percentiles(df, ["k"], "v", wanted, small_group=small_group).collect()}
+    found = {r["k"]: r for r in exact_percentiles(df, ["k"], "v", wanted, heavy_rows=heavy_rows, open_rows=open_rows).collect()}
     assert set(found) == set(groups)
     for key, values in groups.items():
         for name, p in wanted.items():

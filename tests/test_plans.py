@@ -33,3 +33,23 @@ def test_row_work_does_not_shuffle(spark, name):
 def test_groups_are_combined_before_the_shuffle(spark, name):
     plan = plan_of(QUERIES[name](spark, FOLDER))
     assert "partial_" in plan and "OuterJoin" not in plan and "FullOuter" not in plan
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_medians_shuffle_counts_only(spark, no_broadcast):
+    plan = plan_of(QUERIES["group_median"](spark, FOLDER))
+    assert plan.count("FileScan") == 1 and "SortMergeJoin" not in plan
+    # what is exchanged first is counts by group and value, added up in each task before
+    first = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line][-1]
+    assert first.count("#") >= 3 and "partial_count" in plan and "SortAggregate" not in plan
+
+
+def test_profile_reads_the_table_twice(spark, no_broadcast):
+    plan = plan_of(QUERIES["numeric_profile"](spark, FOLDER))  # the other scan was that of the sketches
+    assert plan.count("FileScan") == 1 and "SortMergeJoin" not in plan and "Expand" not in plan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import text
-from .quantiles import exact_percentiles
+from .quantiles import grouped_percentiles
 
 DATE_COLUMNS = ("date", "month", "ym", "yearMonth", "published")
 
@@ -29,17 +29,13 @@ def numeric_profile(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "column_name string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
         )
-    long = df.select(*[text.to_double(df, c).alias(c) for c in names]).unpivot([], names, "column_name", "value")
-    stats = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_percentiles(long, ["column_name"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, max_groups=len(names))
-    order = ("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
-    return stats.join(quartiles, "column_name", "left").select(*order)
+    values = {c: text.to_double(df, c) for c in names}
+    calls = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    moments = lambda columns: [f(c).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in calls.items()]
+    found = grouped_percentiles(df, [], values, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, once=moments)
+    own = {k: F.coalesce(*[F.when(F.col("__column") == c, F.col(f"{k}_{i}").cast("double")) for i, c in enumerate(names)]).alias(k) for k in calls}
+    return found.select(
+        F.col("__column").alias("column_name"), F.col("__n").alias("count"), own["mean"], own["std"], own["min"], "p25", "p50", "p75", own["max"])
 
 
 def top_values(df: DataFrame, n: int | None = None) -> DataFrame:

@@ -1,92 +1,219 @@
-"""Exact percentiles per group without holding a group in one task.
+"""Exact percentiles per group by selection on counts; no row is shuffled by its group.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer, which a group
-holding a third of a large table does not survive.  Here a bounded sketch brackets each wanted rank
-first; only values inside the bracket are then counted one by one, the rest are counted as a block.
-The result is the linearly interpolated percentile, equal to sorting the whole group; a sketch that broke
-its error bound would stop the job rather than change a result.
+A bounded sketch brackets each wanted rank of every heavy group. Brackets that may leave too many rows open are refined
+by further sketches of what lies inside. One last scan counts, in each task before anything is sent, the rows below each
+bracket as numbers and the rows inside one value by value. Groups that are not heavy have no bracket: all their values
+are counted one by one. The result is the linearly interpolated percentile of the sorted group; a bracket that missed its
+rank would stop the job rather than change a result.
+
+There are at most ``HEAVY_GROUPS`` brackets, the groups with the most values, so they may be broadcast, and any other
+group has less than ``1 / HEAVY_GROUPS`` of the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-ACCURACY = 20_000
-MARGIN = 0.0002
-SMALL_GROUP = 10_000
-BROADCAST_GROUPS = 10_000
+ACCURACY, MARGIN = 20_000, 0.0002
+HEAVY_ROWS, HEAVY_GROUPS = 10_000, 10_000
+OPEN_ROWS = 1_000_000
+GRID = 1000
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[prefix + key])
-    return condition
+class _Bracket:
+    """Values between which a rank lies, and at most how many rows of the group lie between them."""
 
+    def __init__(self, low: float, high: float, rows: float):
+        self.low, self.high, self.open = low, high, rows
 
-def exact_percentiles(
+
+def _sketched(
+    data: DataFrame, keys: Sequence[str], columns: Sequence[str], ps: Sequence[float], heavy_rows: int, more: Sequence[Column] = ()
+) -> tuple[list[tuple[Row, list[list[_Bracket | None]]]], list[Row]]:
+    """Heavy groups and, for each column and percentile, the bracket; at most ``HEAVY_GROUPS`` rows reach the driver.
+
+    The second list holds these rows with the aggregates ``more``.
+    """
+    margin = max(MARGIN, 2 / heavy_rows + 1 / ACCURACY)  # two rows of the smallest heavy group: its neighbours, and rounding
+    edges = F.array(*[F.lit(e) for p in ps for e in (max(p - margin, 0.0), min(p + margin, 1.0))])
+    counts = [F.count(c).alias(f"__n{i}") for i, c in enumerate(columns)]
+    sketches = [F.percentile_approx(c, edges, F.lit(ACCURACY)).alias(f"__e{i}") for i, c in enumerate(columns)]
+    found = data.groupBy(*keys).agg(*counts, *sketches, *more)
+    most = F.greatest(F.lit(0), *[F.col(f"__n{i}") for i in range(len(columns))])
+    out, rows = [], found.where(most > heavy_rows).orderBy(most.desc()).limit(HEAVY_GROUPS).collect() if keys else found.collect()
+    for row in rows:
+        if max(row[f"__n{i}"] for i in range(len(columns))) <= heavy_rows:
+            continue
+        brackets = []
+        for i in range(len(columns)):
+            n, e = row[f"__n{i}"], row[f"__e{i}"]
+            share = 2 * margin + 2 / ACCURACY
+            brackets.append([_Bracket(e[2 * j], e[2 * j + 1], n * share) if e else None for j in range(len(ps))])
+        out.append((Row(*[row[k] for k in keys]), brackets))
+    return out, rows
+
+
+def _attached(data: DataFrame, keys: Sequence[str], heavy: list[tuple[Row, list[list[_Bracket | None]]]]) -> DataFrame:
+    """``data`` with ``__low`` and ``__high``, an array of brackets per column and percentile, null where there is none."""
+    values = [(*key, *[[None if b is None else getattr(b, side) for own in brackets for b in own] for side in ("low", "high")]) for key, brackets in heavy]
+    if not keys:  # one group
+        arrays = values[0] if values else (None, None)
+        literal = lambda a: F.lit(None).cast("array<double>") if a is None else F.array(*[F.lit(x).cast("double") for x in a])
+        return data.withColumns({"__low": literal(arrays[0]), "__high": literal(arrays[1])})
+    named = [StructField("__k_" + k, data.schema[k].dataType) for k in keys]
+    ends = [StructField(n, ArrayType(DoubleType())) for n in ("__low", "__high")]
+    table = data.sparkSession.createDataFrame(values, StructType([*named, *ends]))
+    same = F.lit(True)
+    for k in keys:
+        same = same & data[k].eqNullSafe(table["__k_" + k])
+    return data.join(F.broadcast(table), same, "left").drop(*["__k_" + k for k in keys])  # at most HEAVY_GROUPS rows
+
+
+def _refined(data: DataFrame, keys: Sequence[str], columns: Sequence[str], ps: Sequence[float], heavy: list, open_rows: int) -> None:
+    """Narrow the brackets of groups with more than ``open_rows`` rows inside one, scan by scan, until none has or none
+    gets narrower."""
+    while True:
+        todo = [h for h in heavy if any(b and b.open > open_rows and b.low < b.high for own in h[1] for b in own)]
+        if not todo:
+            return
+        wide = _attached(data, keys, todo)
+        wide = wide.where(F.col("__low").isNotNull())
+        grid = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+        aggregates = []
+        for i, c in enumerate(columns):
+            aggregates.append(F.count(c).alias(f"__n{i}"))
+            for j in range(len(ps)):
+                low, high, slot = F.col("__low")[i * len(ps) + j], F.col("__high")[i * len(ps) + j], f"{i}_{j}"
+                inside = F.when(F.col(c).between(low, high), F.col(c))
+                aggregates += [
+                    F.count_if(F.col(c) < low).alias(f"__below{slot}"), F.count(inside).alias(f"__in{slot}"),
+                    F.percentile_approx(inside, grid, F.lit(ACCURACY)).alias(f"__grid{slot}")]
+        found = {tuple(r[k] for k in keys): r for r in wide.groupBy(*keys).agg(*aggregates).collect()}  # a row per heavy group
+        narrower = False
+        for key, brackets in todo:
+            row = found[tuple(key)]
+            for i, own in enumerate(brackets):
+                for j, bracket in enumerate(own):
+                    if bracket is None or bracket.open <= open_rows or bracket.low == bracket.high:
+                        continue
+                    inside, grid_values = row[f"__in{i}_{j}"], row[f"__grid{i}_{j}"]
+                    rank = (row[f"__n{i}"] - 1) * ps[j] - row[f"__below{i}_{j}"]
+                    slack = inside / ACCURACY + 2
+                    first = max(int((rank - slack) / inside * GRID) - 1, 0)
+                    last = min(int((rank + slack) / inside * GRID) + 2, GRID)
+                    low, high = grid_values[first], grid_values[last]
+                    narrower |= low > bracket.low or high < bracket.high
+                    # a value that alone fills the bracket's grid cells is counted as one
+                    bracket.low, bracket.high, bracket.open = low, high, (last - first) / GRID * inside + 2 * slack
+        if not narrower:
+            return
+
+
+def grouped_percentiles(
     df: DataFrame,
     keys: Sequence[str],
-    value: str,
+    columns: dict[str, Column],
     percentiles: dict[str, float],
+    direct: Callable[[Callable[[Column], Column]], list[Column]] | None = None,
+    once: Callable[[list[Column]], list[Column]] | None = None,
     *,
-    small_group: int = SMALL_GROUP,
-    max_groups: int | None = None,
+    heavy_rows: int = HEAVY_ROWS,
+    open_rows: int = OPEN_ROWS,
 ) -> DataFrame:
-    """One row per key tuple with a column per named percentile of ``value`` (double, nulls ignored).
+    """A row per key tuple and column: keys, ``__column`` (its name), ``__n`` values, a double per percentile.
 
-    Groups of at most ``small_group`` values are bracketed by their minimum and maximum, larger ones by
-    sketch values a margin of four sketch errors away from each wanted rank.  All percentiles share two
-    passes over the data. ``max_groups`` is the number of groups the caller can prove; the bracket table
-    is broadcast only then.
+    ``columns`` are expressions for doubles, null ones are ignored. ``direct(over)`` may name further aggregates of the
+    group, each over columns wrapped in ``over``; they stand in all rows of the group. Without keys, ``once(values)`` may
+    name numeric ones that are taken in the scan of the sketches and stand in the plan as literals.
     """
-    keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
-    wanted = sorted(percentiles.items(), key=lambda item: item[1])
-    edges = [F.lit(e) for _, p in wanted for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
-    sketch = data.groupBy(*keys).agg(
-        F.count("*").alias("__n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", F.array(*edges), F.lit(ACCURACY)).alias("__edges"),
-    )
-    small = F.col("__n") <= small_group
-    bounds = []
-    for i in range(len(wanted)):
-        bounds.append(F.when(small, F.col("__min")).otherwise(F.col("__edges")[2 * i]).alias(f"__lo{i}"))
-        bounds.append(F.when(small, F.col("__max")).otherwise(F.col("__edges")[2 * i + 1]).alias(f"__hi{i}"))
-    brackets = sketch.select(*[F.col(k).alias("__k_" + k) for k in keys], "__n", *bounds)
-    if max_groups is not None and max_groups <= BROADCAST_GROUPS:
-        brackets = F.broadcast(brackets)
-    joined = data.join(brackets, _null_safe(data, brackets, keys, "__k_"), "inner")
-    counts = joined.groupBy(*keys, "__n", *_anchored(len(wanted))).agg(F.count("*").alias("__c"))
-    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__anchor"), "__block")
-    running = counts.withColumn("__upto", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return running.groupBy(*keys).agg(*[_interpolated(p).alias(name) for name, p in percentiles.items()])
-
-
-def _anchored(brackets: int) -> list[Column]:
-    """Grouping columns of a row: its own value inside a bracket, else the block after the last bracket below it."""
-    value, inside, below = F.col("__v"), F.lit(False), F.lit(None).cast("double")
-    for i in range(brackets):
-        inside = inside | value.between(F.col(f"__lo{i}"), F.col(f"__hi{i}"))
-        below = F.greatest(below, F.when(F.col(f"__hi{i}") < value, F.col(f"__hi{i}")))
-    return [F.when(inside, value).otherwise(below).alias("__anchor"), (~inside).alias("__block")]
-
-
-def _value_at(rank: Column) -> Column:
-    """Smallest exact value whose running count passes the rank; a rank inside a block would be an error."""
-    reached, block = F.col("__upto") > rank, F.col("__block")
-    in_bracket = F.min(F.when(reached & ~block, F.col("__upto")))
-    in_block = F.min(F.when(reached & block, F.col("__upto")))
-    missed = in_bracket.isNull() | F.coalesce(in_block < in_bracket, F.lit(False))
-    value = F.min(F.when(reached & ~block, F.col("__anchor")))
-    return F.when(missed, F.raise_error(F.lit("percentile bracket missed its rank"))).otherwise(value)
-
-
-def _interpolated(p: float) -> Column:
-    rank = (F.col("__n") - 1) * F.lit(p)
-    lower, upper = _value_at(F.floor(rank)), _value_at(F.ceil(rank))
-    return lower + (upper - lower) * F.max(rank - F.floor(rank))
+    keys, names, ps = list(keys), list(columns), list(percentiles.values())
+    slots = [f"__v{i}" for i in range(len(names))]
+    data = df.withColumns(dict(zip(slots, columns.values())))
+    narrow = data.select(*keys, *slots)
+    heavy, rows = _sketched(narrow, keys, slots, ps, heavy_rows, once([F.col(s) for s in slots]) if once else ())
+    taken = {n: v for n, v in rows[0].asDict().items() if not n.startswith("__")} if once else {}
+    _refined(narrow, keys, slots, ps, heavy, open_rows)
+    wide = _attached(data, keys, heavy)
+
+    def ends(i: int, j: int) -> tuple[Column, Column]:
+        return F.col("__low")[i * len(ps) + j], F.col("__high")[i * len(ps) + j]
+
+    entries, any_open = [], F.lit(False)
+    for i, slot in enumerate(slots):
+        inside = F.lit(False)
+        for j in range(len(ps)):
+            low, high = ends(i, j)
+            inside = inside | ((F.col(slot) > low) & (F.col(slot) < high))  # the ends are counted as numbers
+        open_ = F.col(slot).isNotNull() & (F.col("__low").isNull() | ends(i, 0)[0].isNull() | inside)
+        entries.append(F.when(open_, F.lit(i)))
+        any_open = any_open | open_
+    # each row once for its group, and once more for each value in a bracket, which few are
+    own = F.lit(-1)
+    kept = F.when(any_open, F.array_compact(F.array(own, *entries))).otherwise(F.array(own))
+    rows = wide.withColumn("__i", F.explode(kept))
+    whole = F.col("__i") == -1
+    value = F.coalesce(*[F.when(F.col("__i") == i, F.col(s)) for i, s in enumerate(slots)])
+    over = lambda value: F.when(whole, value)
+    below = []
+    for i, s in enumerate(slots):
+        for j in range(len(ps)):
+            low, high = ends(i, j)
+            tests = {"under": F.col(s) < low, "at": F.col(s) <= low, "to": F.col(s) <= high}
+            below += [F.count_if(whole & test).alias(f"__b_{k}{i}_{j}") for k, test in tests.items()]
+    totals = [F.count(over(F.col(s))).alias(f"__n{i}") for i, s in enumerate(slots)]
+    extra = direct(over) if direct else []
+    counts = rows.groupBy(*keys, "__i", value.alias("__v")).agg(F.count("*").alias("__c"), *below, *totals, *extra)
+    shown = [c for c in counts.columns if c not in (*keys, "__i", "__v", "__c") and not c.startswith(("__b", "__n"))]
+
+    # the row of a group becomes one per column, in front of the column's values
+    fields, kinds = ("__i", "__v", "__c", "__n", "__under", "__at", "__to"), ("int", "double", "bigint", "bigint", *["array<bigint>"] * 3)
+
+    def entry(*values: Column) -> Column:
+        return F.struct(*[v.cast(k).alias(f) for v, k, f in zip(values, kinds, fields)])
+
+    nothing = F.lit(None)
+    sums = lambda k, i: F.array(*[F.col(f"__b_{k}{i}_{j}") for j in range(len(ps))])
+    heads = F.array(*[
+        entry(F.lit(i), nothing, F.lit(0), F.col(f"__n{i}"), *[sums(k, i) for k in ("under", "at", "to")]) for i in range(len(slots))])
+    one = F.array(entry(F.col("__i"), F.col("__v"), F.col("__c"), nothing, nothing, nothing, nothing))
+    long = counts.withColumn("__x", F.explode(F.when(F.col("__i") == -1, heads).otherwise(one)))
+    long = _attached(long.select(*keys, "__x.*", *shown), keys, heavy)
+    part = lambda side: F.slice(F.col(side), F.col("__i") * len(ps) + 1, F.lit(len(ps)))
+    long = long.withColumns({"__lo": part("__low"), "__hi": part("__high")}).drop("__low", "__high")
+
+    column = Window.partitionBy(*keys, "__i")
+    order = column.orderBy(F.asc_nulls_first("__v"))
+    head = lambda c: F.first(c, ignorenulls=True).over(column)
+    long = long.withColumns({"__upto": F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)), **{c: head(c) for c in fields[3:]}})
+    before = {f"__before{j}": F.coalesce(F.sum(F.when(F.col("__v") <= F.col("__lo")[j], F.col("__c"))).over(column), F.lit(0)) for j in range(len(ps))}
+    long = long.withColumns(before)
+    out = []
+    for j, (name, p) in enumerate(percentiles.items()):
+        rank = (F.col("__n") - 1) * F.lit(p)
+        low, high = F.max(F.col("__lo")[j]), F.max(F.col("__hi")[j])
+        inside = F.coalesce((F.col("__v") > F.col("__lo")[j]) & (F.col("__v") < F.col("__hi")[j]), F.col("__v").isNotNull())
+        upto = F.col("__upto") - F.col(f"__before{j}") + F.coalesce(F.col("__at")[j], F.lit(0))
+
+        def value_at(place: Column) -> Column:
+            within = F.min(F.when(inside & (upto > place), F.col("__v")))
+            return F.when(F.max(F.col("__at")[j] - place) > 0, low).otherwise(F.coalesce(within, high))
+
+        lower, upper = value_at(F.floor(rank)), value_at(F.ceil(rank))
+        beyond = (F.max(F.col("__under")[j] - F.floor(rank)) > 0) | (F.max(F.col("__to")[j] - F.ceil(rank)) <= 0)
+        missed = (F.max("__n") > 0) & (upper.isNull() | F.when(low.isNull(), F.lit(False)).otherwise(beyond))
+        found = lower + (upper - lower) * F.max(rank - F.floor(rank))
+        out.append(F.when(missed, F.raise_error(F.lit("percentile bracket missed its rank"))).otherwise(found).alias(name))
+    label = F.array(*[F.lit(n) for n in names])
+    return long.groupBy(*keys, label[F.col("__i")].alias("__column")).agg(
+        F.max("__n").alias("__n"), *out, *[F.first(s, ignorenulls=True).alias(s) for s in shown], *[F.lit(v).alias(n) for n, v in taken.items()])
+
+
+def exact_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, percentiles: dict[str, float], *, heavy_rows: int = HEAVY_ROWS, open_rows: int = OPEN_ROWS
+) -> DataFrame:
+    """One row per key tuple that has values, with a column per named percentile of ``value`` (double, nulls ignored)."""
+    found = grouped_percentiles(df, keys, {value: F.col(value).cast("double")}, percentiles, heavy_rows=heavy_rows, open_rows=open_rows)
+    return found.where("__n > 0").select(*keys, *percentiles)
