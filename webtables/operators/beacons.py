@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -105,16 +106,25 @@ FIELDS = (*TEXT_FIELDS, *VARIANT_FIELDS)
 
 _ANALYTICS = "xdm._experience.analytics"
 
+# What is read of an event, in one pass over its document. Parts of unknown shape stay variants; a part of another type
+# than declared is null and leaves the others as they are.
+EVENT_TYPE = (
+    "STRUCT<data:VARIANT,xdm:STRUCT<data:VARIANT,eventType:STRING,web:STRUCT<webPageDetails:STRUCT<name:STRING>>,commerce:VARIANT,"
+    "productListItems:VARIANT,identityMap:VARIANT,_experience:STRUCT<analytics:STRUCT<channel:STRING,productString:STRING,"
+    + "".join(f"{bucket}:VARIANT," for bucket in EVENT_BUCKETS)
+    + "customDimensions:STRUCT<eVars:VARIANT,props:VARIANT>>>>>"
+)
+
 
 def _bucket(event: str, names: Sequence[str]) -> str:
     """First of the named event buckets that is a non-empty object."""
-    values = [V.at(event, f"{_ANALYTICS}.{name}") for name in names]
+    values = [f"{event}.{_ANALYTICS}.{name}" for name in names]
     return "coalesce(" + ", ".join(f"if({V.filled_object(v)}, {v}, NULL)" for v in values) + ")"
 
 
 def _merchandising(event: str, by_name: bool = False) -> str:
     """eVars of each product item, null when no item has any: a list with one place per item, or items by name."""
-    items = V.members(event, "xdm.productListItems")
+    items = V.members(f"{event}.xdm.productListItems")
     found = V.at("item", "_experience.analytics.customDimensions.eVars")
     if by_name:
         named = f"transform({items}, (item, i) -> named_struct('name', concat('item[', i, ']'), 'eVars', {found}))"
@@ -126,33 +136,34 @@ def _merchandising(event: str, by_name: bool = False) -> str:
 
 
 def _field_texts(event: str, identity: str, buckets: Sequence[str] = EVENT_BUCKETS) -> dict[str, str]:
-    """SQL of every analytics field of an event variant."""
-    own, nested = V.at(event, "data"), V.at(event, "xdm.data")
+    """SQL of every analytics field of an event of ``EVENT_TYPE``."""
+    own, nested = f"{event}.data", f"{event}.xdm.data"
 
     def data_text(key: str) -> str:
-        return f"if({V.filled(own)}, {V.filled_text(event, 'data.' + key)}, {V.filled_text(event, 'xdm.data.' + key)})"
+        return f"if({V.filled(own)}, {V.filled_text(own, key)}, {V.filled_text(nested, key)})"
 
-    dimensions = f"{_ANALYTICS}.customDimensions"
+    analytics = f"{event}.{_ANALYTICS}"
     return {
-        "pageName": f"coalesce({V.at(event, 'xdm.web.webPageDetails.name', 'string')}, '')",
-        "eventType": f"coalesce({V.at(event, 'xdm.eventType', 'string')}, '')",
-        "channel": V.filled_text(event, f"{_ANALYTICS}.channel"),
-        "products": V.filled_text(event, f"{_ANALYTICS}.productString"),
+        "pageName": f"coalesce({event}.xdm.web.webPageDetails.name, '')",
+        "eventType": f"coalesce({event}.xdm.eventType, '')",
+        "channel": f"nullif({analytics}.channel, '')",
+        "products": f"nullif({analytics}.productString, '')",
         "currentTime": data_text("currentTime"),
         "currentDate": data_text("currentDate"),
-        "renkeiid": V.filled_text(event, f"xdm.identityMap.{identity}[0].id"),
+        "renkeiid": V.filled_text(f"{event}.xdm.identityMap", f"{identity}[0].id"),
         "events": _bucket(event, buckets),
-        "eVars": V.when_filled(V.at(event, f"{dimensions}.eVars")),
-        "props": V.when_filled(V.at(event, f"{dimensions}.props")),
+        "eVars": V.when_filled(f"{analytics}.customDimensions.eVars"),
+        "props": V.when_filled(f"{analytics}.customDimensions.props"),
         "data": f"coalesce({V.when_filled(own)}, {V.when_filled(nested)})",
-        "commerce": V.when_filled(V.at(event, "xdm.commerce")),
-        "productListItems": V.when_filled(V.at(event, "xdm.productListItems")),
+        "commerce": V.when_filled(f"{event}.xdm.commerce"),
+        "productListItems": V.when_filled(f"{event}.xdm.productListItems"),
         "merchandisingEVars": _merchandising(event),
     }
 
 
 def _events_of(payload: str) -> str:
-    return V.members(V.document(V.name(payload)), "events")
+    """SQL array of the events of a payload, as ``EVENT_TYPE``."""
+    return V.at(V.document(V.name(payload)), "events", f"ARRAY<{EVENT_TYPE}>")
 
 
 def _extract(event: str, fields: Sequence[str], identity: str) -> str:
@@ -180,7 +191,8 @@ def extract_first_event(df: DataFrame, payload: str = "payload") -> DataFrame:
     """
     keep = [c for c in df.columns if c != payload]
     carries = f"{V.filled(V.at('e', _ANALYTICS))} OR {V.filled(V.at('e', 'xdm.commerce'))}"
-    first = F.expr(f"explode(slice(filter({_events_of(payload)}, e -> {carries}), 1, 1))")
+    events = V.members(V.document(V.name(payload)), "events")
+    first = F.expr(f"explode(transform(slice(filter({events}, e -> {carries}), 1, 1), e -> {V.at('e', '', EVENT_TYPE)}))")
     texts = _field_texts("event", IDENTITY_NAMESPACE, tuple(reversed(EVENT_BUCKETS)))
     texts["merchandisingEVars"] = _merchandising("event", by_name=True)
     fields = [f"{text} AS {name}" for name, text in texts.items() if name != "renkeiid"]
@@ -248,6 +260,17 @@ def failed_checks(lookup: Lookup, requirements: Sequence[Mapping]) -> str:
     return f"array_compact(array({', '.join(texts)}))" if texts else "CAST(array() AS ARRAY<STRING>)"
 
 
+def failures(lookup: Lookup, requirements: Sequence[Mapping]) -> str:
+    """SQL array of (key, op, expected, actual) of the checks that do not hold; values as JSON text, null if there is none."""
+    rows = []
+    for r, (_, hit) in zip(requirements, _checks(lookup, requirements)):
+        key, op, value = str(r.get("key", "")), str(r.get("op", "exists")), r.get("value")
+        expected = "CAST(NULL AS STRING)" if value is None else V.literal(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+        rows.append(f"if({hit}, NULL, named_struct('key', {V.literal(key)}, 'op', {V.literal(op)}, 'expected', {expected}, 'actual', to_json({lookup(key)})))")
+    empty = "CAST(array() AS ARRAY<STRUCT<key:STRING,op:STRING,expected:STRING,actual:STRING>>)"
+    return f"array_compact(array({', '.join(rows)}))" if rows else empty
+
+
 def requirement_check(df: DataFrame, column: str, requirements: Sequence[Mapping]) -> DataFrame:
     """Add ``satisfied`` and ``failed`` for a JSON text column."""
     failed = failed_checks(lambda key: V.at("__doc", key), requirements)
@@ -342,6 +365,51 @@ def richness(paths: Sequence[str] = SCORE_PATHS) -> str:
     return f"CAST({' + '.join(terms)} AS BIGINT)"
 
 
+def candidates(
+    df: DataFrame,
+    fields: Sequence[str],
+    *,
+    payload: str,
+    session: str,
+    order: Sequence[str],
+    page_pattern: str = "",
+    event_type: str = "",
+    start_index: int = 0,
+) -> DataFrame:
+    """Events of raw requests that pass page and type: the request's columns, ``pos``, the event ``__event`` and ``fields``.
+
+    The first ``start_index`` requests of each session, by ``order`` without ``pos``, do not count. Of the others the
+    events are read once, filtered, and only then have the named fields extracted.
+    """
+    keep = [c for c in df.columns if c != payload]
+    if start_index:
+        place = F.struct(*[F.col(c) for c in order if c != "pos"])
+        narrow = df.select(F.col(session).alias("__session"), place.alias("__place"))
+        early = narrow.withColumn("__rank", F.row_number().over(Window.partitionBy("__session").orderBy("__place"))).filter(F.col("__rank") <= start_index)
+        cut = early.groupBy("__session").agg(F.max("__place").alias("__cut"))
+        df = df.join(cut, F.col(session).eqNullSafe(F.col("__session"))).filter(place > F.col("__cut")).select(*keep, payload)
+    rows = df.select(*keep, F.expr(f"posexplode({_events_of(payload)})").alias("pos", "__event"))
+    texts = _field_texts("__event", IDENTITY_NAMESPACE)
+    if page_pattern:
+        rows = rows.filter(R.search(F.expr(texts["pageName"]), page_pattern))
+    if event_type:
+        rows = rows.filter(F.expr(texts["eventType"]) == event_type)
+    return rows.select("*", *[F.expr(texts[f]).alias(f) for f in fields])
+
+
+def _extracted(rows: DataFrame, *, also: Sequence[str] = ()) -> DataFrame:
+    """All fields of the events that are left, variants as JSON text."""
+    keep = [c for c in rows.columns if c not in (*FIELDS, "__event", *also)]
+    texts = _field_texts("__event", IDENTITY_NAMESPACE)
+    return as_json_text(rows.select(*keep, *[F.expr(texts[f]).alias(f) for f in FIELDS], *also))
+
+
+def _named(paths: Sequence[str]) -> list[str]:
+    """Fields that some paths read; the empty path reads all."""
+    heads = [p.split(".")[0].split("[")[0] for p in paths]
+    return list(FIELDS) if "" in heads else [f for f in FIELDS if f in heads]
+
+
 def _one_per_session(rows: DataFrame, session: str, pick: Callable[[Column], Column]) -> DataFrame:
     """The row that ``pick`` (a ``max_by`` or ``min_by``) keeps per session; JSON text is made of the kept rows only."""
     fields = [c for c in rows.columns if c != session]
@@ -358,11 +426,25 @@ def best_beacon(
     event_type: str = "",
     requirements: Sequence[Mapping] = (),
     score_paths: Sequence[str] = SCORE_PATHS,
+    payload: str = "payload",
+    start_index: int = 0,
 ) -> DataFrame:
     """Richest matching event per session, ties to the latest.
 
-    ``max_by`` keeps one candidate per session and task before the shuffle, whatever a session holds.
+    ``events`` are raw requests with a ``payload``, or events that are extracted already. ``max_by`` keeps one candidate
+    per session and task before the shuffle, whatever a session holds. Of raw requests it carries the event as it was
+    read, and only the winners are extracted; the first ``start_index`` requests of a session do not count.
     """
+    if payload in events.columns:
+        fields = _named([*SCORE_FIELDS, *score_paths, *[str(r.get("key", "")) for r in requirements]])
+        rows = candidates(
+            events, fields, payload=payload, session=session, order=order, page_pattern=page_pattern, event_type=event_type, start_index=start_index)
+        rows = rows.filter(satisfies(analytics_value, requirements)).withColumn("score", F.expr(richness(score_paths)))
+        kept = [c for c in rows.columns if c not in (*fields, session)]
+        best = rows.groupBy(session).agg(F.max_by(F.struct(*kept), F.struct("score", *order)).alias("__kept"))
+        return _extracted(best.select(session, "__kept.*"), also=["score"])
+    if start_index:
+        raise ValueError(f"start_index counts raw requests: {payload} is not among the columns")
     rows = _candidates(events, page_pattern, event_type).filter(satisfies(analytics_value, requirements))
     scored = rows.withColumn("score", F.expr(richness(score_paths)))
     return _one_per_session(scored, session, lambda row: F.max_by(row, F.struct("score", *order)))
@@ -377,23 +459,46 @@ def rejected_beacons(
     page_pattern: str = "",
     event_type: str = "",
     limit: int | None = None,
+    payload: str = "payload",
+    start_index: int = 0,
 ) -> DataFrame:
     """The candidates that failed, ranked per session from the latest, with the failing checks; ``limit`` per session if given.
 
-    With a limit, the rank filter limits each session inside every task before the shuffle; which checks failed is
-    written out for the rows that remain.
+    ``failed`` names the checks, ``failures`` holds key, op, expected and actual value of each. With a limit, the rank
+    filter limits each session inside every task before the shuffle; what failed is written out for the rows that
+    remain. ``events`` are raw requests with a ``payload``, whose fields are extracted for these rows alone, or events
+    that are extracted already; the first ``start_index`` requests of a session do not count.
     """
-    rows = _candidates(events, page_pattern, event_type).filter(f"NOT ({satisfies(analytics_value, requirements)})")
     latest = Window.partitionBy(session).orderBy(*[F.desc(c) for c in order])
+    if payload in events.columns:
+        fields = _named([str(r.get("key", "")) for r in requirements])
+        rows = candidates(
+            events, fields, payload=payload, session=session, order=order, page_pattern=page_pattern, event_type=event_type, start_index=start_index)
+        rows = rows.filter(f"NOT ({satisfies(analytics_value, requirements)})")
+        ranked = rows.drop(*fields).withColumn("reject_rank", F.row_number().over(latest).cast("bigint"))
+        kept = ranked if limit is None else ranked.filter(F.col("reject_rank") <= limit)
+        texts = _field_texts("__event", IDENTITY_NAMESPACE)
+        kept = kept.select("*", *[F.expr(texts[f]).alias(f) for f in FIELDS]).drop("__event")
+        kept = kept.withColumns({"failed": F.expr(failed_checks(analytics_value, requirements)), "failures": F.expr(failures(analytics_value, requirements))})
+        return as_json_text(kept)
+    if start_index:
+        raise ValueError(f"start_index counts raw requests: {payload} is not among the columns")
+    rows = _candidates(events, page_pattern, event_type).filter(f"NOT ({satisfies(analytics_value, requirements)})")
     ranked = rows.withColumn("reject_rank", F.row_number().over(latest).cast("bigint"))
     kept = ranked if limit is None else ranked.filter(F.col("reject_rank") <= limit)
-    return as_json_text(kept.withColumn("failed", F.expr(failed_checks(analytics_value, requirements))))
+    return as_json_text(kept.withColumns({
+        "failed": F.expr(failed_checks(analytics_value, requirements)), "failures": F.expr(failures(analytics_value, requirements))}))
 
 
 def first_page_match(
-    events: DataFrame, page_pattern: str, *, session: str = "session_id", order: Sequence[str] = ("seq", "pos")
+    events: DataFrame, page_pattern: str, *, session: str = "session_id", order: Sequence[str] = ("seq", "pos"), payload: str = "payload"
 ) -> DataFrame:
-    """First event per session whose page name matches."""
+    """First event per session whose page name matches, of raw requests with a ``payload`` or of extracted events."""
+    if payload in events.columns:
+        rows = candidates(events, (), payload=payload, session=session, order=order, page_pattern=page_pattern).filter("__event.xdm.web.webPageDetails.name <> ''")
+        kept = [c for c in rows.columns if c != session]
+        first = rows.groupBy(session).agg(F.min_by(F.struct(*kept), F.struct(*order)).alias("__kept"))
+        return _extracted(first.select(session, "__kept.*"))
     rows = events.filter((F.col("pageName") != "") & R.search(F.col("pageName"), page_pattern))
     return _one_per_session(rows, session, lambda row: F.min_by(row, F.struct(*order)))
 

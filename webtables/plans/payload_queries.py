@@ -196,6 +196,108 @@ def drop_repeats(spark, sf):
     return beacons.drop_repeats(rows, session="session_id", order="seq", compare=["kind"], block_width=1000)
 
 
+# ---------------------------------------------------------------- captures: several events, buckets, items, empty parts
+
+
+def _filled(value: str) -> str:
+    return f"CASE WHEN CAST({value} AS VARCHAR) NOT IN ('null', '\"\"', '[]', '{{}}') THEN CAST({value} AS VARCHAR) END"
+
+
+def _capture_sql() -> str:
+    json = lambda path: f"json_extract(e, '$.{path}')"
+    text = lambda path: f"nullif(json_extract_string(e, '$.{path}'), '')"
+    analytics = "xdm._experience.analytics"
+    buckets = ", ".join(f"CASE WHEN CAST({json(f'{analytics}.{b}')} AS VARCHAR) LIKE '{{\"%' THEN CAST({json(f'{analytics}.{b}')} AS VARCHAR) END" for b in beacons.EVENT_BUCKETS)
+    own = f"({_filled(json('data'))}) IS NOT NULL"
+    item = "json_extract(i, '$._experience.analytics.customDimensions.eVars')"
+    items = f"list_transform(json_extract(e, '$.xdm.productListItems[*]'), lambda i: CASE WHEN json_type({item}) = 'OBJECT' THEN CAST({item} AS VARCHAR) ELSE '{{}}' END)"
+    return f"""
+    WITH ev AS (SELECT seq, session_id, pos, json_extract(payload, '$.events[' || pos || ']') AS e
+                FROM (SELECT *, unnest(range(CAST(json_array_length(payload, '$.events') AS BIGINT))) AS pos FROM capture_rows)),
+    flat AS (SELECT seq, session_id, pos, coalesce({text('xdm.web.webPageDetails.name')}, '') AS "pageName", coalesce({text('xdm.eventType')}, '') AS "eventType",
+      {text(analytics + '.channel')} AS channel, {text(analytics + '.productString')} AS products,
+      CASE WHEN {own} THEN {text('data.currentTime')} ELSE {text('xdm.data.currentTime')} END AS "currentTime",
+      CASE WHEN {own} THEN {text('data.currentDate')} ELSE {text('xdm.data.currentDate')} END AS "currentDate",
+      {text('xdm.identityMap.renkeiid[0].id')} AS renkeiid, coalesce({buckets}) AS events,
+      {_filled(json(analytics + '.customDimensions.eVars'))} AS "eVars", {_filled(json(analytics + '.customDimensions.props'))} AS props,
+      coalesce({_filled(json('data'))}, {_filled(json('xdm.data'))}) AS data, {_filled(json('xdm.commerce'))} AS commerce,
+      {_filled(json('xdm.productListItems'))} AS "productListItems",
+      CASE WHEN len(list_filter({items}, lambda t: t <> '{{}}')) > 0 THEN concat('{{\"item\":[', array_to_string({items}, ','), ']}}') END AS "merchandisingEVars" FROM ev)
+    """
+
+
+_ALL = ", ".join(f'"{f}"' for f in beacons.FIELDS)
+
+
+@query(f"{_capture_sql()} SELECT seq, pos, {_ALL} FROM flat", "capture_rows")
+def extract_capture_events(spark, sf):
+    out = beacons.as_json_text(beacons.extract_edge_events(views.capture_rows(spark, sf).select("seq", "payload")))
+    return out.select("seq", F.col("pos").cast("bigint").alias("pos"), *beacons.FIELDS)
+
+
+_CAPTURE_CHECKS = [
+    {"key": "events.event11.value", "op": "equals", "value": 1},
+    {"key": "commerce.purchases.value", "op": "exists"},
+    {"key": "eVars.eVar1", "op": "matches", "value": "^e[0-3]$"},
+]
+
+_CAPTURE_JUDGED = f"""{_capture_sql()},
+    judged AS (SELECT *, coalesce(json_extract_string(events, '$.event11.value') = '1', false) AS c0, json_extract_string(commerce, '$.purchases.value') IS NOT NULL AS c1,
+      coalesce(regexp_matches(json_extract_string("eVars", '$.eVar1'), '^e[0-3]$'), false) AS c2 FROM flat),
+    numbered AS (SELECT seq AS place_seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS place FROM capture_rows),
+    later AS (SELECT * FROM judged JOIN numbered ON place_seq = seq WHERE place > 3)
+"""
+
+
+@query(
+    _CAPTURE_JUDGED
+    + """
+    , scored AS (SELECT *, CAST(CASE WHEN "pageName" <> '' THEN 2 ELSE 0 END + CASE WHEN "eventType" <> '' THEN 2 ELSE 0 END
+        + CASE WHEN products IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN renkeiid IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN c1 THEN 3 ELSE 0 END
+        + CASE WHEN json_extract_string(commerce, '$.order.purchaseID') IS NOT NULL THEN 3 ELSE 0 END
+        + CASE WHEN json_extract_string(events, '$.event11.value') IS NOT NULL THEN 3 ELSE 0 END
+        + CASE WHEN json_extract_string(props, '$.prop5') IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN json_extract_string("eVars", '$.eVar1') IS NOT NULL THEN 3 ELSE 0 END
+        + CASE WHEN json_extract_string("productListItems", '$[0].SKU') IS NOT NULL THEN 3 ELSE 0 END
+        + CASE WHEN json_extract_string("merchandisingEVars", '$.item[0].eVar8') IS NOT NULL THEN 3 ELSE 0 END AS BIGINT) AS score FROM later)
+    SELECT session_id, seq, pos, score, """
+    + _ALL
+    + """ FROM scored WHERE c1 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, seq DESC, pos DESC) = 1
+    """,
+    "capture_rows",
+)
+def best_capture(spark, sf):
+    out = beacons.best_beacon(views.capture_rows(spark, sf), requirements=[_CAPTURE_CHECKS[1]], start_index=3)
+    return out.select("session_id", "seq", F.col("pos").cast("bigint").alias("pos"), "score", *beacons.FIELDS)
+
+
+@query(
+    _CAPTURE_JUDGED
+    + """
+    SELECT session_id, seq, pos, "pageName", "eventType", "currentTime", events, commerce, "eVars", props, "merchandisingEVars",
+      concat_ws(';', CASE WHEN NOT c0 THEN concat('events.event11.value equals 1 ', coalesce(json_extract_string(events, '$.event11.value'), '-')) END,
+        CASE WHEN NOT c1 THEN 'commerce.purchases.value exists - -' END,
+        CASE WHEN NOT c2 THEN concat('eVars.eVar1 matches "^e[0-3]$" ', coalesce(CAST(json_extract("eVars", '$.eVar1') AS VARCHAR), '-')) END) AS failures,
+      row_number() OVER (PARTITION BY session_id ORDER BY seq DESC, pos DESC) AS reject_rank
+    FROM later WHERE NOT (c0 AND c1 AND c2) AND regexp_matches("pageName", '^[pq]') QUALIFY reject_rank <= 20
+    """,
+    "capture_rows",
+)
+def rejected_captures(spark, sf):
+    out = beacons.rejected_beacons(views.capture_rows(spark, sf), _CAPTURE_CHECKS, page_pattern="^[pq]", limit=20, start_index=3)
+    line = lambda f: F.concat_ws(" ", f["key"], f["op"], *[F.coalesce(f[k], F.lit("-")) for k in ("expected", "actual")])
+    shown = ("pageName", "eventType", "currentTime", "events", "commerce", "eVars", "props", "merchandisingEVars")
+    return out.select("session_id", "seq", F.col("pos").cast("bigint").alias("pos"), *shown, F.array_join(F.transform("failures", line), ";").alias("failures"), "reject_rank")
+
+
+@query(
+    f"{_capture_sql()} SELECT session_id, seq, pos, {_ALL} FROM flat WHERE regexp_matches(\"pageName\", '[13579]$') QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq, pos) = 1",
+    "capture_rows",
+)
+def first_capture_page(spark, sf):
+    out = beacons.first_page_match(views.capture_rows(spark, sf), "[13579]$")
+    return out.select("session_id", "seq", F.col("pos").cast("bigint").alias("pos"), *beacons.FIELDS)
+
+
 # ---------------------------------------------------------------- contracts
 
 _CONTRACT = [

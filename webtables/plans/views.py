@@ -84,6 +84,24 @@ _REQUESTS = (
     " '}},\"customDimensions\":{\"eVars\":{\"eVar1\":\"e', user_id % 5,"
     " '\"}}}}},\"auth_token\":\"s', event_id, '\"}]}') AS payload",
 )
+_ITEM = '{"SKU":"s1","_experience":{"analytics":{"customDimensions":{"eVars":{"eVar8":"m"}}}}},{"SKU":"s2"}'
+# requests with one or two events, all three buckets, commerce, items, identities, empty and null parts
+_CAPTURES = (
+    "event_id AS seq",
+    "user_id % 50 AS session_id",
+    "concat('{\"events\":[{\"data\":', CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN '{}' ELSE concat('{\"currentTime\":\"t', event_id % 7, '\"}') END,"
+    " ',\"xdm\":{\"eventType\":\"', event_type, '\",\"data\":', CASE event_id % 3 WHEN 0 THEN '{\"currentDate\":\"d\",\"currentTime\":\"own\"}' ELSE '[]' END,"
+    " ',\"web\":{\"webPageDetails\":{\"name\":', CASE event_id % 8 WHEN 0 THEN 'null' ELSE concat('\"p', event_id % 20, '\"') END,"
+    " '}},\"commerce\":', CASE event_id % 5 WHEN 0 THEN '{\"purchases\":{\"value\":1}}' WHEN 1 THEN '{}' ELSE 'null' END,"
+    f" ',\"productListItems\":', CASE event_id % 3 WHEN 0 THEN '[{_ITEM}]' WHEN 1 THEN '[]' ELSE '[{{\"SKU\":\"s3\"}}]' END,"
+    " ',\"identityMap\":{\"renkeiid\":[', CASE event_id % 3 WHEN 0 THEN '{\"id\":\"m1\"}' ELSE '' END,"
+    " ']},\"_experience\":{\"analytics\":{\"channel\":\"', CASE event_id % 2 WHEN 0 THEN '' ELSE 'c' END, '\",\"productString\":\";s;', event_id % 3,"
+    " '\",\"event1to100\":', CASE event_id % 3 WHEN 0 THEN '{}' ELSE concat('{\"event11\":{\"value\":', event_id % 4, '}}') END,"
+    " ',\"event101to200\":', CASE event_id % 2 WHEN 0 THEN '{\"event101\":{\"value\":2}}' ELSE 'null' END,"
+    " ',\"event201to300\":{\"event201\":{\"value\":3}},\"customDimensions\":{\"eVars\":', CASE event_id % 4 WHEN 0 THEN '{}' ELSE concat('{\"eVar1\":\"e', event_id % 5, '\"}') END,"
+    " ',\"props\":{\"prop5\":\"x\"}}}}}}', CASE WHEN event_id % 2 = 0 THEN concat(',{\"xdm\":{\"eventType\":\"late\",\"web\":{\"webPageDetails\":{\"name\":\"q', event_id % 3,"
+    " '\"}},\"commerce\":{\"order\":{\"purchaseID\":\"o', event_id % 9, '\"}}}}') ELSE '' END, ']}') AS payload",
+)
 _JOURNAL = (
     "event_id AS seq",
     "CAST(floor(event_id / 4) AS BIGINT) AS run_id",
@@ -108,6 +126,7 @@ VIEW_SQL = {
     "amount_rows": _sql(_AMOUNTS, "orders"),
     "snapshot_rows": _sql(_SNAPSHOTS, "part"),
     "request_rows": _sql(_REQUESTS, "events"),
+    "capture_rows": _sql(_CAPTURES, "events"),
     "journal_rows": _sql(_JOURNAL, "events"),
 }
 
@@ -132,4 +151,5 @@ expected_rows = _view("customer", _EXPECTED)
 amount_rows = _view("orders", _AMOUNTS)
 snapshot_rows = _view("part", _SNAPSHOTS)
 request_rows = _view("events", _REQUESTS)
+capture_rows = _view("events", _CAPTURES)
 journal_rows = _view("events", _JOURNAL)
