@@ -1,6 +1,7 @@
 """Inputs that regular tables do not hold: ties, nulls, empty frames, shared names, times without a unit, no limits."""
 
 import json
+import shutil
 from datetime import date, datetime
 
 import pytest
@@ -152,3 +153,63 @@ def test_first_event_names_its_items(spark):
     assert json.loads(first.select(F.to_json("merchandisingEVars")).first()[0]) == {"item[1]": {"eVar8": "m"}}
     bare = beacons.extract_first_event(spark.createDataFrame([(1, payload.replace("eVar8", "x").replace('"x":"m"', ""))], "seq int, payload string"))
     assert bare.select("merchandisingEVars").first()[0] is None
+
+
+def test_a_fresh_checkpoint_keeps_stored_rows(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run(state, *rows):
+        spark.createDataFrame(rows, "k int, v string, at int").coalesce(1).write.mode("overwrite").parquet(source)
+        updates = spark.readStream.schema("k int, v string, at int").parquet(source)
+        jobs.upsert_stream(updates, table, str(tmp_path / state), ["k"]).awaitTermination()
+
+    run("one", (1, "a", 1), (2, "b", 1))
+    run("two", (2, "c", 1), (3, "d", 1))
+    assert sorted(tuple(r)[:2] for r in jobs.read_upserted(spark, table, ["k"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    shutil.rmtree(tmp_path / "two" / "commits")  # the last batch of the second query is done again
+    run("two", (2, "c", 1), (3, "d", 1))
+    assert len(list((tmp_path / "out").glob("query=*"))) == 2
+    assert sorted(tuple(r)[:2] for r in jobs.read_upserted(spark, table, ["k"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+@pytest.mark.parametrize("line_breaks", [True, False])
+def test_leading_lines_are_skipped_in_every_file(spark, tmp_path, line_breaks):
+    cell = '"two\nlines"' if line_breaks else '"a ""quoted"" one"'
+    for name in "ab":
+        (tmp_path / f"{name}.csv").write_text(f"# made by, a tool, x\n\nid,t\n1,{cell}\n2,plain\n")
+    loaded = str(tmp_path / "t")
+    assert sinks.load_delimited(spark, f"{tmp_path}/*.csv", loaded, "id int, t string", skip_lines=3, line_breaks=line_breaks) == 4
+    wanted = "two\nlines" if line_breaks else 'a "quoted" one'
+    assert sorted(map(tuple, spark.read.parquet(loaded).collect())) == [(1, wanted), (1, wanted), (2, "plain"), (2, "plain")]
+
+
+def test_key_values_without_line_breaks_can_be_split(spark, tmp_path):
+    (tmp_path / "k.tsv").write_text("Key\tlabel\na\tone\nb\tx\n")
+    plan = readers.read_key_value_tsv(spark, str(tmp_path / "k.tsv"), ["label"], line_breaks=False)
+    assert sorted(map(tuple, plan.collect())) == [("a", "one"), ("b", "x")]
+
+
+def test_versions_compare_as_their_texts(spark):
+    texts = [None, "", "a", " a", "a ", "b"]
+    rows = [(f"{i}-{j}-{k}", x, y, z) for i, x in enumerate(texts) for j, y in enumerate(texts) for k, z in enumerate(texts)]
+    df = spark.createDataFrame(rows, "path string, base string, local string, remote string")
+    sides = [df.select("path", df[n].alias("text")).where("text IS NOT NULL") for n in ("base", "local", "remote")]
+    united = reconcile.three_way_compare(reconcile.unite_versions(*sides))
+    wanted = {r.path: r.action for r in united.collect()}
+    assert {r.path: r.action for r in reconcile.compare_versions(*sides).collect()} == wanted and len(set(wanted.values())) == 7
+    assert sorted(map(tuple, reconcile.conflicts(*sides).collect())) == sorted(map(tuple, reconcile.conflict_records(united).collect()))
+
+
+def test_first_requests_of_a_session_do_not_count(spark):
+    payload = lambda name, n: f'{{"events":[{{"xdm":{{"eventType":"v","web":{{"webPageDetails":{{"name":"{name}"}}}},"commerce":{{"purchases":{{"value":{n}}}}}}}}}]}}'
+    rows = [("s", k, payload(f"p{k}", k)) for k in range(5)] + [("t", 0, payload("p0", 1)), ("u", 0, "broken"), ("u", 1, payload("p1", 2))]
+    df = spark.createDataFrame(rows, "session_id string, seq int, payload string")
+    checks = [{"key": "commerce.purchases.value", "op": "equals", "value": 1}]
+    assert [(r.session_id, r.seq) for r in beacons.best_beacon(df, requirements=checks).orderBy("session_id").collect()] == [("s", 1), ("t", 0)]
+    assert beacons.best_beacon(df, requirements=checks, start_index=2).count() == 0
+    rejected = beacons.rejected_beacons(df, checks, start_index=1).orderBy("session_id", "reject_rank").collect()
+    assert [(r.session_id, r.seq) for r in rejected] == [("s", 4), ("s", 3), ("s", 2), ("u", 1)]
+    assert [tuple(f) for f in rejected[0].failures] == [("commerce.purchases.value", "equals", "1", "4")]
+    assert rejected[0].commerce == '{"purchases":{"value":4}}' and rejected[0].eVars is None
+    with pytest.raises(ValueError):
+        beacons.best_beacon(beacons.extract_edge_events(df), start_index=1)

@@ -146,3 +146,9 @@ def site_key(value: str | Column) -> Column:
     """Join key of a site URL: a trailing slash is ignored for http(s) URLs only."""
     text = strip_blank(value)
     return F.when(text.rlike(r"^https?://"), F.regexp_replace(text, r"/+$", "")).otherwise(text)
+
+
+def site_spellings(key: str | Column) -> Column:
+    """URLs as they are stored that have a site key: the key, and of http(s) URLs also with a slash at the end."""
+    text = col(key)
+    return F.when(text.rlike(r"^https?://"), F.array(text, F.concat(text, F.lit("/")))).otherwise(F.array(text))

@@ -210,6 +210,39 @@ def text_hash(value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit("sha256:"), _digest(text.strip_blank(value))))
 
 
+_VERSIONS = ("base", "local", "remote")
+_DIGESTS = tuple(f"{v}_{k}" for v in _VERSIONS for k in ("whole1", "whole2", "inner1", "inner2"))
+
+
+def unite_digests(base: DataFrame, local: DataFrame, remote: DataFrame, key: str = "path", content: str = "text") -> DataFrame:
+    """One row per path with two 128-bit digests of each version, of the whole text and of the text without blanks at its
+    ends; null where a version is absent. No text is shuffled."""
+    def side(df: DataFrame, which: str) -> DataFrame:
+        text_, inner = F.col(content), text.strip_blank(F.col(content))
+        own = {"whole1": F.xxhash64(text_), "whole2": F.xxhash64(text_, F.lit(1)), "inner1": F.xxhash64(inner), "inner2": F.xxhash64(inner, F.lit(1))}
+        return df.select(F.col(key).alias("path"), *[
+            (F.when(text_.isNotNull(), own[n.split("_")[1]]) if n.startswith(which) else F.lit(None)).cast("bigint").alias(n) for n in _DIGESTS])
+
+    rows = side(base, "base").unionByName(side(local, "local")).unionByName(side(remote, "remote"))
+    return rows.groupBy("path").agg(*[F.max(n).alias(n) for n in _DIGESTS])
+
+
+def compare_versions(base: DataFrame, local: DataFrame, remote: DataFrame, key: str = "path", content: str = "text") -> DataFrame:
+    """``path`` and ``action`` from the versions' digests; the same actions as :func:`three_way_compare` on their texts."""
+    pair = lambda version, part: F.struct(F.col(f"{version}_{part}1"), F.col(f"{version}_{part}2"))
+    there = {v: F.col(f"{v}_whole1").isNotNull() for v in _VERSIONS}
+    action = _action(
+        there, pair("local", "whole") == pair("remote", "whole"), pair("local", "inner") == pair("base", "inner"), pair("remote", "inner") == pair("base", "inner"))
+    return unite_digests(base, local, remote, key, content).select("path", action.alias("action"))
+
+
+def conflicts(base: DataFrame, local: DataFrame, remote: DataFrame, key: str = "path", content: str = "text") -> DataFrame:
+    """Conflicts with their kind, hashes and texts; only the texts of paths in conflict are shuffled."""
+    found = compare_versions(base, local, remote, key, content).filter("action = 'conflict'").select("path")
+    sides = [df.withColumnRenamed(key, "path").join(found, "path", "left_semi") for df in (base, local, remote)]
+    return conflict_records(three_way_compare(unite_versions(*sides, "path", content)))
+
+
 def unite_versions(base: DataFrame, local: DataFrame, remote: DataFrame, key: str = "path", content: str = "text") -> DataFrame:
     """One row per path with the text of each version, null where absent, through one shuffle."""
     def side(df: DataFrame, which: str) -> DataFrame:
@@ -230,24 +263,24 @@ def three_way_compare(versions: DataFrame) -> DataFrame:
     with_hash = versions.withColumns(
         {"base_hash": text_hash(base), "local_hash": text_hash(local), "remote_hash": text_hash(remote)}
     )
-    local_changed = F.col("local_hash") != F.col("base_hash")
-    remote_changed = F.col("remote_hash") != F.col("base_hash")
-    removed = (
-        F.when(local.isNull(), "unchanged")
-        .when(F.col("local_hash") == F.col("base_hash"), "delete")
-        .otherwise("kept-local-removed")
-    )
-    action = (
-        F.when(remote.isNull(), removed)
-        .when(local.isNull(), "add")
-        .when(local == remote, "unchanged")
-        .when(base.isNull(), "conflict")
-        .when(~local_changed & remote_changed, "update")
-        .when(local_changed & ~remote_changed, "keep-local")
-        .when(local_changed & remote_changed, "conflict")
+    there = {"base": base.isNotNull(), "local": local.isNotNull(), "remote": remote.isNotNull()}
+    same_local, same_remote = (F.col(f"{v}_hash") == F.col("base_hash") for v in ("local", "remote"))
+    return with_hash.withColumn("action", _action(there, local == remote, same_local, same_remote))
+
+
+def _action(there: dict[str, Column], same: Column, same_local: Column, same_remote: Column) -> Column:
+    """Action from which versions are there, whether local and remote are equal, and whether each is the base's."""
+    removed = F.when(~there["local"], "unchanged").when(there["base"] & same_local, "delete").otherwise("kept-local-removed")
+    return (
+        F.when(~there["remote"], removed)
+        .when(~there["local"], "add")
+        .when(same, "unchanged")
+        .when(~there["base"], "conflict")
+        .when(same_local & ~same_remote, "update")
+        .when(~same_local & same_remote, "keep-local")
+        .when(~same_local & ~same_remote, "conflict")
         .otherwise("unchanged")
     )
-    return with_hash.withColumn("action", action)
 
 
 def conflict_records(compared: DataFrame) -> DataFrame:

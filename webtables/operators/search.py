@@ -119,7 +119,8 @@ def union_sites(
     """Rows of all listed sites with their label, aggregated per site; sites without URL are skipped.
 
     One scan of a fact table holding ``url_col`` replaces one request per site. Site URLs match with or
-    without a trailing slash.
+    without a trailing slash: the sites carry both spellings and are joined on the column as it is stored, so that a
+    filter made of the sites reaches the scan.
     """
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     named = sites.select(
@@ -127,8 +128,8 @@ def union_sites(
         text.strip_blank(F.coalesce(label, F.lit(""))).alias("__label"),
     ).filter("__key <> ''")
     # Reducing the facts per site before the labels come in keeps a site listed twice from doubling its sums.
-    rows = facts.withColumn("__key", urls.site_key(url_col)).drop(url_col)
-    rows = rows.join(named.select("__key"), "__key", "left_semi")
+    spelled = named.select("__key", F.explode(urls.site_spellings("__key")).alias("__url")).distinct()
+    rows = facts.join(spelled, F.col(url_col) == F.col("__url")).drop(url_col, "__url")
     if aggregate:
         rows = search_aggregate(rows)
     rows = rows.join(named, "__key", "inner").drop("__key")

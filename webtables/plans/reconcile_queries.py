@@ -166,8 +166,7 @@ def snapshot_counts(spark, sf):
 
 def _versions(spark, sf):
     rows = views.snapshot_rows(spark, sf)
-    sides = [rows.select("path", F.col(f"{n}_text").alias("text")).filter("text IS NOT NULL") for n in ("base", "local", "remote")]
-    return reconcile.three_way_compare(reconcile.unite_versions(*sides))
+    return [rows.select("path", F.col(f"{n}_text").alias("text")).filter("text IS NOT NULL") for n in ("base", "local", "remote")]
 
 
 _ACTIONS = """
@@ -187,7 +186,7 @@ _ACTIONS = """
 
 @query(_ACTIONS + "SELECT path, action FROM a", "snapshot_rows")
 def three_way_compare(spark, sf):
-    return _versions(spark, sf).select("path", "action")
+    return reconcile.compare_versions(*_versions(spark, sf))
 
 
 @query(
@@ -200,7 +199,7 @@ def three_way_compare(spark, sf):
     "snapshot_rows",
 )
 def conflict_records(spark, sf):
-    return reconcile.conflict_records(_versions(spark, sf))
+    return reconcile.conflicts(*_versions(spark, sf))
 
 
 @query(

@@ -312,8 +312,8 @@ def union_sites(spark, sf):
 def site_key_join(spark, sf):
     sites = rule_table(spark, [*_SITES, ("sc-domain:site2", "two")], "site_url string, label string")
     keyed = sites.select(urls.site_key("site_url").alias("site_key"), "label")
-    facts = _site_facts(spark, sf).withColumn("site_key", urls.site_key("url"))
-    totals = facts.groupBy("site_key").agg(F.sum("clicks").alias("clicks"))
+    spelled = keyed.select("site_key", F.explode(urls.site_spellings("site_key")).alias("url")).distinct()
+    totals = _site_facts(spark, sf).join(spelled, "url").groupBy("site_key").agg(F.sum("clicks").alias("clicks"))
     return totals.join(keyed, "site_key").select("label", "clicks")
 
 

@@ -43,14 +43,17 @@ def read_head(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
     return df.orderBy(*keys).limit(rows)
 
 
-def read_key_value_tsv(spark: SparkSession, path: str, columns: list[str], *, order: str | None = None) -> DataFrame:
+def read_key_value_tsv(
+    spark: SparkSession, path: str, columns: list[str], *, order: str | None = None, line_breaks: bool = True
+) -> DataFrame:
     """Classification file: trimmed ``Key`` and columns, blank keys dropped, one row per key.
 
-    The row that wins is the last by ``order``, or without such a column the largest by its values.
+    The row that wins is the last by ``order``, or without such a column the largest by its values. A quoted cell may
+    hold line breaks; ``line_breaks=False`` lets Spark split files that are known to have none.
     """
     names = ["Key", *columns]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names + ([order] if order else [])])
-    raw = spark.read.schema(schema).option("header", True).option("sep", "\t").option("escape", '"').option("multiLine", True).csv(path)
+    raw = spark.read.schema(schema).option("header", True).option("sep", "\t").option("escape", '"').option("multiLine", line_breaks).csv(path)
     trimmed = raw.withColumns({n: text.strip_blank(F.coalesce(n, F.lit(""))) for n in names}).filter("Key <> ''")
     return last_per_key(trimmed, "Key", columns, order)
 

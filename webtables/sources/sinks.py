@@ -48,17 +48,48 @@ def _rebalanced(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def load_delimited(
-    spark: SparkSession, source: str, target: str, schema: str, *, skip_lines: int = 1, mode: str = "append", delimiter: str = ","
+    spark: SparkSession,
+    source: str,
+    target: str,
+    schema: str,
+    *,
+    skip_lines: int = 1,
+    mode: str = "append",
+    delimiter: str = ",",
+    line_breaks: bool = True,
 ) -> int:
-    """Load delimited text into a Parquet table, skipping leading lines of every file; returns the rows loaded."""
-    if skip_lines not in (0, 1):
+    """Load delimited text into a Parquet table, skipping leading lines of every file; returns the rows loaded.
+
+    A quoted cell may hold line breaks, so a file is read by one task. ``line_breaks=False`` lets Spark split files that
+    are known to have none. Leading lines are plain lines: their quotes do not join them to the next one unless
+    ``line_breaks`` is on and a quoted cell is left open in them.
+    """
+    options = {"sep": delimiter, "escape": '"', "enforceSchema": True, "multiLine": line_breaks}
+    if skip_lines > 1 and not line_breaks:
         lines = _without_leading_lines(spark, source, skip_lines)
-        rows = lines.select(F.from_csv("value", schema, {"sep": delimiter}).alias("r")).select("r.*")
+        rows = lines.select(F.from_csv("value", schema, {"sep": delimiter, "escape": '"'}).alias("r")).select("r.*")
+    elif skip_lines > 1:
+        rows = _without_leading_records(spark, spark.read.schema(schema).options(**options).csv(source), source, skip_lines)
     else:
-        rows = spark.read.schema(schema).option("header", skip_lines == 1).option("enforceSchema", True).option("sep", delimiter).option("escape", '"').option("multiLine", True).csv(source)
+        rows = spark.read.schema(schema).options(**options).option("header", skip_lines == 1).csv(source)
     return write_table(rows, target, mode)
 
 
+def _without_leading_records(spark: SparkSession, rows: DataFrame, source: str, count: int) -> DataFrame:
+    """Rows of files that one task reads each, without those of the first ``count`` lines; empty lines are no rows.
+
+    How many of these lines are rows is told from the lines at the head of each file; one row per file is joined.
+    """
+    heads = spark.read.text(source).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("start"))
+    heads = heads.filter("start = 0").withColumn("n", F.monotonically_increasing_id())
+    first = heads.groupBy("__file").agg(F.min("n").alias("low"))
+    leading = heads.join(first, "__file").filter(F.col("n") - F.col("low") < count)
+    skipped = leading.groupBy("__file").agg(F.count_if(F.col("value") != "").alias("__skip"))
+    numbered = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__n"))
+    starts = numbered.groupBy("__file").agg(F.min("__n").alias("__low")).join(skipped, "__file")
+    return numbered.join(starts, "__file").filter(F.col("__n") - F.col("__low") >= F.col("__skip")).select(*rows.columns)
+
+
 def _without_leading_lines(spark: SparkSession, source: str, count: int) -> DataFrame:
     """Lines of the files without the first ``count`` of each, told apart by the byte position of the block start.
 

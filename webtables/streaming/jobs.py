@@ -44,24 +44,39 @@ def reflection_stream(events: DataFrame, path: str, checkpoint: str, time: str =
 def upsert_stream(updates: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: str | None = None):
     """Keyed report table refreshed per micro-batch.
 
-    Each batch writes only its own rows, one per key, into its own partition, so a repeated batch replaces
-    itself and the table is never rewritten; :func:`read_upserted` merges on read, :func:`compact` bounds
-    how much there is to merge.
+    Each batch writes only its own rows, one per key, into the partition of its query and number, so a repeated batch
+    replaces itself and the table is never rewritten. A query with a fresh checkpoint counts its batches from 0 again,
+    but is another query and comes after all before it. :func:`read_upserted` merges on read, :func:`compact` bounds how
+    much there is to merge.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         rows = sinks.one_per_key(batch, keys, order)
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{path}/query={_query_folder(batch.sparkSession, path, query)}/batch={batch_id}")
 
     return updates.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _query_folder(spark: SparkSession, path: str, query: str) -> str:
+    """Name of a query's part of a table, the number of queries before it in front; the one it has, if it has written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/query=*")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    names = [f.getPath().getName().removeprefix("query=") for f in found]
+    own = [n for n in names if n.endswith(f"_{query}")]
+    return own[0] if own else f"{max((int(n.split('_')[0]) for n in names), default=0) + 1:09d}_{query}"
+
+
 def read_upserted(spark: SparkSession, path: str, keys: Sequence[str], order: str | None = None) -> DataFrame:
-    """Current table: for every key the row of its newest batch, or the greatest by ``order`` over all batches."""
-    rows = spark.read.parquet(path)
-    rank = F.col("batch") if order is None else F.struct(F.col(order), F.col("batch"))
-    return sinks.one_per_key(rows, keys, rank).drop("batch")
+    """Current table: for every key the row of its newest batch, or the greatest by ``order`` over all batches.
+
+    Batches of a later query are newer than those of one before; batches stored without a query are the oldest.
+    """
+    rows = spark.read.option("basePath", path).parquet(path)
+    age = F.struct(*[F.coalesce(F.col(c), F.lit("" if c == "query" else -1)) for c in ("query", "batch") if c in rows.columns])
+    rank = age if order is None else F.struct(F.col(order), age)
+    return sinks.one_per_key(rows, keys, rank).drop("query", "batch")
 
 
 def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], order: str | None = None) -> None:
-    """Write the merged table to a new path as batch -1, the base for later batches."""
-    read_upserted(spark, path, keys, order).write.parquet(f"{target}/batch=-1")
+    """Write the merged table to a new path as the oldest batch, the base for later ones."""
+    read_upserted(spark, path, keys, order).write.parquet(f"{target}/query=000000000_base/batch=-1")
