@@ -53,3 +53,32 @@ def test_medians_shuffle_counts_only(spark, no_broadcast):
 def test_profile_reads_the_table_twice(spark, no_broadcast):
     plan = plan_of(QUERIES["numeric_profile"](spark, FOLDER))  # the other scan was that of the sketches
     assert plan.count("FileScan") == 1 and "SortMergeJoin" not in plan and "Expand" not in plan
+
+
+@pytest.mark.parametrize("name", ["three_way_compare", "conflict_records"])
+def test_versions_are_compared_without_their_texts(spark, no_broadcast, name):
+    plan = plan_of(QUERIES[name](spark, FOLDER))
+    if name == "three_way_compare":
+        assert "SortAggregate" not in plan and "_text" not in plan.split("Exchange hashpartitioning")[0]
+    else:
+        assert "LeftSemi" in plan
+
+
+@pytest.mark.parametrize("name", ["union_sites", "site_key_join"])
+def test_sites_are_joined_on_the_stored_column(spark, name):
+    plan = plan_of(QUERIES[name](spark, FOLDER))
+    joins = [line for line in plan.splitlines() if "Join [url" in line or "Join [__url" in line]
+    assert joins and not any("site_key" in line or "regexp" in line for line in joins)
+
+
+def test_only_winners_are_extracted(spark, no_broadcast):
+    """Above the aggregation stand the fields, below it the event as it was read."""
+    plan = plan_of(QUERIES["first_capture_page"](spark, FOLDER))
+    above, below = plan.split("SortAggregate", 1)
+    assert "AS eventType" in above and "AS eventType" not in below and "__event" in below
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.endswith("_stream")))
+def test_no_cross_join_without_broadcasts(spark, no_broadcast, name):
+    plan = plan_of(QUERIES[name](spark, FOLDER))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
