@@ -75,7 +75,7 @@ def test_repeats_after_a_null_order_and_over_times(spark):
     df = spark.createDataFrame([("s", None, "x"), ("s", 5, "x"), ("s", 250_000, "x"), ("s", 250_001, "y"), ("s", 250_001, "y")], "s string, n long, v string")
     assert sorted(r.v for r in beacons.drop_repeats(df, session="s", order="n", compare=["v"]).collect()) == ["x", "y"]
     at = df.select("s", F.timestamp_seconds(F.col("n")).alias("n"), "v")
-    assert sorted(r.v for r in beacons.drop_repeats(at, session="s", order="n", compare=["v"], block_width=3600).collect()) == ["x", "y"]
+    assert sorted(r.v for r in beacons.drop_repeats(at, session="s", order="n", compare=["v"]).collect()) == ["x", "y"]
 
 
 def test_numeric_date_is_the_axis(spark):

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from webtables.operators import beacons
+from webtables.operators import beacons, retention
 from webtables.streaming import jobs
 
 
@@ -110,9 +110,35 @@ def test_chunks_drop_broken_runs(spark):
     assert sorted(tuple(r) for r in beacons.reassemble_chunks(df).collect()) == [("a", "xy"), ("one", "")]
 
 
-@pytest.mark.parametrize("block_width", [1, 7, 1000])
-def test_drop_repeats_equals_a_loop(spark, block_width):
-    """A session holding most rows is cut into blocks without changing the result."""
+@pytest.fixture(params=[1, 7, 60])
+def many_ranges(spark, request):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_keep_last_cuts_inside_any_range(spark, many_ranges):
+    df = spark.createDataFrame([(i % 40, f"t{i}") for i in range(200)] + [(None, "n")], "seq int, t string").repartition(5)
+    newest = sorted(((r.seq is not None, r.seq or 0, r.t) for r in df.collect()))
+    for keep in (1, 2, 57, 199, 200):
+        found = sorted(((r.seq is not None, r.seq or 0, r.t) for r in retention.keep_last(df, seq="seq", max_rows=100, keep_rows=keep).collect()))
+        assert found == (newest[-keep:] if 202 - keep >= 2 else newest), keep
+
+
+def test_parts_of_a_long_run_stay_rows(spark, many_ranges):
+    parts = [("long", i, 300, "x" * (i % 7)) for i in range(300)] + [("one", 0, 1, None), ("gap", 1, 2, "g")]
+    df = spark.createDataFrame(parts, "run_id string, part_index int, part_count int, part string").repartition(4)
+    found = beacons.ordered_parts(df).orderBy("run_id", "part_index").collect()
+    text, = [r.payload for r in beacons.reassemble_chunks(df).collect() if r.run_id == "long"]
+    assert [r.run_id for r in found] == ["long"] * 300 + ["one"]
+    assert all(text[r.offset : r.offset + len(r.part)] == r.part for r in found[:300]) and found[-1].offset == 0
+
+
+def test_drop_repeats_equals_a_loop(spark, many_ranges):
+    """A session holding most rows is cut into ranges without changing the result."""
     rows = [("hot", i * 3, (i // 2) % 3 if i % 5 else None) for i in range(300)] + [("cold", i, i % 2) for i in range(5)] + [(None, 1, 1), (None, 2, 1)]
     expected, last = [], {}
     for session, seq, value in sorted(rows, key=lambda r: (str(r[0]), r[1])):
@@ -120,7 +146,7 @@ def test_drop_repeats_equals_a_loop(spark, block_width):
             expected.append((session, seq, value))
         last[session] = value
     df = spark.createDataFrame(rows, "s string, seq int, v int").repartition(5)
-    found = beacons.drop_repeats(df, session="s", order="seq", compare=["v"], block_width=block_width)
+    found = beacons.drop_repeats(df, session="s", order="seq", compare=["v"])
     assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
 
 

@@ -82,3 +82,8 @@ def test_only_winners_are_extracted(spark, no_broadcast):
 def test_no_cross_join_without_broadcasts(spark, no_broadcast, name):
     plan = plan_of(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_files_of_a_hot_folder_are_spread(spark, no_broadcast):
+    plan = plan_of(QUERIES["outside_files"](spark, FOLDER))
+    assert any("salt" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)

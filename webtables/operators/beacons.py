@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules as R, text, urls, variants as V
+from . import ranges
 
 # Headers that are stable between runs.
 STABLE_HEADERS = ("content-type", "x-request-id", "x-trace-id", "date")
@@ -537,33 +538,18 @@ def match_request(
 
 
 def drop_repeats(
-    df: DataFrame, *, session: str, order: str, compare: Sequence[str], block_width: float = 100_000
+    df: DataFrame, *, session: str, order: str, compare: Sequence[str]
 ) -> DataFrame:
     """Drop rows equal to the row right before them in their session; later repeats stay.
 
-    A session may hold a large part of the table, so its order column (a number, date or time) is cut into blocks of
-    ``block_width`` numbers or seconds and rows look back inside their block. The last row of the block before is
-    found among one summary row per block and joins each block as its opening row. Rows are in the order of
-    ``order``, null first, then of the compared values, so ties have one order, too.
+    A session may hold a large part of the table, so rows are sorted by ranges, which cut a session where its rows are
+    many, and look back inside their range; the first of a range looks at the last of the range before. The order
+    column is of any ordered type. Rows are in its order, null first, then in that of the compared values, so ties have
+    one order, too. The sorted rows are written once while the plan is built.
     """
-    kind = df.schema[order].dataType
-    place = F.unix_seconds(F.col(order).cast("timestamp")) if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.col(order)
-    sequence = F.struct(F.col(order), *[F.col(c) for c in compare])
-    rows = df.withColumns(
-        {
-            "__block": F.floor(place / block_width),
-            "__content": F.struct(*[F.col(c) for c in compare]),
-            "__carried": F.lit(False),
-        }
-    )
-    last = rows.groupBy(session, "__block").agg(F.max_by("__content", sequence).alias("__last"))
-    before = F.lag("__last").over(Window.partitionBy(session).orderBy("__block"))
-    opening = last.select(session, "__block", before.alias("__content"), F.lit(True).alias("__carried"))
-    united = rows.unionByName(opening.filter("__content IS NOT NULL"), allowMissingColumns=True)
-    inside = Window.partitionBy(session, "__block").orderBy(F.desc("__carried"), order, *compare)
-    previous = F.lag("__content").over(inside)
-    looked = united.withColumn("__repeat", F.coalesce(previous.eqNullSafe(F.col("__content")), F.lit(False)))
-    return looked.filter("NOT __carried AND NOT __repeat").select(*df.columns)
+    rows, before = ranges.row_before(ranges.ranged(df, [session, order, *compare]), F.struct(session, *compare))
+    repeat = F.coalesce(before.eqNullSafe(F.struct(session, *compare)), F.lit(False))
+    return rows.filter(~repeat).select(*df.columns)
 
 
 # ---------------------------------------------------------------- delivery calls
@@ -686,10 +672,22 @@ def complete_runs(df: DataFrame, run: str = "run_id", index: str = "part_index",
     return state.filter(whole).select(run, F.col("__most").alias(count))
 
 
+def ordered_parts(
+    df: DataFrame, *, run: str = "run_id", index: str = "part_index", count: str = "part_count", part: str = "part"
+) -> DataFrame:
+    """Parts of complete runs with ``offset``, the characters of the run before them; a null part is empty.
+
+    A run of any size stays in rows, in ranges of its order; written in the order of run and index they are its text.
+    """
+    whole = complete_runs(df, run, index, count).select(run)
+    parts = df.join(whole, run, "left_semi").select(run, index, F.coalesce(F.col(part), F.lit("")).alias(part))
+    return ranges.running_before(parts, [run], [index], F.length(part), "offset")
+
+
 def reassemble_chunks(
     df: DataFrame, *, run: str = "run_id", index: str = "part_index", count: str = "part_count", part: str = "part"
 ) -> DataFrame:
-    """Parts of complete runs joined in order.
+    """Parts of complete runs joined in order, one text per run; for runs too large for a cell see :func:`ordered_parts`.
 
     Incomplete runs are dropped before any part is gathered, so a broken run that repeats one key without
     end is never collected; what is gathered is exactly the one text a complete run stands for.

@@ -7,10 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text
+from ..sources.workdir import fresh_path
 
 HINTS = ("date", "int", "float", "currency", "percent", "text")
 TIME_WORDS = ("date", "day", "time", "month", "week")
 DATE_SHARE = 0.8
+MOST_SERIES = 10_000
 
 
 def _date_text(value: Column) -> Column:
@@ -143,7 +145,15 @@ def series_totals(df: DataFrame, x: str, y: str, series: str, limit: int | None
 
 
 def series_matrix(df: DataFrame, x: str, y: str, series: str, limit: int | None = None) -> DataFrame:
-    """One column per series, the ``limit`` with the most rows if given, one row per ``x``."""
-    cells = series_totals(df, x, y, series, limit)
-    names = [r["series"] for r in cells.select("series").distinct().orderBy("series").collect()]  # the columns of the result
+    """One column per series, the ``limit`` with the most rows if given, one row per ``x``.
+
+    The totals are written once, so that the names of the columns and the columns are taken from one run. More than
+    ``MOST_SERIES`` columns are refused.
+    """
+    totals, path = series_totals(df, x, y, series, limit), fresh_path(df.sparkSession, "series")
+    totals.write.parquet(path)
+    cells = df.sparkSession.read.schema(totals.schema).parquet(path)
+    names = [r["series"] for r in cells.select("series").distinct().orderBy("series").limit(MOST_SERIES + 1).collect()]
+    if len(names) > MOST_SERIES:
+        raise ValueError(f"more than {MOST_SERIES} series: name a limit")
     return cells.groupBy(x).pivot("series", names).agg(F.sum("total"))

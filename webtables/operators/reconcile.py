@@ -12,6 +12,8 @@ from .channels import DEFAULT_RULE
 # Fixed value: label of traffic that no rule classified.
 NOT_SET = "(not set)"
 
+SALTS = 16  # copies of the owners of files, over which the files of one folder are spread
+
 
 # ---------------------------------------------------------------- site mapping
 
@@ -316,20 +318,24 @@ def outside_files(resources: DataFrame, files: DataFrame) -> DataFrame:
         )
     )
     owners = resources.select(F.explode(owned).alias("__p")).select("__p.kind", "__p.prefix").distinct()
+    # a file offers only prefixes of as many parts as some owner of the kind has; there are as many counts as paths are deep
+    parts = F.size(F.split("prefix", F.when(F.col("kind") == "dotted", r"[.]").otherwise("[/]")))
+    depths = owners.where("kind <> 'same'").agg(F.collect_set(F.struct("kind", parts.alias("n"))).alias("depths"))
+    # each owner stands in every one of the copies that a file is dealt to by its hash, so a folder of many files is spread
+    owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def prefixes(separator: str, kind: str, last: int) -> Column:
         parts = F.split("path", "[" + separator + "]")
         count = F.size(parts) - last
-        cut = F.transform(
-            F.sequence(F.lit(1), count),
-            lambda n: F.struct(F.lit(kind).alias("kind"), F.array_join(F.slice(parts, 1, n), separator).alias("prefix")),
-        )
+        wanted = F.filter(F.sequence(F.lit(1), count), lambda n: F.array_contains(F.col("__depths"), F.struct(F.lit(kind).alias("kind"), n.alias("n"))))
+        cut = F.transform(wanted, lambda n: F.struct(F.lit(kind).alias("kind"), F.array_join(F.slice(parts, 1, n), separator).alias("prefix")))
         return F.when(count > 0, cut).otherwise(F.array().cast("array<struct<kind:string,prefix:string>>"))
 
     itself = F.array(F.struct(F.lit("same").alias("kind"), F.col("path").alias("prefix")))
-    offered = files.select("path", F.explode(F.concat(prefixes("/", "below", 0), prefixes(".", "dotted", 1), itself)).alias("__o"))
-    offered = offered.select("path", "__o.kind", "__o.prefix")
-    return offered.join(owners, ["kind", "prefix"], "left_semi").select("path").distinct()
+    offered = files.select("path").withColumn("__depths", depths.scalar())
+    offered = offered.select("path", F.explode(F.concat(prefixes("/", "below", 0), prefixes(".", "dotted", 1), itself)).alias("__o"))
+    offered = offered.select("path", "__o.kind", "__o.prefix", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
+    return offered.join(owners, ["kind", "prefix", "salt"], "left_semi").select("path").distinct()
 
 
 def folder_counts(files: DataFrame) -> DataFrame:

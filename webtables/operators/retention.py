@@ -7,6 +7,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from . import ranges
 from .beacons import complete_runs
 
 
@@ -28,17 +29,26 @@ def keep_last(df: DataFrame, *, seq: str, max_rows: int, keep_rows: int) -> Data
     """Keep the newest ``keep_rows`` rows once the used rows, header included, exceed ``max_rows``.
 
     ``seq`` is of any ordered type, null the oldest; the other columns that can be ordered break ties, so exactly
-    ``keep_rows`` rows stay unless whole rows repeat. Count and cut are scalars of the running query: nothing is run
-    while it is built, and the table is filtered instead of sorted.
+    ``keep_rows`` rows stay unless whole rows repeat. The keys are sorted by ranges and counted per range while the plan
+    is built, which finds the one row at the cut; the table itself is filtered by that row and not sorted.
     """
     if keep_rows < 1:
         raise ValueError("keep_rows must be 1 or greater")
-    ordered = [f.name for f in df.schema if f.name != seq and isinstance(f.dataType, T.AtomicType)]
-    place = F.struct(seq, *ordered)
-    used = df.agg((F.count("*") + 1).alias("used")).scalar()
-    newest = df.select(place.alias("place")).orderBy(F.desc("place")).limit(keep_rows)
-    cut = newest.agg(F.min("place").alias("cut")).scalar()
-    return df.filter((used <= max_rows) | (used - keep_rows < 2) | (place >= cut))
+    ordered = [seq, *[f.name for f in df.schema if f.name != seq and isinstance(f.dataType, T.AtomicType)]]
+    keys = ranges.ranged(df.select(*ordered), ordered)
+    counts = sorted(keys.groupBy(ranges.PART).agg(F.count("*").alias("n")).collect())  # one row per range
+    used = sum(r.n for r in counts) + 1
+    if used <= max_rows or used - keep_rows < 2:
+        return df
+    left = used - 1 - keep_rows  # rows before the cut
+    for part, n in counts:
+        if left < n:
+            break
+        left -= n
+    cut = keys.filter(F.col(ranges.AT) == (part << 33) + left).first()
+    place = F.struct(*[F.lit(cut[c]).cast(df.schema[c].dataType).alias(c) for c in ordered])
+    newest = F.struct(*ordered) >= place
+    return df.filter(newest if cut[seq] is None else (F.col(seq) >= F.lit(cut[seq])) & newest)
 
 
 def migrate_rows(df: DataFrame, header: Sequence[str], layouts: Sequence[Mapping[str, str]]) -> DataFrame:

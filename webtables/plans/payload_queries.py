@@ -193,7 +193,7 @@ def drop_repeats(spark, sf):
     rows = read_table(spark, sf, "events").selectExpr(
         "user_id AS session_id", "event_id AS seq", "CASE WHEN event_type IN ('view', 'click') THEN event_type END AS kind"
     )
-    return beacons.drop_repeats(rows, session="session_id", order="seq", compare=["kind"], block_width=1000)
+    return beacons.drop_repeats(rows, session="session_id", order="seq", compare=["kind"])
 
 
 # ---------------------------------------------------------------- captures: several events, buckets, items, empty parts
@@ -412,6 +412,18 @@ def reassemble_chunks(spark, sf):
     return beacons.reassemble_chunks(views.journal_rows(spark, sf))
 
 
+@query(
+    _WHOLE
+    + """
+    SELECT run_id, part_index, part, CAST(coalesce(sum(length(part)) OVER (PARTITION BY run_id ORDER BY part_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+    FROM journal_rows WHERE run_id IN (SELECT run_id FROM w)
+    """,
+    "journal_rows",
+)
+def ordered_parts(spark, sf):
+    return beacons.ordered_parts(views.journal_rows(spark, sf))
+
+
 @query(_WHOLE + "SELECT run_id, part_index, part FROM journal_rows WHERE run_id = (SELECT max(run_id) FROM w)", "journal_rows")
 def latest_complete_run(spark, sf):
     rows = views.journal_rows(spark, sf).withColumn("started_at", F.lpad(F.col("run_id").cast("string"), 20, "0"))
