@@ -63,3 +63,56 @@ def merkle_sql() -> str:
     return "WITH " + ",\n".join(steps) + f"""
 SELECT l.doc_id, l.leaf, s.subroot, top.root, sha256(f.proof) AS proof_sha256, f.d AS folded_root, f.d = top.root AS verified
 FROM leaves l JOIN s_f{GROUP_LEVELS} f ON f.id = l.id JOIN subroots s ON s.of_g IS NOT DISTINCT FROM l.g CROSS JOIN top"""
+
+
+def _edited(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """A state (cost c, audit a, text o) after one more edit."""
+    out = f"{state}.o" if line is None else f"concat_ws(chr(10), {state}.o, {line})"
+    return f"{{'c': {state}.c + {cost}, 'a': concat({state}.a, '{letter}'), 'o': {out}}}"
+
+
+def _best(*states: str) -> str:
+    """The state of least cost, of equal ones that with the least audit."""
+    return f"list_sort([{', '.join(states)}])[1]"
+
+
+def repair_sql() -> str:
+    """Repair of ``conversations``: row by row, the best edits that end in each of four states."""
+    hit = crc32_sql("concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    far = "{'c': 1000000000::BIGINT, 'a': '~', 'o': NULL::VARCHAR}"
+    kept = lambda state, initial: f"CASE WHEN initial = '{initial}' AND NOT forced THEN {_edited(state, 'more', 'K', 'line')} ELSE {far} END"
+    given = lambda state, role: f"CASE WHEN NOT forced THEN {_edited(state, '1 + more', 'R', f'concat({chr(39)}{role}:{chr(39)}, text)')} ELSE {far} END"
+    put = lambda state, role: _edited(state, "5", "I", f"'{role}:'")
+    gone = lambda state: _edited(state, "2", "D")
+    # none, system, user, assistant were put out last; m: before insertions, p: after them
+    m2 = _best(gone("p2"), *[kept(p, "u") for p in ("p0", "p1", "p3")], *[given(p, "user") for p in ("p0", "p1", "p3")])
+    u = _best("m2", put("m0", "user"), put("m1", "user"), put("m3", "user"))
+    return f"""WITH RECURSIVE hits AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {hit} % 20 AS hit FROM conversations),
+copied AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+  CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hits WHERE hit <> 0),
+bared AS (SELECT *, rtrim(text, {blanks}) AS bare, sha256(concat(strlen(role), ':', role, text)) AS key FROM copied),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key, copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, key ORDER BY turn NULLS FIRST, copy) AS again FROM bared),
+faulted AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN NOT contains('.!?', right(bare, 1)) THEN 'truncated' END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous FROM placed),
+step AS (SELECT conv_id AS conv, i, left(role, 1) AS initial, coalesce(fault IN ('blank', 'duplicate'), false) AS forced,
+  CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, text, concat(role, ':', text) AS line FROM faulted),
+counted AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (previous IS NOT NULL AND concat(previous, left(role, 1)) NOT IN ('su', 'ua', 'au')) AS illegal FROM faulted GROUP BY conv_id),
+begun AS (SELECT {{'c': 0::BIGINT, 'a': '', 'o': NULL::VARCHAR}} AS m0),
+search(conv, i, p0, p1, p2, p3) AS (
+  SELECT conv_id, 0::BIGINT, m0, {far}, {put('m0', 'user')}, {_edited(f"({put('m0', 'user')})", '5', 'I', "'assistant:'")} FROM counted, begun
+  UNION ALL
+  SELECT conv, i, m0, m1, u, {_best('m3', put('u', 'assistant'))} FROM (
+    SELECT *, {u} AS u FROM (
+      SELECT s.conv, step.i, {gone('p0')} AS m0, {_best(gone('p1'), kept('p0', 's'))} AS m1, {m2} AS m2,
+        {_best(gone('p3'), kept('p2', 'a'), given('p2', 'assistant'))} AS m3
+      FROM search s JOIN step ON step.conv IS NOT DISTINCT FROM s.conv AND step.i = s.i + 1))),
+found AS (SELECT conv, {_best('p0', 'p3')} AS best FROM search s JOIN counted c ON c.conv_id IS NOT DISTINCT FROM s.conv AND c.n = s.i)
+SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+  coalesce(c.illegal, 0) AS illegal, coalesce(f.best.c, 0) AS cost, coalesce(f.best.a, '') AS audit, sha256(coalesce(f.best.o, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN found f ON f.conv IS NOT DISTINCT FROM a.conv_id"""
