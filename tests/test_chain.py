@@ -98,3 +98,11 @@ def test_profile(shop, rows):
     assert rows(profile.top_values(shop.select("color"), 2), "value_rank") == [("color", "<NA>", 2, 1), ("color", "blue", 1, 2)]
     assert rows(profile.extent(shop.withColumnRenamed("day", "month"))) == [(4, "month", "20260301", "later")]
     assert rows(profile.extent(shop)) == [(4, "", "", "")]
+
+
+def test_percentiles_of_columns_without_values(spark, rows):
+    df = spark.range(30_000).selectExpr("id % 3 AS k", "CASE WHEN id % 3 = 1 THEN NULL ELSE id * 1.0D END AS v", "CAST(NULL AS DOUBLE) AS w", "id AS n")
+    out = chain.group_aggregate(df, "k", "median:v,median:w,sum:v,count:v,median:n")
+    assert rows(out, "k") == [(0, 14998.5, None, 149985000.0, 10000, 14998.5), (1, None, None, 0.0, 0, 14999.5), (2, 15000.5, None, 150005000.0, 10000, 15000.5)]
+    shown = {r.column_name: (r["count"], r.p50, r["min"]) for r in profile.numeric_profile(df).collect()}
+    assert shown == {"k": (30000, 1.0, 0.0), "v": (20000, 14999.5, 0.0), "w": (0, None, None), "n": (30000, 14999.5, 0.0)}

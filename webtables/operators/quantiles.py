@@ -2,7 +2,7 @@
 
 A bounded sketch brackets each wanted rank of every heavy group. Brackets that may leave too many rows open are refined
 by further sketches of what lies inside. One last scan counts, in each task before anything is sent, the rows below each
-bracket as numbers and the rows inside one value by value. Groups that are not heavy have no bracket: all their values
+bracket as blocks and the rows inside one value by value. Groups that are not heavy have no bracket: all their values
 are counted one by one. The result is the linearly interpolated percentile of the sorted group; a bracket that missed its
 rank would stop the job rather than change a result.
 
@@ -17,7 +17,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-ACCURACY, MARGIN = 20_000, 0.0002
+SKETCH_SIZE, SKETCH_ERROR = 16_384, 0.00026  # a KLL sketch and the rank error that 99 of 100 of its answers keep
+MARGIN = 4 * SKETCH_ERROR  # ten standard deviations
+ACCURACY = 20_000  # of the sketches inside brackets
 HEAVY_ROWS, HEAVY_GROUPS = 10_000, 10_000
 OPEN_ROWS = 1_000_000
 GRID = 1000
@@ -37,10 +39,11 @@ def _sketched(
 
     The second list holds these rows with the aggregates ``more``.
     """
-    margin = max(MARGIN, 2 / heavy_rows + 1 / ACCURACY)  # two rows of the smallest heavy group: its neighbours, and rounding
+    margin = max(MARGIN, 2 / heavy_rows + SKETCH_ERROR)  # two rows of the smallest heavy group: its neighbours, and rounding
     edges = F.array(*[F.lit(e) for p in ps for e in (max(p - margin, 0.0), min(p + margin, 1.0))])
     counts = [F.count(c).alias(f"__n{i}") for i, c in enumerate(columns)]
-    sketches = [F.percentile_approx(c, edges, F.lit(ACCURACY)).alias(f"__e{i}") for i, c in enumerate(columns)]
+    sketch = lambda c: F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(c, F.lit(SKETCH_SIZE)), edges)
+    sketches = [F.when(F.count(c) > 0, sketch(c)).alias(f"__e{i}") for i, c in enumerate(columns)]  # an empty one has no values
     found = data.groupBy(*keys).agg(*counts, *sketches, *more)
     most = F.greatest(F.lit(0), *[F.col(f"__n{i}") for i in range(len(columns))])
     out, rows = [], found.where(most > heavy_rows).orderBy(most.desc()).limit(HEAVY_GROUPS).collect() if keys else found.collect()
@@ -50,8 +53,8 @@ def _sketched(
         brackets = []
         for i in range(len(columns)):
             n, e = row[f"__n{i}"], row[f"__e{i}"]
-            share = 2 * margin + 2 / ACCURACY
-            brackets.append([_Bracket(e[2 * j], e[2 * j + 1], n * share) if e else None for j in range(len(ps))])
+            share = 2 * (margin + SKETCH_ERROR)
+            brackets.append([_Bracket(e[2 * j], e[2 * j + 1], n * share) if n else None for j in range(len(ps))])
         out.append((Row(*[row[k] for k in keys]), brackets))
     return out, rows
 
@@ -126,7 +129,7 @@ def grouped_percentiles(
     """A row per key tuple and column: keys, ``__column`` (its name), ``__n`` values, a double per percentile.
 
     ``columns`` are expressions for doubles, null ones are ignored. ``direct(over)`` may name further aggregates of the
-    group, each over columns wrapped in ``over``; they stand in all rows of the group. Without keys, ``once(values)`` may
+    group, each over columns wrapped in ``over``; they stand in a row of the group without a column. Without keys, ``once(values)`` may
     name numeric ones that are taken in the scan of the sketches and stand in the plan as literals.
     """
     keys, names, ps = list(keys), list(columns), list(percentiles.values())
@@ -138,77 +141,52 @@ def grouped_percentiles(
     _refined(narrow, keys, slots, ps, heavy, open_rows)
     wide = _attached(data, keys, heavy)
 
-    def ends(i: int, j: int) -> tuple[Column, Column]:
-        return F.col("__low")[i * len(ps) + j], F.col("__high")[i * len(ps) + j]
-
-    entries, any_open = [], F.lit(False)
-    for i, slot in enumerate(slots):
-        inside = F.lit(False)
-        for j in range(len(ps)):
-            low, high = ends(i, j)
-            inside = inside | ((F.col(slot) > low) & (F.col(slot) < high))  # the ends are counted as numbers
-        open_ = F.col(slot).isNotNull() & (F.col("__low").isNull() | ends(i, 0)[0].isNull() | inside)
-        entries.append(F.when(open_, F.lit(i)))
-        any_open = any_open | open_
-    # each row once for its group, and once more for each value in a bracket, which few are
-    own = F.lit(-1)
-    kept = F.when(any_open, F.array_compact(F.array(own, *entries))).otherwise(F.array(own))
-    rows = wide.withColumn("__i", F.explode(kept))
+    # one row per column; with further aggregates also one for the group, -1, which alone they read
+    rows = wide.withColumn("__i", F.explode(F.array(*[F.lit(i) for i in range(-1 if direct else 0, len(slots))])))
     whole = F.col("__i") == -1
-    value = F.coalesce(*[F.when(F.col("__i") == i, F.col(s)) for i, s in enumerate(slots)])
-    over = lambda value: F.when(whole, value)
-    below = []
-    for i, s in enumerate(slots):
-        for j in range(len(ps)):
-            low, high = ends(i, j)
-            tests = {"under": F.col(s) < low, "at": F.col(s) <= low, "to": F.col(s) <= high}
-            below += [F.count_if(whole & test).alias(f"__b_{k}{i}_{j}") for k, test in tests.items()]
-    totals = [F.count(over(F.col(s))).alias(f"__n{i}") for i, s in enumerate(slots)]
-    extra = direct(over) if direct else []
-    counts = rows.groupBy(*keys, "__i", value.alias("__v")).agg(F.count("*").alias("__c"), *below, *totals, *extra)
-    shown = [c for c in counts.columns if c not in (*keys, "__i", "__v", "__c") and not c.startswith(("__b", "__n"))]
-
-    # the row of a group becomes one per column, in front of the column's values
-    fields, kinds = ("__i", "__v", "__c", "__n", "__under", "__at", "__to"), ("int", "double", "bigint", "bigint", *["array<bigint>"] * 3)
-
-    def entry(*values: Column) -> Column:
-        return F.struct(*[v.cast(k).alias(f) for v, k, f in zip(values, kinds, fields)])
-
-    nothing = F.lit(None)
-    sums = lambda k, i: F.array(*[F.col(f"__b_{k}{i}_{j}") for j in range(len(ps))])
-    heads = F.array(*[
-        entry(F.lit(i), nothing, F.lit(0), F.col(f"__n{i}"), *[sums(k, i) for k in ("under", "at", "to")]) for i in range(len(slots))])
-    one = F.array(entry(F.col("__i"), F.col("__v"), F.col("__c"), nothing, nothing, nothing, nothing))
-    long = counts.withColumn("__x", F.explode(F.when(F.col("__i") == -1, heads).otherwise(one)))
-    long = _attached(long.select(*keys, "__x.*", *shown), keys, heavy)
-    part = lambda side: F.slice(F.col(side), F.col("__i") * len(ps) + 1, F.lit(len(ps)))
-    long = long.withColumns({"__lo": part("__low"), "__hi": part("__high")}).drop("__low", "__high")
+    rows = rows.withColumn("__v", F.coalesce(*[F.when(F.col("__i") == i, F.col(s)) for i, s in enumerate(slots)]))
+    rows = rows.where(F.col("__v").isNotNull() | whole) if direct else rows
+    extra = direct(lambda value: F.when(whole, value)) if direct else []
+    counts = rows.groupBy(*keys, "__i", *_anchored(len(ps))).agg(F.count("__v").alias("__c"), *extra)
+    shown = [c for c in counts.columns if c not in (*keys, "__i", "__anchor", "__block", "__c")]
 
     column = Window.partitionBy(*keys, "__i")
-    order = column.orderBy(F.asc_nulls_first("__v"))
-    head = lambda c: F.first(c, ignorenulls=True).over(column)
-    long = long.withColumns({"__upto": F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)), **{c: head(c) for c in fields[3:]}})
-    before = {f"__before{j}": F.coalesce(F.sum(F.when(F.col("__v") <= F.col("__lo")[j], F.col("__c"))).over(column), F.lit(0)) for j in range(len(ps))}
-    long = long.withColumns(before)
-    out = []
-    for j, (name, p) in enumerate(percentiles.items()):
-        rank = (F.col("__n") - 1) * F.lit(p)
-        low, high = F.max(F.col("__lo")[j]), F.max(F.col("__hi")[j])
-        inside = F.coalesce((F.col("__v") > F.col("__lo")[j]) & (F.col("__v") < F.col("__hi")[j]), F.col("__v").isNotNull())
-        upto = F.col("__upto") - F.col(f"__before{j}") + F.coalesce(F.col("__at")[j], F.lit(0))
-
-        def value_at(place: Column) -> Column:
-            within = F.min(F.when(inside & (upto > place), F.col("__v")))
-            return F.when(F.max(F.col("__at")[j] - place) > 0, low).otherwise(F.coalesce(within, high))
-
-        lower, upper = value_at(F.floor(rank)), value_at(F.ceil(rank))
-        beyond = (F.max(F.col("__under")[j] - F.floor(rank)) > 0) | (F.max(F.col("__to")[j] - F.ceil(rank)) <= 0)
-        missed = (F.max("__n") > 0) & (upper.isNull() | F.when(low.isNull(), F.lit(False)).otherwise(beyond))
-        found = lower + (upper - lower) * F.max(rank - F.floor(rank))
-        out.append(F.when(missed, F.raise_error(F.lit("percentile bracket missed its rank"))).otherwise(found).alias(name))
-    label = F.array(*[F.lit(n) for n in names])
-    return long.groupBy(*keys, label[F.col("__i")].alias("__column")).agg(
-        F.max("__n").alias("__n"), *out, *[F.first(s, ignorenulls=True).alias(s) for s in shown], *[F.lit(v).alias(n) for n, v in taken.items()])
+    order = column.orderBy(F.asc_nulls_first("__anchor"), "__block")
+    running = counts.withColumns({"__upto": F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__n": F.sum("__c").over(column)})
+    label = F.get(F.array(*[F.lit(n) for n in names]), F.col("__i"))
+    found = running.groupBy(*keys, "__i").agg(
+        F.max("__n").alias("__n"), *[_interpolated(p).alias(n) for n, p in percentiles.items()], *[F.first(s, ignorenulls=True).alias(s) for s in shown])
+    found = found.withColumns({"__column": label, **{n: F.lit(v) for n, v in taken.items()}})
+    return found.select(*keys, "__column", "__n", *percentiles, *shown, *taken)
+
+
+def _anchored(brackets: int) -> list[Column]:
+    """What a value is counted as: itself inside a bracket or where there is none, else the block behind the last bracket
+    below it."""
+    value, below = F.col("__v"), F.lit(None).cast("double")
+    ends = [(F.get("__low", F.col("__i") * brackets + j), F.get("__high", F.col("__i") * brackets + j)) for j in range(brackets)]
+    alone = ends[0][0].isNull()
+    for low, high in ends:
+        alone = alone | value.between(low, high)
+        below = F.greatest(below, F.when(high < value, high))
+    alone = F.coalesce(alone, F.lit(True))
+    return [F.when(alone, value).otherwise(below).alias("__anchor"), (~alone).alias("__block")]
+
+
+def _value_at(rank: Column) -> Column:
+    """Smallest exact value whose running count passes the rank; a rank inside a block would be an error."""
+    reached, block = F.col("__upto") > rank, F.col("__block")
+    in_bracket = F.min(F.when(reached & ~block, F.col("__upto")))
+    in_block = F.min(F.when(reached & block, F.col("__upto")))
+    missed = (F.max("__n") > 0) & (in_bracket.isNull() | F.coalesce(in_block < in_bracket, F.lit(False)))
+    value = F.min(F.when(reached & ~block, F.col("__anchor")))
+    return F.when(missed, F.raise_error(F.lit("percentile bracket missed its rank"))).otherwise(value)
+
+
+def _interpolated(p: float) -> Column:
+    rank = (F.col("__n") - 1) * F.lit(p)
+    lower, upper = _value_at(F.floor(rank)), _value_at(F.ceil(rank))
+    return lower + (upper - lower) * F.max(rank - F.floor(rank))
 
 
 def exact_percentiles(
