@@ -70,13 +70,13 @@ _FIELDS = """
 """
 
 
-def _events(spark, sf, fields=beacons.FIELDS):
-    return beacons.extract_edge_events(views.request_rows(spark, sf).select("seq", "session_id", "payload"), fields=fields)
+def _requests(spark, sf):
+    return views.request_rows(spark, sf).select("seq", "session_id", "payload")
 
 
 @query(f'SELECT seq, pos, "pageName", "eventType", channel, events, "eVars" FROM ({_FIELDS})', "request_rows")
 def extract_edge_events(spark, sf):
-    out = beacons.as_json_text(_events(spark, sf))
+    out = beacons.as_json_text(beacons.extract_edge_events(_requests(spark, sf)))
     return out.select("seq", F.col("pos").cast("bigint").alias("pos"), "pageName", "eventType", "channel", "events", "eVars")
 
 
@@ -133,7 +133,7 @@ _SCORED = f"""
 )
 def best_beacon(spark, sf):
     out = beacons.best_beacon(
-        _events(spark, sf), page_pattern="^p1", event_type="click",
+        _requests(spark, sf), page_pattern="^p1", event_type="click",
         requirements=[{"key": "events.event11.value", "op": "equals", "value": 1}, {"key": "eVars.eVar1"}],
     )
     return out.select("session_id", "seq", "pageName", "eventType", "score")
@@ -151,7 +151,8 @@ def best_beacon(spark, sf):
     "request_rows",
 )
 def rejected_beacons(spark, sf):
-    out = beacons.rejected_beacons(_events(spark, sf, ["pageName", "events", "eVars", "commerce"]), _CHECKS, limit=20)
+    events = beacons.extract_edge_events(_requests(spark, sf), fields=["pageName", "events", "eVars", "commerce"])
+    out = beacons.rejected_beacons(events, _CHECKS, limit=20)
     return out.select("session_id", "seq", F.array_join("failed", ";").alias("failed"), "reject_rank")
 
 
@@ -163,7 +164,7 @@ def rejected_beacons(spark, sf):
     "request_rows",
 )
 def first_page_match(spark, sf):
-    return beacons.first_page_match(_events(spark, sf, ["pageName"]), "[13579]$").select("session_id", "seq", "pageName")
+    return beacons.first_page_match(_requests(spark, sf), "[13579]$").select("session_id", "seq", "pageName")
 
 
 @query(
