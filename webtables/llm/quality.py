@@ -214,7 +214,11 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = (*BASE_RULES, *RULES), order
 
 
 def measured(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """doc_id, the base measures of each whole text, base_failed, and kept by the base rules and the cascade."""
+    """doc_id, the base measures of each whole text, base_failed, and kept by the base rules and the cascade.
+
+    Null, empty and blank texts have no words and fail. Repeated rows are rows of their own with equal results; null ids
+    are kept; an empty table gives an empty table; columns other than doc_id and text are not looked at.
+    """
     need(docs, "doc_id", "text")
     chosen = ordered(docs, rules)
 
