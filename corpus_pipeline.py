@@ -50,6 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that pass all stages, with size, shard and slot.
+
+    Null texts count as empty; texts without words are no copies of each other; null ids and sources are values. Rows
+    that repeat id and text are one document. Tables without rows give no rows, without labels no document is toxic, and
+    without a benchmark none is contaminated. Further columns of ``documents`` are carried, whatever they are called.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
