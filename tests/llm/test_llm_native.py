@@ -45,6 +45,21 @@ def test_components_match_union_find(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_read_their_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 90)], "a long, b long").mapInArrow(counted, "a long, b long")
+    found = components(edges)
+    assert sorted((r.node, r.root) for r in found.collect()) == [(i, 0) for i in range(41)] + [(90, 90)]
+    assert read.value == 41
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString()  # rounds are files of known size
+
+
 # secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

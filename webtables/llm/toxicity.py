@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import annotate, fold, hidden, need, slices
@@ -48,9 +49,10 @@ class Model(NamedTuple):
 def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of the words with a mark before and after each, A-Z folded; place in the word; word of each byte."""
     size = end - start + 2
-    first = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(start)), size)
-    place = np.arange(size.sum()) - first[word]
+    kind = np.int32 if size.sum() < 1 << 31 else np.int64  # all words of the sample are spelled at once
+    first = (np.cumsum(size) - size).astype(kind)
+    word = np.repeat(np.arange(len(start), dtype=kind), size)
+    place = np.arange(size.sum(), dtype=kind) - first[word]
     source = np.clip(start[word] + place - 1, 0, max(len(data) - 1, 0))
     out = data[source] if len(data) else np.zeros(0, dtype=np.uint8)
     out = np.where((out >= 65) & (out <= 90), out + 32, out).astype(np.uint8)
@@ -224,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     counted = sample.where(~F.col("role")).select("text", "toxic").mapInArrow(_word_weights, "word binary, n0 long, n1 long")
     rows = counted.groupBy("word").agg(F.sum("n0"), F.sum("n1")).toArrow()
     word = rows.column(0).combine_chunks().cast(pa.binary())
-    order = np.array(sorted(range(len(word)), key=[w.as_py() for w in word].__getitem__), dtype=np.int64)
+    order = pc.sort_indices(word).to_numpy()  # bytewise
     data, offsets = flat(word.take(pa.array(order)))
     weight = np.stack([rows.column(k).to_numpy()[order].astype(float) for k in (1, 2)])
     levels = build(data, offsets[:-1], offsets[1:], weight) if len(order) else []
