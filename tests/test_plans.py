@@ -87,3 +87,11 @@ def test_no_cross_join_without_broadcasts(spark, no_broadcast, name):
 def test_files_of_a_hot_folder_are_spread(spark, no_broadcast):
     plan = plan_of(QUERIES["outside_files"](spark, FOLDER))
     assert any("salt" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+@pytest.mark.parametrize("name", ["outside_files", "folder_counts"])
+def test_copies_of_owners_are_not_broadcast(spark, name):
+    """Sixteen copies of each owner are far more than the size that Spark's statistics give them."""
+    plan = plan_of(QUERIES[name](spark, FOLDER))
+    joins = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)

@@ -322,7 +322,8 @@ def outside_files(resources: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.size(F.split("prefix", F.when(F.col("kind") == "dotted", r"[.]").otherwise("[/]")))
     depths = owners.where("kind <> 'same'").agg(F.collect_set(F.struct("kind", parts.alias("n"))).alias("depths"))
     # each owner stands in every one of the copies that a file is dealt to by its hash, so a folder of many files is spread
-    owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Spark's size statistics see neither the copies nor how small a file holds the paths, so they would broadcast them all
+    owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
     def prefixes(separator: str, kind: str, last: int) -> Column:
         parts = F.split("path", "[" + separator + "]")
