@@ -4,6 +4,7 @@ import math
 import os
 import re
 import sys
+import time
 from collections import Counter
 
 import duckdb
@@ -16,6 +17,7 @@ import cases  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from webtables.llm import linededup, secrets, urlfilter  # noqa: E402
+from webtables.llm.common import CLEANUP, written  # noqa: E402
 from webtables.llm.components import components  # noqa: E402
 from webtables.llm.queries import ORACLES, QUERIES, URL_RULES  # noqa: E402
 
@@ -60,6 +62,18 @@ def test_components_read_their_edges_once(spark):
     assert "ExistingRDD" not in found._jdf.queryExecution().toString()  # rounds are files of known size
 
 
+def test_written_steps_leave_no_shuffle_files(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for n in folder.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before, setting = shuffled(), spark.conf.get(CLEANUP)
+    step = written(spark.range(2000).repartition(4, "id"))
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)  # removal does not wait
+    assert not shuffled() - before and spark.conf.get(CLEANUP) == setting
+    assert step.count() == step.count() == 2000
+
+
 # secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
