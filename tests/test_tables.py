@@ -224,6 +224,21 @@ def test_outside_files(spark, rows):
     assert rows(reconcile.folder_counts(found)) == [("data_elements", 2), ("rules", 1)]
 
 
+def test_only_owners_of_many_files_are_copied(spark):
+    """Rows that the join of files and owners sorts grow with the files, but for the copies of a hot folder's owner."""
+    owned = spark.range(2000).select(F.lit("elements").alias("type"), F.col("id"), F.concat(F.lit("elements/"), "id", F.lit(".json")).alias("path"))
+    hot = spark.createDataFrame([("rules", 0, "rules/hot/"), ("elements", 1, "plain")], "type string, id long, path string")
+    found = owned.select("path").union(spark.range(3000).select(F.concat(F.lit("rules/hot/f"), "id"))).union(spark.range(500).select(F.concat(F.lit("other/x/y."), "id")))
+    found = found.union(spark.createDataFrame([("plain",), ("plain.js",), (None,)], "path string"))
+    offered, owners = reconcile.offers_and_owners(owned.union(hot), found)
+    # one prefix of each file, and of the two that begin like the path without extension also "same" and "dotted"
+    assert offered.count() <= 2000 + 3000 + 4
+    assert 2003 + reconcile.SALTS - 1 <= owners.count() < 2 * 2003
+    assert {r.salt for r in offered.where("prefix = 'rules/hot'").collect()} == set(range(reconcile.SALTS))
+    kept = [r.path for r in reconcile.outside_files(owned.union(hot), found).collect()]
+    assert len(kept) == 5002 and {"plain", "plain.js", "rules/hot/f7", "elements/9.json"} <= set(kept)
+
+
 # ---------------------------------------------------------------- keyed merges and retention
 
 

@@ -12,7 +12,9 @@ from .channels import DEFAULT_RULE
 # Fixed value: label of traffic that no rule classified.
 NOT_SET = "(not set)"
 
-SALTS = 16  # copies of the owners of files, over which the files of one folder are spread
+SALTS = 16  # copies of the owners of many files, over which the files of one folder are spread
+BEGINNINGS = 64  # told apart of owners' paths
+BUCKETS, HOT_SHARE = 4096, 256  # of prefixes; a bucket with more than one part of so many is spread
 
 
 # ---------------------------------------------------------------- site mapping
@@ -308,35 +310,49 @@ def outside_files(resources: DataFrame, files: DataFrame) -> DataFrame:
     the files whose path goes on with a dot after its extension-less path.  Instead of comparing prefixes,
     each file offers every prefix it could be owned by and these are matched by equality.
     """
+    offered, owners = offers_and_owners(resources, files)
+    # Spark's size statistics do not see how small a file holds the paths, so they would broadcast all owners
+    return offered.join(owners.hint("merge"), ["kind", "prefix", "salt"], "left_semi").select("path").distinct()
+
+
+def offers_and_owners(resources: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prefixes (path, kind, prefix, salt) that files offer and those (kind, prefix, salt) that resources own."""
     folder = F.regexp_replace("path", r"/+$", "")
     bare = F.regexp_replace("path", r"(?<=[^/])\.[^./]*$", "")
-    rule = F.col("type") == "rules"
-    owned = F.when(rule, F.array(F.struct(F.lit("below").alias("kind"), folder.alias("prefix")))).otherwise(
-        F.array(
-            F.struct(F.lit("same").alias("kind"), F.col("path").alias("prefix")),
-            F.struct(F.lit("dotted").alias("kind"), bare.alias("prefix")),
-        )
-    )
+    entry = lambda kind, prefix: F.struct(F.lit(kind).alias("kind"), prefix.alias("prefix"))
+    # a path with an extension goes on with a dot after its bare one, so only one without owns "the same" beside it
+    dotted = F.when(bare == F.col("path"), F.array(entry("same", F.col("path")), entry("dotted", bare))).otherwise(F.array(entry("dotted", bare)))
+    owned = F.when(F.col("type") == "rules", F.array(entry("below", folder))).otherwise(dotted)
     owners = resources.select(F.explode(owned).alias("__p")).select("__p.kind", "__p.prefix").distinct()
-    # a file offers only prefixes of as many parts as some owner of the kind has; there are as many counts as paths are deep
-    parts = F.size(F.split("prefix", F.when(F.col("kind") == "dotted", r"[.]").otherwise("[/]")))
-    depths = owners.where("kind <> 'same'").agg(F.collect_set(F.struct("kind", parts.alias("n"))).alias("depths"))
-    # each owner stands in every one of the copies that a file is dealt to by its hash, so a folder of many files is spread
-    # Spark's size statistics see neither the copies nor how small a file holds the paths, so they would broadcast them all
-    owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-
-    def prefixes(separator: str, kind: str, last: int) -> Column:
+
+    # a file offers only prefixes with as many parts and a beginning like some owner's of the kind; a prefix begins as its path does
+    def shape(kind: Column, parts: Column, path: str) -> Column:
+        begin = F.substring_index(F.substring_index(path, "/", 1), ".", 1)
+        return F.struct(kind.alias("kind"), parts.alias("n"), F.pmod(F.xxhash64(begin), F.lit(BEGINNINGS)).alias("begin"))
+
+    parts = F.size(F.split("prefix", F.when(F.col("kind") == "below", "[/]").otherwise("[.]")))
+    shapes = owners.where("prefix IS NOT NULL").agg(F.collect_set(shape(F.col("kind"), parts, "prefix")).alias("shapes"))
+
+    def prefixes(separator: str, kind: str, first: Column, last: int) -> Column:
         parts = F.split("path", "[" + separator + "]")
         count = F.size(parts) - last
-        wanted = F.filter(F.sequence(F.lit(1), count), lambda n: F.array_contains(F.col("__depths"), F.struct(F.lit(kind).alias("kind"), n.alias("n"))))
-        cut = F.transform(wanted, lambda n: F.struct(F.lit(kind).alias("kind"), F.array_join(F.slice(parts, 1, n), separator).alias("prefix")))
+        wanted = F.filter(F.sequence(first(count), count), lambda n: F.array_contains(F.col("__shapes"), shape(F.lit(kind), n, "path")))
+        cut = F.transform(wanted, lambda n: entry(kind, F.array_join(F.slice(parts, 1, n), separator)))
         return F.when(count > 0, cut).otherwise(F.array().cast("array<struct<kind:string,prefix:string>>"))
 
-    itself = F.array(F.struct(F.lit("same").alias("kind"), F.col("path").alias("prefix")))
-    offered = files.select("path").withColumn("__depths", depths.scalar())
-    offered = offered.select("path", F.explode(F.concat(prefixes("/", "below", 0), prefixes(".", "dotted", 1), itself)).alias("__o"))
-    offered = offered.select("path", "__o.kind", "__o.prefix", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
-    return offered.join(owners, ["kind", "prefix", "salt"], "left_semi").select("path").distinct()
+    one = lambda count: F.lit(1)
+    offers = F.concat(prefixes("/", "below", one, 0), prefixes(".", "dotted", one, 1), prefixes(".", "same", lambda count: count, 0))
+    bucket = F.pmod(F.xxhash64("kind", "prefix"), F.lit(BUCKETS))
+    offered = files.select("path").where("path IS NOT NULL").withColumn("__shapes", shapes.scalar())
+    offered = offered.select("path", F.explode(offers).alias("__o")).select("path", "__o.kind", "__o.prefix").withColumn("bucket", bucket)
+    # the owners of a bucket with far more offers than others stand in every one of the copies that files are dealt to by their
+    # hash, so a folder of many files is spread; counts are exact, so both sides of the join see the same buckets
+    dealt = offered.groupBy("bucket").count().agg(F.collect_list(F.struct("bucket", "count")).alias("all"), F.sum("count").alias("sum"))
+    hot = dealt.select(F.transform(F.filter("all", lambda x: x["count"] * HOT_SHARE > F.col("sum")), lambda x: x["bucket"]).alias("hot"))
+    copies = F.when(F.array_contains("__hot", F.col("bucket")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    owners = owners.withColumn("bucket", bucket).withColumn("__hot", hot.scalar()).select("kind", "prefix", F.explode(copies).alias("salt"))
+    salt = F.when(F.array_contains("__hot", F.col("bucket")), F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    return offered.withColumn("__hot", hot.scalar()).select("path", "kind", "prefix", salt.alias("salt")), owners
 
 
 def folder_counts(files: DataFrame) -> DataFrame:
