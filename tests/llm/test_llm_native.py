@@ -322,6 +322,52 @@ def test_edited_lines_are_found_without_a_bit_filter(spark):
     assert len(dropped) >= 0.95 * len(pairs)
 
 
+def line_pairs(rng, count, words):
+    """Pairs of lines: edited here and there, cut, moved, repeating a word, of nothing in common."""
+    letters = list("abcdefghé漢")
+    word = lambda: "".join(rng.choice(letters, rng.integers(1, 9)))
+    for n in range(count):
+        line = [word() for _ in range(rng.integers(1, words))]
+        rate = rng.uniform(0, 0.4)
+        edited = [word() if rng.random() < rate / 2 else w for w in line if rng.random() > rate / 4]
+        k = int(rng.integers(len(line)))
+        same = [line[0]] * len(line)
+        a, b = [(line, edited), (line, line[k:]), (line, line[k:] + line[:k]), (same, [w if rng.random() > rate else word() for w in same]),
+                (line, [word() for _ in line]), (line, line[:k] + [word() for _ in line[k:]])][n % 6]
+        yield " ".join(a), " ".join(b)
+
+
+def test_similar_lines_are_told_exactly(spark):
+    rng = np.random.default_rng(6)
+    rows = [*line_pairs(rng, 1500, 12), *line_pairs(rng, 900, 150), ("", ""), ("a", ""), ("a", "b"), ("abcde", "abcdf")]
+    most = linededup._allowed(F.length("_a"), F.length("_b"), 0.8)
+    told = spark.createDataFrame(rows, "_a string, _b string").select(linededup.within(0.8).alias("found"), (F.levenshtein("_a", "_b") <= most).alias("wanted"))
+    counts = Counter((r.found, r.wanted) for r in told.collect())
+    assert set(counts) == {(True, True), (False, False)} and min(counts.values()) > 300
+
+
+def test_most_long_lines_need_no_full_band(spark):
+    """Unlike lines and such as are edited here and there are told in less than half the time of the edits allowed to them."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    rows = []
+    for _ in range(6):
+        line = [word() for _ in range(1500)]
+        rows += [(" ".join(line), " ".join(word() for _ in line)), (" ".join(line), " ".join(word() if rng.random() < 0.12 else w for w in line))]
+    pairs = spark.createDataFrame(rows, "_a string, _b string").coalesce(1).where(F.length("_a") > 0).cache()
+    pairs.count()
+
+    def seconds(condition):
+        begun = time.time()
+        assert pairs.where(condition).count() == 6
+        return time.time() - begun
+
+    band = linededup._allowed(F.length("_a"), F.length("_b"), 0.8)
+    full = F.call_function("levenshtein", F.col("_a"), F.col("_b"), band) >= 0
+    seconds(linededup.within(0.8)), seconds(full)
+    assert min(seconds(linededup.within(0.8)) for _ in range(3)) < 0.5 * min(seconds(full) for _ in range(3))
+
+
 def test_recall_of_scattered_letters(spark):
     """Lines of 5 to 30 words with random letters changed, all above the similarity: the shares found, by rate of change.
 
