@@ -368,6 +368,49 @@ def test_most_long_lines_need_no_full_band(spark):
     assert min(seconds(linededup.within(0.8)) for _ in range(3)) < 0.5 * min(seconds(full) for _ in range(3))
 
 
+def test_wide_characters_count_as_one_edit(spark):
+    """Lines with characters beyond the basic plane: a change of one is one edit, as in Spark's own distance."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in range(300):
+        line = rng.choice(list("abcé漢😀𝒳🎉 "), rng.integers(1, 120))
+        other = np.where(rng.random(len(line)) < rng.uniform(0, 0.4), rng.choice(list("abcé漢😀𝒳🎉 "), len(line)), line)
+        rows.append(("".join(line), "".join(other)))
+    rows += [("😀" * 4 + "abcdef", "🎉🎉" + "😀" * 2 + "abcdef"), ("abcde" * 10, "abcde" * 9 + "😀" * 5), ("abcd😀", "abcd🎉")]
+    most = linededup._allowed(F.length("_a"), F.length("_b"), 0.8)
+    told = spark.createDataFrame(rows, "_a string, _b string").select(linededup.within(0.8).alias("found"), (F.levenshtein("_a", "_b") <= most).alias("wanted"))
+    counts = Counter((r.found, r.wanted) for r in told.collect())
+    assert set(counts) == {(True, True), (False, False)} and min(counts.values()) > 50
+
+
+def test_unlike_lines_are_told_fast(spark):
+    """Most candidates are unlike lines; telling them takes clearly less time than Spark's distance in a full band."""
+    rng = np.random.default_rng(10)
+    syllables = "th er ing ble ñar ción é ère ßlich und ou ment de asa re ti".split()
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
+    lines = [" ".join(word() for _ in range(400)) for _ in range(24)]
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(lines) for b in lines[:i]], "_a string, _b string").coalesce(1).where(F.length("_a") > 0).cache()
+    pairs.count()
+
+    def seconds(condition):
+        begun = time.time()
+        assert pairs.where(condition).count() == 0
+        return time.time() - begun
+
+    full = F.call_function("levenshtein", F.col("_a"), F.col("_b"), linededup._allowed(F.length("_a"), F.length("_b"), 0.8)) >= 0
+    seconds(linededup.within(0.8)), seconds(full)
+    ratio = min(seconds(linededup.within(0.8)) for _ in range(3)) / min(seconds(full) for _ in range(3))
+    print("share of the full band's time:", ratio)
+    assert ratio < 0.8
+
+
+def test_words_that_tell_a_line(spark):
+    """Distinct long words in the order of the line; all distinct words of a line with too few long ones."""
+    lines = ["of alpha of gamma delta alpha", "of alpha gamma of alpha", "naïf naïve été città città dont", "a", "alpha alpha alpha", "ab ab cd"]
+    found = linededup.with_told(spark.createDataFrame([(x,) for x in lines], "line string"))
+    assert found.columns == ["line", "told"] and {r.line: r.told for r in found.collect()} == {x: told_by(x) for x in lines}
+
+
 def test_recall_of_scattered_letters(spark):
     """Lines of 5 to 30 words with random letters changed, all above the similarity: the shares found, by rate of change.
 
