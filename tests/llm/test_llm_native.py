@@ -17,7 +17,7 @@ import cases  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from webtables.llm import linededup, secrets, urlfilter  # noqa: E402
-from webtables.llm.common import CLEANUP, written  # noqa: E402
+from webtables.llm.common import CLEANUP, removed, shared_folder, written  # noqa: E402
 from webtables.llm.components import components  # noqa: E402
 from webtables.llm.queries import ORACLES, QUERIES, URL_RULES  # noqa: E402
 
@@ -74,6 +74,20 @@ def test_written_steps_leave_no_shuffle_files(spark):
     assert step.count() == step.count() == 2000
 
 
+def test_written_rows_in_buckets_are_not_shuffled(spark):
+    rows = spark.range(3000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v"))
+    step = written(rows.repartition("k"), key="k")
+    few = spark.range(50).select(F.col("id").alias("k"))
+    joined = step.join(few.hint("merge"), "k")
+    assert sorted(map(tuple, joined.collect())) == sorted((i % 700, i) for i in range(3000) if i % 700 < 50)
+    plans = [x._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0] for x in (joined, step.groupBy("k", "v").count())]
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 0]  # of the few rows only
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("llm_")]
+    assert written(rows.where("false"), key="k").count() == 0
+    removed(step)
+    assert not os.path.exists(step._written_to.removeprefix("file:"))
+
+
 # secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -322,6 +336,44 @@ def test_edited_lines_are_found_without_a_bit_filter(spark):
     assert len(dropped) >= 0.95 * len(pairs)
 
 
+def test_used_steps_are_removed(spark):
+    """Of the steps only those stay that the result reads; no text is among them."""
+    folder = f"{shared_folder(spark).removeprefix('file:')}/llm"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    rows = [(i, f"{cases.prose(i % 9, 12)} {'x' * (i % 4)}\n{cases.prose(40, 9 + i % 3)}\nhead {i}") for i in range(60)]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = set(os.listdir(folder)) - before
+    columns = [set(spark.read.parquet(f"{folder}/{x}").columns) for x in left]
+    assert left and not any(c & {"line", "keys", "key", "simhash"} for c in columns)
+    wanted, _ = expected_drops(rows)
+    assert {r.doc_id: r.dropped for r in out.collect()} == wanted
+
+
+def test_texts_of_a_crowded_key_are_moved_by_line(spark, monkeypatch):
+    """Unlike lines of one key make a pair each; their texts go to tiles of lines, few times each, in portions."""
+    monkeypatch.setattr(linededup, "BLOCK", 64)
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(n))
+    passage, own = words(30), [words(24) for _ in range(120)]
+    lines = [f"{own[i // 2]} {passage}{' end' * (i % 2)}" for i in range(240)]
+    texts = written(spark.createDataFrame(list(enumerate(lines)), "line_key long, line string"), key="line_key")
+    sketched = linededup.sketches(texts).withColumn("key", F.lit(7).cast("bigint"))
+    crowded = written(sketched.select("key", "line_key", "simhash", "size", F.col("line_key").alias("root")), key="key")
+    pairs = linededup._pairs_of_groups(crowded, 0.8).groupBy("a", "b").agg(F.min("tile").alias("tile"))
+    bits = {r.line_key: r.simhash for r in sketched.collect()}
+    close = {(i, j) for i in range(240) for j in range(i) if bin((bits[i] ^ bits[j]) & (2**64 - 1)).count("1") <= linededup.BITS
+             and abs(len(lines[i]) - len(lines[j])) <= int(max(len(lines[i]), len(lines[j])) * 0.2 + 1e-9)}
+    assert {(r.a, r.b) for r in pairs.collect()} == close and len(close) > 5000
+    held = pairs.select("tile", F.explode(F.array("a", "b")).alias("line_key")).distinct()
+    assert 4 <= held.select("tile").distinct().count() <= 10 and held.count() <= 240 * 4
+    found = [linededup._linked_in_tiles(pairs, texts, 0.8, most) for most in (10**6, 300)]
+    assert len(found[0]) == 1 < len(found[1])
+    wanted = {(i, i - 1) for i in range(1, 240, 2)}
+    for links in [*found, linededup._linked(pairs.drop("tile"), texts, 0.8, 3000)]:
+        assert sorted((r.a, r.b) for x in links for r in x.collect()) == sorted(wanted & close)
+    assert len(wanted & close) > 100
+
+
 def line_pairs(rng, count, words):
     """Pairs of lines: edited here and there, cut, moved, repeating a word, of nothing in common."""
     letters = list("abcdefghé漢")
