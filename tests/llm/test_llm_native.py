@@ -374,6 +374,16 @@ def test_texts_of_a_crowded_key_are_moved_by_line(spark, monkeypatch):
     assert len(wanted & close) > 100
 
 
+def test_pairs_are_looked_at_once(spark):
+    rows = [(i, i % 7, i % 11 + k) for i in range(400) for k in range(3)] + [(1, 1, 5), (2, 9, 4), (2, 9, 3)]
+    found, known = spark.createDataFrame(rows, "a long, b long, tile long"), spark.createDataFrame([(i, i % 7) for i in range(0, 400, 2)], "a long, b long")
+    wanted = {(a, b): min(t for x, y, t in rows if (x, y) == (a, b)) for a, b, _ in rows if a % 2 or b != a % 7}
+    for most in (10**6, 300):
+        steps = linededup._pairs_once(found, known, most)
+        assert (len(steps) > 1) == (most < len(rows))
+        assert sorted(((r.a, r.b), r.tile) for x in steps for r in x.collect()) == sorted(wanted.items())
+
+
 def line_pairs(rng, count, words):
     """Pairs of lines: edited here and there, cut, moved, repeating a word, of nothing in common."""
     letters = list("abcdefghé漢")
